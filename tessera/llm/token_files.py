@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import cached_joins, texts_of
 
 #: Words whose ids a Python worker keeps; it starts anew when there are more. Only speed depends on it.
-CACHE = 600_000
+CACHE = 1_200_000
 #: A block ends at this many payload bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: Documents whose ids train the dictionary, those of the smallest hashes; it only affects the size of the files.
@@ -99,7 +99,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     spark.createDataFrame([(digest, bytearray(dictionary))], "hash string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        packer = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         part, seq, done = TaskContext.get().partitionId(), 0, 0
         ids, counts, offsets, frames, size = [], [], [], [], 0
 
