@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ CELL, SHARD_WORDS = 64, 400_000
 #: BM25's constants; entries of a posting list that share a block maximum.
 K1, B, BLOCK = 1.2, 0.75, 16
 #: Part of an item's score that its commonest words may hold without a posting in the bound.
-SLACK = 0.3
+SLACK = 0.2
 CACHE = 400_000
 WORD = re.compile(r"\w+")
 
@@ -73,9 +74,9 @@ class Index:
                     if common > SLACK:
                         bound[t].append((len(self.items), w / own))
                 self.items.append(item)
-        self.lists = {t: (np.array([c for c, _ in p], np.int64), np.array([w for _, w in p])) for t, p in postings.items()}
-        self.most = {t: float(w.max()) for t, (_, w) in self.lists.items()}
-        self.block_most = {t: np.array([w[k : k + BLOCK].max() for k in range(0, len(w), BLOCK)]) for t, (_, w) in self.lists.items()}
+        self.lists = {t: ([c for c, _ in p], [w for _, w in p]) for t, p in postings.items()}
+        self.most = {t: max(w) for t, (_, w) in self.lists.items()}
+        self.block_most = {t: [max(w[k : k + BLOCK]) for k in range(0, len(w), BLOCK)] for t, (_, w) in self.lists.items()}
         n = len(self.terms)
         self.bound_size = np.array([len(bound.get(t, ())) for t in range(n)], np.int64)
         self.bound_start = np.cumsum(self.bound_size) - self.bound_size
@@ -109,7 +110,7 @@ class Index:
 
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All chunks that score at least ``threshold`` for the distinct ``terms``, by block-max WAND."""
-        cursors = [[int(self.lists[t][0][0]), 0, t] for t in terms.tolist()]  # chunk, place in the list, term
+        cursors = [[self.lists[t][0][0], 0, t] for t in terms.tolist()]  # chunk, place in the list, term
         found = []
         while True:
             cursors.sort()
@@ -127,16 +128,16 @@ class Index:
             bound, nearest = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.items)
             for _, p, t in cursors[: pivot + 1]:
                 chunks = self.lists[t][0]
-                block = (p + int(np.searchsorted(chunks[p:], chunk))) // BLOCK
+                block = bisect_left(chunks, chunk, p) // BLOCK
                 if block * BLOCK < len(chunks):
                     bound += self.block_most[t][block]
-                    nearest = min(nearest, int(chunks[min(len(chunks), (block + 1) * BLOCK) - 1]) + 1)
+                    nearest = min(nearest, chunks[min(len(chunks), (block + 1) * BLOCK) - 1] + 1)
             if bound >= threshold:
                 score = 0.0
                 for _, p, t in cursors[: pivot + 1]:
-                    k = p + int(np.searchsorted(self.lists[t][0][p:], chunk))
+                    k = bisect_left(self.lists[t][0], chunk, p)
                     if k < len(self.lists[t][0]) and self.lists[t][0][k] == chunk:
-                        score += float(self.lists[t][1][k])
+                        score += self.lists[t][1][k]
                 if score >= threshold:
                     found.append((chunk, score))
                 target = chunk + 1
@@ -145,10 +146,10 @@ class Index:
             moved = []
             for k, (c, p, t) in enumerate(cursors):
                 if k <= pivot and c < target:
-                    p += int(np.searchsorted(self.lists[t][0][p:], target))
+                    p = bisect_left(self.lists[t][0], target, p)
                     if p == len(self.lists[t][0]):
                         continue
-                    c = int(self.lists[t][0][p])
+                    c = self.lists[t][0][p]
                 moved.append([c, p, t])
             cursors = moved
 
