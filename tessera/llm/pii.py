@@ -39,6 +39,8 @@ ADDRESS = re.compile(r"[^\s@\[\]()<>,;]{1,64}(?:@|\[at\]|\(at\)|\[@\])[^\s@\[\](
 
 #: Neighbours within this many characters get a chain edge; rounds of message passing; smoothing of the counts.
 CHAIN_GAP, ROUNDS, SMOOTHING = 200, 8, 0.5
+#: Pairs with one key and one label that the skip potential starts from; only pairs of base spans are counted.
+SAME_BEFORE = 50.0
 
 Span = tuple[str, int, int]
 Model = dict[str, dict]
@@ -150,7 +152,8 @@ def train(docs: DataFrame) -> Model:
                     for a, b in chain:
                         counts["chain", labels[a], labels[b]] += 1
                     for a, b in skip:
-                        counts["skip", str(labels[a] == labels[b]), ""] += 1
+                        if OTHER not in (labels[a], labels[b]):
+                            counts["skip", str(labels[a] == labels[b]), ""] += 1
         what, a, b = zip(*counts, strict=True) if counts else ((), (), ())
         yield pa.record_batch([pa.array(what, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["what", "a", "b", "n"])
 
@@ -161,7 +164,7 @@ def train(docs: DataFrame) -> Model:
     left = {a: sum(chain[a, b] for b in LABELS) for a in LABELS}
     right = {b: sum(chain[a, b] for a in LABELS) for b in LABELS}
     mass = sum(left.values())
-    agree, differ = n.get(("skip", "True", ""), 0) + 1.0, n.get(("skip", "False", ""), 0) + 1.0
+    agree, differ = n.get(("skip", "True", ""), 0) + SAME_BEFORE, n.get(("skip", "False", ""), 0) + 1.0
     return {
         "prior": {c: math.log((total[c] + SMOOTHING) / (sum(total.values()) + SMOOTHING * len(LABELS))) for c in LABELS},
         "unary": {(c, r["b"]): math.log((n.get(("unary", c, r["b"]), 0) + SMOOTHING) / (total[c] + 2 * SMOOTHING)) for r in rows if r["what"] == "unary" for c in LABELS},
