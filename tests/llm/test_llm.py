@@ -150,7 +150,7 @@ def test_pii_base_patterns_and_added_mentions(spark):
         t = "".join(rng.choice("0123456789+@.-() abZ") for _ in range(rng.randrange(60)))
         assert pii.base_spans(t) == plain(t)
     text = "call +1 (555) 010-2233 now. Later again: 1.555.010.2233 and jo@mail.example.com or jo[at]mail.example.com"
-    rows = [(1, text)] + [(k, f"call +1 (555) 010-{k} today") for k in range(1000, 1200)]
+    rows = [(1, text)] + [(k, f"call +1 (555) 010-{k} or +1 (555) 011-{k} today") for k in range(1000, 1200)]
     got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[1]
     assert got["n_phone"] == 1 and got["n_email"] == 1 and got["n_added"] >= 1
     assert f"phone:{text.index('1.555')}" in got["spans"]
