@@ -316,7 +316,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     clusters = connected_components(maybe, folder, "clusters")
 
     members = in_blocks(clusters.withColumnRenamed("component", "cluster"), ["cluster"], "node", BLOCK)
-    texts = named.join(members, named["doc_id"] == members["node"])
+    # Members grow with the input: a shuffled join at every size, never a broadcast that only small inputs get.
+    texts = named.join(members.hint("merge"), named["doc_id"] == members["node"])
     links = materialise(_by_group(texts, ["cluster", "pair"], ["node", "text"], _confirm).distinct(), folder, "links")
     classes = connected_components(links, folder, "classes")
 
