@@ -50,9 +50,12 @@ def featurise(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[str, object]]:
-    """A logistic regression for good quality and one for toxicity, where the labels hold both kinds."""
+    """A logistic regression for good quality and one for toxicity, where the labels hold both kinds.
+
+    The labels used are at most TRAINING_ROWS, which is why they can be broadcast and no text is shuffled.
+    """
     known = labels.select("doc_id", "quality", "toxic").filter("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
-    sample = materialise(featurise(docs.select("doc_id", "text").join(known, "doc_id")).select("features", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic")), shared_dir(docs.sparkSession), "training").cache()
+    sample = materialise(featurise(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).select("features", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic")), shared_dir(docs.sparkSession), "training").cache()
     models = []
     for name, target in (("good", "quality"), ("toxic", "toxic")):
         rows = sample.filter(f"{target} in (0, 1)")
