@@ -25,7 +25,7 @@ NORMAL, UNKNOWN, BPE = 1, 2, 2
 #: Bytes become the code points from here on (no white space, nothing that sentencepiece escapes).
 BYTE_BASE = 0x100
 #: Stretches whose ids a Python worker keeps; it starts anew when there are more. Only speed depends on it.
-CACHE = 600_000
+CACHE = 300_000
 
 
 def _varint(n: int) -> bytes:

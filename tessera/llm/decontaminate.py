@@ -29,7 +29,7 @@ CELL, SHARD_WORDS = 64, 400_000
 K1, B, BLOCK = 1.2, 0.75, 16
 #: Part of an item's score that its commonest words may hold without a posting in the bound.
 SLACK = 0.3
-CACHE = 400_000
+CACHE = 150_000
 WORD = re.compile(r"\w+")
 
 

@@ -31,7 +31,7 @@ TREES, SHALLOW, DEPTH = 16, 4, 8
 REGION, BLOCK = 2048, 1024
 #: Differing sketch values of 128 up to which a pair may be a link: 14.4 expected at 0.85, plus 6 deviations.
 MOST_DIFFERENT = 36
-CACHE = 600_000
+CACHE = 250_000
 
 _RNG = np.random.default_rng(20240229)
 _MULTIPLY = _RNG.integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
