@@ -108,7 +108,7 @@ def splits(spark, d):
     return M.impurity_splits(T.flagged(spark, d), "l_quantity", "y").select("threshold", "left_n", F.round("gain", 7).alias("gain"))
 
 
-SCORED = """p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity, l_quantity / 50.0::DOUBLE AS q FROM lineitem)"""
+SCORED = """p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity, l_quantity / 50.0::DOUBLE AS q, l_extendedprice, l_discount, l_tax FROM lineitem)"""
 
 
 def _scored(spark, d):
@@ -125,7 +125,7 @@ def auc(spark, d):
 
 
 def ranking(spark, d):
-    rows = _scored(spark, d).withColumnRenamed("l_linenumber", "row")
+    rows = _scored(spark, d).withColumn("row", F.struct("l_linenumber", "l_extendedprice", "l_discount", "l_tax"))
     return L.ranking(rows, "l_orderkey", "q", "y", 3).select("l_orderkey", *(F.round(c, 4).alias(c) for c in ("pre", "ndcg", "map")))
 
 
@@ -231,7 +231,7 @@ QUERIES = {
     "tree_splits": (splits, f"WITH {SCORED}, b AS (SELECT l_quantity AS t, count(*) AS n, sum(y) AS pos FROM p GROUP BY 1), c AS (SELECT t, sum(n) OVER (ORDER BY t) AS ln, sum(pos) OVER (ORDER BY t) AS lp, sum(n) OVER () AS tn, sum(pos) OVER () AS tp FROM b) SELECT t AS threshold, ln::BIGINT AS left_n, round(2 * (tp / tn) * (1 - tp / tn) - ln / tn * (2 * (lp / ln) * (1 - lp / ln)) - (tn - ln) / tn * (2 * ((tp - lp) / (tn - ln)) * (1 - (tp - lp) / (tn - ln))), 7) AS gain FROM (SELECT t, ln::DOUBLE AS ln, lp::DOUBLE AS lp, tn::DOUBLE AS tn, tp::DOUBLE AS tp FROM c) WHERE ln < tn"),
     "metric_elementwise": (metrics, f"WITH {SCORED} SELECT round(sqrt(avg(power(q - y, 2))), 6) AS rmse, round(sqrt(avg(power(ln(1 + q) - ln(1 + y), 2))), 6) AS rmsle, round(avg(abs(q - y)), 6) AS mae, round(avg(CASE WHEN q > 0.5 THEN 1 - y ELSE y END), 6) AS error FROM p"),
     "metric_auc": (auc, f"WITH {SCORED}, b AS (SELECT q, sum(y) AS pos, sum(1 - y) AS neg FROM p GROUP BY 1), c AS (SELECT pos, neg, sum(neg) OVER (ORDER BY q) - neg AS below FROM b) SELECT round((sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)))::DOUBLE, 9) AS auc FROM c"),
-    "metric_ranking": (ranking, f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY q DESC, l_linenumber) AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY y DESC, l_linenumber) AS ik FROM p), h AS (SELECT *, sum(y) OVER (PARTITION BY l_orderkey ORDER BY k) AS hits FROM r)
+    "metric_ranking": (ranking, f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY q DESC, l_linenumber, l_extendedprice, l_discount, l_tax) AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY y DESC, l_linenumber, l_extendedprice, l_discount, l_tax) AS ik FROM p), h AS (SELECT *, sum(y) OVER (PARTITION BY l_orderkey ORDER BY k) AS hits FROM r)
         SELECT l_orderkey, round(sum(CASE WHEN k <= 3 THEN y ELSE 0 END) / 3.0, 4)::DOUBLE AS pre, round(coalesce(sum(CASE WHEN k <= 3 THEN y / log2(k + 1) ELSE 0 END) / nullif(sum(CASE WHEN ik <= 3 THEN y / log2(ik + 1) ELSE 0 END), 0), 1), 4) AS ndcg,
         round(coalesce(sum(CASE WHEN k <= 3 AND y > 0 THEN hits::DOUBLE / k ELSE 0 END) / nullif(least(sum(y), 3), 0), 1), 4) AS map FROM h GROUP BY 1"""),
     "boost_objectives": (objectives, f"""WITH {SCORED} SELECT 'squared_error' AS objective, round(sum(q - y), 3) AS gradient, round(sum(1.0::DOUBLE), 3) AS hessian FROM p
