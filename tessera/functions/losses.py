@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.running import log_gamma, running_sums
+
 #: Smallest hessian of the logistic objectives.
 TINY = 1e-16
 
@@ -56,6 +58,7 @@ METRICS: dict[str, Callable[[Column, Column, Column], Column]] = {
     "error": lambda p, y, w: F.sum(w * F.when(p > 0.5, 1 - y).otherwise(y)) / F.sum(w),
     "gamma_deviance": lambda p, y, w: 2 * F.sum(w * (y / (p + 1e-9) - F.log(y / (p + 1e-9)) - 1)),
     "gamma_nloglik": lambda p, y, w: F.sum(w * (y / p + F.log(p))) / F.sum(w),
+    "poisson_nloglik": lambda p, y, w: F.sum(w * (log_gamma(y + 1) + p - y * F.log(p))) / F.sum(w),
     "tweedie_nloglik": lambda p, y, w: F.sum(w * (F.exp(0.5 * F.log(p)) / 0.5 + y * F.exp(-0.5 * F.log(p)) / 0.5)) / F.sum(w),
 }
 MAXIMISE = ("auc", "aucpr", "ndcg", "map", "pre")
@@ -71,7 +74,7 @@ def evaluate(df: DataFrame, prediction: str, label: str, names: list[str], weigh
 def auc(df: DataFrame, prediction: str, label: str) -> DataFrame:
     """One row, auc, from counts by distinct prediction (ties count a half)."""
     by = df.groupBy(F.col(prediction).alias("p")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    below = by.withColumn("below", F.sum("neg").over(Window.orderBy("p")) - F.col("neg"))
+    below = running_sums(by, "p", {"upto": "neg"}).withColumn("below", F.col("upto") - F.col("neg"))
     return below.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
