@@ -169,6 +169,16 @@ def test_secrets_in_layers(spark):
     assert packed not in out[0]["text"] and out[0]["n_chars"] == len(out[0]["text"]) and out[1]["text"] is None
 
 
+def test_secrets_of_a_repeated_blob(spark):
+    inner = base64.b64encode(b"password=abcdefghijkl12345 tail").decode()
+    for twice in (base64.b64encode(f"x {inner} y".encode()).decode(), base64.b64encode(gzip.compress(f"x {inner} y".encode(), mtime=0)).decode()):
+        text = f"a {twice} b {twice} c"
+        every = secret_scan.secrets_of(text)[1]
+        assert len(every) == 2 and every[1][1] - every[0][1] == text.rindex(twice) - text.index(twice)
+        out = secret_scan.redact_secrets(spark.createDataFrame([(1, text, 3)], "doc_id long, text string, n_chars long")).first()
+        assert out["text"].count("[secret]") == 2
+
+
 def test_leaks_against_a_scan(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = {(i, b["item_id"]) for i, t in texts(docs).items() for b in items.collect() if f" {' '.join(decontaminate.words_of(b['text']))} " in f" {' '.join(decontaminate.words_of(t))} "}
