@@ -5,6 +5,8 @@ Loops cut their lineage with a written table at each round, and keep one table o
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +63,12 @@ def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance:
     return ranks
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 10, directed: bool = True) -> DataFrame:
-    """source, id, distance in hops up to ``most``: each round expands the newest frontier only."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: int | None = 10, directed: bool = True) -> DataFrame:
+    """source, id, distance in hops up to ``most`` (None: all): each round expands the newest frontier only."""
     steps = edges.select("src", "dst").distinct() if directed else both_ways(edges)
     steps = cut(steps)
     seen = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")).distinct())
-    for hop in range(1, most + 1):
+    for hop in count(1) if most is None else range(1, most + 1):
         front = seen.filter(F.col("distance") == hop - 1).select("source", F.col("id").alias("src"))
         new = front.join(steps, "src").select("source", F.col("dst").alias("id")).distinct().join(seen, ["source", "id"], "left_anti").withColumn("distance", F.lit(hop))
         grown = cut(seen.unionByName(new))
@@ -184,7 +186,7 @@ def closeness(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame
     return d.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("reached"), (F.count("*") / F.sum("distance")).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, most: int | None = 10) -> DataFrame:
     """id, betweenness: shortest-path dependencies of the given sources (all vertices: exact), over undirected hops."""
     steps = cut(both_ways(edges))
     d = shortest_paths(edges, sources, most, directed=False)

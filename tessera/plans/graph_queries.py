@@ -46,12 +46,11 @@ def paths(spark, d):
 
 
 def components(spark, d):
-    e = T.together(spark, d)
-    return G.connected_components(e.filter("(src + dst) % 5 = 0"))
+    return G.connected_components(T.together(spark, d))
 
 
 def strong(spark, d):
-    return G.strongly_connected_components(T.supply_graph(spark, d).filter("amount >= 60"))
+    return G.strongly_connected_components(T.supply_graph(spark, d))
 
 
 def labels(spark, d):
@@ -82,8 +81,8 @@ def closeness(spark, d):
 
 
 def betweenness(spark, d):
-    e = T.supply_graph(spark, d).filter("amount >= 60")
-    return G.betweenness(e, G.vertices(e)).select("id", F.round("betweenness", 6).alias("betweenness"))
+    e = T.supply_graph(spark, d)
+    return G.betweenness(e, G.vertices(e), None).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 def cycles(spark, d):

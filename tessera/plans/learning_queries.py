@@ -101,7 +101,7 @@ def dbscan(spark, d):
 
 
 def simrank(spark, d):
-    return M.simrank(T.bought(spark, d).filter("quantity >= 60").select("user", "item"), 0.6, 2).withColumn("similarity", F.round("similarity", 7))
+    return M.simrank(T.bought(spark, d).select("user", "item"), 0.6, 2).withColumn("similarity", F.round("similarity", 7))
 
 
 def splits(spark, d):
@@ -199,7 +199,7 @@ def topics(spark, d):
 
     words = T.load(spark, d, "documents").select("doc_id", F.split("text", r"\s+").alias("words"))
     rows = HashingTF(inputCol="words", outputCol="features", numFeatures=2048).transform(words)
-    model = LDA(k=4, maxIter=3, seed=7, optimizer="online").fit(rows)
+    model = LDA(k=4, maxIter=3, seed=7, optimizer="online", subsamplingRate=1.0).fit(rows)
     return model.describeTopics(8).select("topic", F.posexplode("termIndices").alias("place", "term"))
 
 

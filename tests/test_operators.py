@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from tessera.operators import boosting, graph, learning
 from tessera.sources import edges as sources
 
@@ -28,6 +30,40 @@ def test_betweenness_of_a_path(spark):
     assert got[2] == 2.0 and got[1] == got[3] == 0.0
 
 
+def test_betweenness_beyond_ten_hops(spark):
+    e = edge_table(spark, [(k, k + 1) for k in range(13)])
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(e, graph.vertices(e), None).collect()}
+    assert got == {k: 2.0 * k * (13 - k) for k in range(14)}
+
+
+def test_queries_without_sql_take_the_whole_input(spark, monkeypatch):
+    from pyspark.ml import clustering
+
+    from tessera.plans import graph_queries, learning_queries, tables
+
+    sf = "/root/testdata/sf0.001"
+    taken, rates = {}, []
+    for module, name in ((graph, "connected_components"), (graph, "strongly_connected_components"), (graph, "betweenness"), (learning, "simrank")):
+        def keep(e, *rest, name=name):
+            taken[name] = e.count()
+            raise InterruptedError
+
+        monkeypatch.setattr(module, name, keep)
+    for query in (graph_queries.components, graph_queries.strong, graph_queries.betweenness, learning_queries.simrank):
+        with pytest.raises(InterruptedError):
+            query(spark, sf)
+    supplies = tables.supply_graph(spark, sf).count()
+    assert taken == {"connected_components": tables.together(spark, sf).count(), "strongly_connected_components": supplies, "betweenness": supplies, "simrank": tables.bought(spark, sf).count()}
+
+    def fit(lda, rows, fitted=clustering.LDA.fit):
+        rates.append(lda.getSubsamplingRate())
+        return fitted(lda, rows)
+
+    monkeypatch.setattr(clustering.LDA, "fit", fit)
+    learning_queries.topics(spark, sf)
+    assert rates == [1.0]
+
+
 def test_dbscan_finds_two_clusters_and_noise(spark):
     pts = [(1, [0.0, 0.0]), (2, [0.1, 0.0]), (3, [0.0, 0.1]), (4, [5.0, 5.0]), (5, [5.1, 5.0]), (6, [5.0, 5.1]), (7, [9.0, 0.0])]
     got = {r["id"]: (r["label"], r["prediction"]) for r in learning.dbscan(spark.createDataFrame(pts, "id long, vec array<double>"), 0.3, 3).collect()}
