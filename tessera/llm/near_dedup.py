@@ -2,15 +2,15 @@
 
 1. Each text becomes the set of its hashed 5-word shingles and a MinHash signature; equal sets are one node.
 2. The forest: the signature is read in TREES orders of DEPTH values each. In a tree's sorted order the nodes with
-   a common prefix stand together. A region is the nodes with a common prefix of SHALLOW values; where that holds
-   more than REGION nodes the prefix is DEPTH values, and where that is still too many the region is taken in pairs
-   of blocks, so that none is capped and no task holds more than two blocks.
+   a common prefix stand together. A region is the nodes with a common prefix of SHALLOW values, however many; one
+   of more than REGION nodes is taken in pairs of blocks, so that none is capped and no task holds more than two
+   blocks. A longer prefix would make smaller regions, but miss more links with the same trees.
 3. Within a region a sketch of the signature (2 bits a value) tells which nodes may be similar enough; a region
    gives a spanning forest of those, not all pairs. Their connected components are the clusters.
 4. Within a cluster links are confirmed on the full sets: 100 * intersection >= 85 * union. A pair is only left
    untested if both are already known to be linked through others.
 
-At a similarity of 0.85 a pair shares a prefix of 4 values in one of 16 trees but for 1 pair in 130,000.
+At a similarity of 0.85 a pair shares a prefix of 4 values in one of 16 trees but for 1 pair in 130,000, at every size.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
 
 
 def _forest(nodes: DataFrame) -> DataFrame:
-    """A row for each node and tree: the hashes of its short and long prefix, and the node's sketch."""
+    """A row for each node and tree: the hash of its prefix, and the node's sketch."""
     powers = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,15 +105,12 @@ def _forest(nodes: DataFrame) -> DataFrame:
                 short = tree + np.uint64(1)
                 for d in range(SHALLOW):
                     short = _mix(short * np.uint64(31) + sig[:, :, d])
-                long = short
-                for d in range(SHALLOW, DEPTH):
-                    long = _mix(long * np.uint64(31) + sig[:, :, d])
                 flat = sig.reshape(n, TREES * DEPTH)
                 bits = [((flat[:, half * 64 : half * 64 + 64] >> np.uint64(b) & np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64) for b in (0, 1) for half in (0, 1)]
-                columns = [np.repeat(batch.column(0).to_numpy(), TREES), short.ravel().astype(np.int64), long.ravel().astype(np.int64)] + [np.repeat(b.astype(np.int64), TREES) for b in bits]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["node", "short", "long", "s0", "s1", "s2", "s3"])
+                columns = [np.repeat(batch.column(0).to_numpy(), TREES), short.ravel().astype(np.int64)] + [np.repeat(b.astype(np.int64), TREES) for b in bits]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["node", "region", "s0", "s1", "s2", "s3"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "node long, short long, long long, s0 long, s1 long, s2 long, s3 long")
+    return nodes.select("node", "signature").mapInArrow(run, "node long, region long, s0 long, s1 long, s2 long, s3 long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -309,9 +306,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = materialise(nodes, folder, "nodes")
     forest = materialise(_forest(nodes), folder, "forest")
 
-    crowded = forest.groupBy("short").agg(F.count("*").alias("n")).filter("n > 1")
-    placed = forest.join(crowded, "short").withColumn("region", F.when(F.col("n") <= REGION, F.col("short")).otherwise(F.col("long"))).withColumn("depth", F.when(F.col("n") <= REGION, SHALLOW).otherwise(DEPTH)).select(F.xxhash64("region", "depth").alias("region"), "node", "s0", "s1", "s2", "s3")
-    regions = in_blocks(placed, ["region"], "node", REGION)
+    regions = in_blocks(forest, ["region"], "node", REGION)
     maybe = materialise(_by_group(regions, ["region", "pair"], ["node", "s0", "s1", "s2", "s3"], _region_edges).distinct(), folder, "maybe")
     clusters = connected_components(maybe, folder, "clusters")
 

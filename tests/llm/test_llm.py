@@ -109,6 +109,16 @@ def test_near_duplicates_cut_into_blocks(spark, monkeypatch):
     assert got == {k: 0 for k in range(30)} | {99: 99}
 
 
+def test_near_duplicates_at_the_threshold_in_crowded_regions(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 1)
+    rows = []
+    for k in range(1500):  # 181 of 211 shingles in common: 0.858
+        words = [f"w{k}x{j}" for j in range(200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:185], *(f"v{k}x{j}" for j in range(15))]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in got if r["component_id"] != r["doc_id"] // 2 * 2] == []
+
+
 def test_rules_against_brute_force(docs):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t in texts(docs).items():
