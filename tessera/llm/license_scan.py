@@ -19,6 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 #: Licenses as their words (lower case, other characters as one blank): label, name, short identifier, keyword.
+#: The keyword stands in every form of the name; forms without it have a row of their own, without an identifier.
 NAMES = (
     ("agpl-3.0", "gnu affero general public license( version| v)? 3( 0)?|gnu agpl ?v?3", "agpl 3 0", "gnu"),
     ("agpl", "gnu affero general public license|gnu agpl", "agpl", "gnu"),
@@ -32,7 +33,8 @@ NAMES = (
     ("apache-2.0", "apache license( version| v)? 2( 0)?|apache 2 0( license)?", "apache 2 0", "apache"),
     ("apache-1.1", "apache (software )?license( version| v)? 1 1", "apache 1 1", "apache"),
     ("apache", "apache (software )?license", "apache", "apache"),
-    ("mit", "mit license|mit x11 license|expat license", "mit", "mit"),
+    ("mit", "mit license|mit x11 license", "mit", "mit"),
+    ("mit", "expat license", "", "expat"),
     ("bsd-2-clause", "(simplified|2 clause|two clause|freebsd) bsd license|bsd 2 clause( license)?", "bsd 2 clause", "bsd"),
     ("bsd-3-clause", "(modified|new|revised|3 clause|three clause) bsd license|bsd 3 clause( license)?", "bsd 3 clause", "bsd"),
     ("bsd-4-clause", "(original|4 clause) bsd license|bsd 4 clause( license)?", "bsd 4 clause", "bsd"),
@@ -51,19 +53,26 @@ NAMES = (
     ("artistic", "artistic license", "artistic 1 0", "artistic"),
     ("bsl-1.0", "boost software license", "bsl 1 0", "boost"),
     ("unlicense", "the unlicense|unlicense org", "unlicense", "unlicense"),
-    ("wtfpl", "do what the fuck you want to public license|wtfpl", "wtfpl", "public"),
+    ("wtfpl", "do what the fuck you want to public license", "wtfpl", "public"),
+    ("wtfpl", "wtfpl", "", "wtfpl"),
     ("postgresql", "postgresql license", "postgresql", "postgresql"),
     ("psf-2.0", "python software foundation license|psf license", "psf 2 0", "license"),
     ("openssl", "openssl license", "openssl", "openssl"),
     ("ofl-1.1", "sil open font license", "ofl 1 1", "font"),
     ("odbl-1.0", "open database license", "odbl 1 0", "database"),
     ("odc-by-1.0", "open data commons attribution license", "odc by 1 0", "commons"),
-    ("cc0-1.0", "cc0|creative commons zero", "cc0 1 0", "cc0"),
-    ("cc-by-nc-nd", "cc by nc nd( [0-9] 0)?|creative commons attribution noncommercial no ?derivatives", "cc by nc nd 4 0", "nc"),
-    ("cc-by-nc-sa", "cc by nc sa( [0-9] 0)?|creative commons attribution noncommercial share ?alike", "cc by nc sa 4 0", "nc"),
-    ("cc-by-nc", "cc by nc( [0-9] 0)?|creative commons attribution non ?commercial", "cc by nc 4 0", "nc"),
-    ("cc-by-sa", "cc by sa( [0-9] 0)?|creative commons attribution share ?alike", "cc by sa 4 0", "sa"),
-    ("cc-by-nd", "cc by nd( [0-9] 0)?|creative commons attribution no ?derivatives", "cc by nd 4 0", "nd"),
+    ("cc0-1.0", "cc0", "cc0 1 0", "cc0"),
+    ("cc0-1.0", "creative commons zero", "", "zero"),
+    ("cc-by-nc-nd", "cc by nc nd( [0-9] 0)?", "cc by nc nd 4 0", "nc"),
+    ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?derivatives", "", "commercial"),
+    ("cc-by-nc-sa", "cc by nc sa( [0-9] 0)?", "cc by nc sa 4 0", "nc"),
+    ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike", "", "commercial"),
+    ("cc-by-nc", "cc by nc( [0-9] 0)?", "cc by nc 4 0", "nc"),
+    ("cc-by-nc", "creative commons attribution non ?commercial", "", "commercial"),
+    ("cc-by-sa", "cc by sa( [0-9] 0)?", "cc by sa 4 0", "sa"),
+    ("cc-by-sa", "creative commons attribution share ?alike", "", "alike"),
+    ("cc-by-nd", "cc by nd( [0-9] 0)?", "cc by nd 4 0", "nd"),
+    ("cc-by-nd", "creative commons attribution no ?derivatives", "", "derivatives"),
     ("cc-by", "cc by( [0-9] 0)?|creative commons attribution", "cc by 4 0", "c"),
     ("public-domain", "dedicated to the public domain|released into the public domain", "public domain", "domain"),
     ("proprietary", "all rights reserved|proprietary and confidential", "licenseref proprietary", "r"),
@@ -101,6 +110,8 @@ def rules() -> list[tuple[str, int, float, str, str]]:
     made = [(label, 2, 0.9, keyword, pattern) for label, pattern, keyword in TEXTS]
     for priority, weight, form in FORMS:
         for label, name, short, keyword in NAMES:
+            if "spdx" in form and not short:
+                continue
             made.append((label, priority, weight, "spdx" if "spdx" in form else keyword, form.format(name=name, short=short)))
     return sorted(made, key=lambda r: r[1])
 

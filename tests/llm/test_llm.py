@@ -147,6 +147,33 @@ def test_licenses_against_brute_force(spark):
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
+def test_license_rules_hold_their_keywords(spark):
+    from re import _parser
+
+    def every(parsed):
+        """All texts that a pattern of literals, ranges, options and alternatives matches."""
+        out = [""]
+        for op, x in parsed:
+            if str(op) == "LITERAL":
+                part = [chr(x)]
+            elif str(op) == "IN":
+                part = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in x]
+            elif str(op) == "SUBPATTERN":
+                part = every(x[-1])
+            elif str(op) == "BRANCH":
+                part = [t for b in x[1] for t in every(b)]
+            else:
+                assert str(op) == "MAX_REPEAT" and x[:2] == (0, 1)
+                part = ["", *every(x[2])]
+            out = [a + b for a in out for b in part]
+        return out
+
+    assert [(k, t) for _, _, _, k, rx in license_scan.rules() for t in every(_parser.parse(rx)) if k not in t] == []
+    want = {"Released under the Expat License": "mit", "Creative Commons Zero": "cc0-1.0", "wtfpl": "wtfpl", "Creative Commons Attribution ShareAlike": "cc-by-sa", "Creative Commons Attribution No Derivatives": "cc-by-nd", "Creative Commons Attribution Non Commercial": "cc-by-nc", "Creative Commons Attribution Non Commercial Share Alike": "cc-by-nc-sa"}
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    assert {list(want)[r["doc_id"]]: r["labels"] for r in got} == want
+
+
 def test_pii_base_patterns_and_added_mentions(spark):
     rng = random.Random(2)
 
