@@ -22,7 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays (those without an id are their own class)."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
+    gone = near_duplicates(docs, 80).filter("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -1,13 +1,13 @@
 """MinHash near-duplicates with an LSH forest.
 
 1. Each text becomes the set of its hashed 5-word shingles and a MinHash signature; equal sets are one node.
-2. The forest: the signature is read in TREES orders of DEPTH values each. In a tree's sorted order the nodes with
+2. The forest: the signature is read in orders of SHALLOW values each, 16 at 85 percent, 22 at 80. In a tree's sorted order the nodes with
    a common prefix stand together. A region is the nodes with a common prefix of SHALLOW values, however many; one
    of more than REGION nodes is taken in pairs of blocks, so that none is capped and no task holds more than two
    blocks. A longer prefix would make smaller regions, but miss more links with the same trees.
 3. Within a region a sketch of the signature (2 bits a value) tells which nodes may be similar enough; a region
    gives a spanning forest of those, not all pairs. Their connected components are the clusters.
-4. Within a cluster links are confirmed on the full sets: 100 * intersection >= 85 * union. A pair is only left
+4. Within a cluster links are confirmed on the full sets: 100 * intersection >= percent * union. A pair is only left
    untested if both are already known to be linked through others.
 
 At a similarity of 0.85 a pair shares a prefix of 4 values in one of 16 trees but for 1 pair in 130,000, at every size.
@@ -15,7 +15,9 @@ At a similarity of 0.85 a pair shares a prefix of 4 values in one of 16 trees bu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,6 @@ SHINGLE, PERCENT = 5, 85
 TREES, SHALLOW, DEPTH = 16, 4, 8
 #: Nodes of a region, and of a block of a cluster, that one task handles at a time.
 REGION, BLOCK = 2048, 1024
-#: Differing sketch values of 128 up to which a pair may be a link: 14.4 expected at 0.85, plus 6 deviations.
-MOST_DIFFERENT = 36
 CACHE = 250_000
 
 _RNG = np.random.default_rng(20240229)
@@ -91,7 +91,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
     return map_texts(docs, "n_shingles long, set_a long, set_b long, signature binary", per_batch)
 
 
-def _forest(nodes: DataFrame) -> DataFrame:
+def _forest(nodes: DataFrame, trees: int) -> DataFrame:
     """A row for each node and tree: the hash of its prefix, and the node's sketch."""
     powers = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
@@ -100,14 +100,14 @@ def _forest(nodes: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 n = batch.num_rows
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, TREES, DEPTH).astype(np.uint64)
-                tree = np.arange(TREES, dtype=np.uint64)[None, :]
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, -1, SHALLOW).astype(np.uint64)
+                tree = np.arange(trees, dtype=np.uint64)[None, :]
                 short = tree + np.uint64(1)
                 for d in range(SHALLOW):
-                    short = _mix(short * np.uint64(31) + sig[:, :, d])
+                    short = _mix(short * np.uint64(31) + sig[:, :trees, d])
                 flat = sig.reshape(n, TREES * DEPTH)
                 bits = [((flat[:, half * 64 : half * 64 + 64] >> np.uint64(b) & np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64) for b in (0, 1) for half in (0, 1)]
-                columns = [np.repeat(batch.column(0).to_numpy(), TREES), short.ravel().astype(np.int64)] + [np.repeat(b.astype(np.int64), TREES) for b in bits]
+                columns = [np.repeat(batch.column(0).to_numpy(), trees), short.ravel().astype(np.int64)] + [np.repeat(b.astype(np.int64), trees) for b in bits]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["node", "region", "s0", "s1", "s2", "s3"])
 
     return nodes.select("node", "signature").mapInArrow(run, "node long, region long, s0 long, s1 long, s2 long, s3 long")
@@ -153,7 +153,7 @@ class Linked:
         return np.array([self.find(a) for a in range(len(self.up))], np.int64)
 
 
-def _region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _region_edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """For each region the edges (smallest node of a class, other node) of what the sketches do not tell apart."""
     out: list[np.ndarray] = []
     for group in _groups(batches, 2):
@@ -170,7 +170,7 @@ def _region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 near = np.zeros(len(rest), bool)
                 for f in front:
                     d = sketch[:, rest] ^ sketch[:, f, None]
-                    near |= np.bitwise_count(d[0] | d[2]) + np.bitwise_count(d[1] | d[3]) <= MOST_DIFFERENT
+                    near |= np.bitwise_count(d[0] | d[2]) + np.bitwise_count(d[1] | d[3]) <= most
                 front, rest = rest[near], rest[~near]
                 for f in front.tolist():
                     classes.join(first, f)
@@ -227,12 +227,12 @@ def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         labels = materialise(jumped, folder, f"{name}_{turn}")
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def link_classes(sets: list[np.ndarray]) -> np.ndarray:
+def link_classes(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """The class (index of its first member) of each set under the links between them, by exact counts.
 
     A set is counted against all sets that are not yet in its class, in one vectorised pass over their elements.
@@ -241,7 +241,7 @@ def link_classes(sets: list[np.ndarray]) -> np.ndarray:
     sizes = np.array([len(s) for s in sets], np.int64)
     classes = Linked(n)
     if n == 2:
-        if similar(*sets):
+        if similar(*sets, percent):
             classes.join(0, 1)
         return classes.roots()
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -249,7 +249,7 @@ def link_classes(sets: list[np.ndarray]) -> np.ndarray:
     marks = np.zeros(int(ids.max()) + 1, bool)
     for i in range(n - 1):
         roots = classes.roots()
-        fit = (np.arange(n) > i) & (roots != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i]))
+        fit = (np.arange(n) > i) & (roots != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
         others = np.flatnonzero(fit)
         if not len(others):
             continue
@@ -258,12 +258,12 @@ def link_classes(sets: list[np.ndarray]) -> np.ndarray:
         flat = np.concatenate([ids[starts[j] : starts[j] + sizes[j]] for j in others])
         common = np.add.reduceat(marks[flat].astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
         marks[own] = False
-        for j in others[100 * common >= PERCENT * (sizes[i] + sizes[others] - common)].tolist():
+        for j in others[100 * common >= percent * (sizes[i] + sizes[others] - common)].tolist():
             classes.join(i, j)
     return classes.roots()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Confirmed edges of each pair of blocks of a cluster."""
     out: list[np.ndarray] = []
     for group in _groups(batches, 2):
@@ -273,7 +273,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = []
         for k in range(0, len(order), 256):
             sets += shingle_sets([texts[int(i)].as_py() for i in order[k : k + 256]])
-        roots = link_classes(sets)
+        roots = link_classes(sets, percent)
         node = node[order]
         apart = roots != np.arange(len(node))
         if apart.any():
@@ -289,8 +289,22 @@ def _by_group(rows: DataFrame, keys: list[str], rest: list[str], run: Callable)
     return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Near-duplicate classes of whole texts.
+def trees_for(percent: int) -> int:
+    """Trees (4 values of the signature each) of which a pair at ``percent`` meets in one but for 1 in 100,000 pairs."""
+    trees = max(TREES, math.ceil(math.log(1e-5) / math.log(1 - (percent / 100) ** SHALLOW))) if 0 < percent < 100 else TREES
+    if percent <= 0 or trees * SHALLOW > TREES * DEPTH:
+        raise ValueError("the signature is too short for so low a percentage")
+    return trees
+
+
+def most_different(percent: int) -> int:
+    """Differing sketch values of 128 up to which a pair may be a link: those expected, plus 6 deviations."""
+    differ = 0.75 * (1 - percent / 100)
+    return math.ceil(TREES * DEPTH * differ + 6 * math.sqrt(TREES * DEPTH * differ * (1 - differ)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Near-duplicate classes of whole texts, linked from ``percent`` of common shingles on.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id =
     component_id). A text without words, empty or null, has no set, is linked with nothing and is kept. Rows with a
@@ -304,16 +318,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = rows.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "n_shingles")).alias("s")).select("doc_id", "s.*")
     nodes = rows.filter("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
     nodes = materialise(nodes, folder, "nodes")
-    forest = materialise(_forest(nodes), folder, "forest")
+    forest = materialise(_forest(nodes, trees_for(percent)), folder, "forest")
 
     regions = in_blocks(forest, ["region"], "node", REGION)
-    maybe = materialise(_by_group(regions, ["region", "pair"], ["node", "s0", "s1", "s2", "s3"], _region_edges).distinct(), folder, "maybe")
+    maybe = materialise(_by_group(regions, ["region", "pair"], ["node", "s0", "s1", "s2", "s3"], partial(_region_edges, most=most_different(percent))).distinct(), folder, "maybe")
     clusters = connected_components(maybe, folder, "clusters")
 
     members = in_blocks(clusters.withColumnRenamed("component", "cluster"), ["cluster"], "node", BLOCK)
     # Members grow with the input: a shuffled join at every size, never a broadcast that only small inputs get.
     texts = named.join(members.hint("merge"), named["doc_id"] == members["node"])
-    links = materialise(_by_group(texts, ["cluster", "pair"], ["node", "text"], _confirm).distinct(), folder, "links")
+    links = materialise(_by_group(texts, ["cluster", "pair"], ["node", "text"], partial(_confirm, percent=percent)).distinct(), folder, "links")
     classes = connected_components(links, folder, "classes")
 
     final = nodes.select("set_a", "set_b", "node").join(classes, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))

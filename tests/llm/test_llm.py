@@ -119,6 +119,17 @@ def test_near_duplicates_at_the_threshold_in_crowded_regions(spark, monkeypatch)
     assert [r["doc_id"] for r in got if r["component_id"] != r["doc_id"] // 2 * 2] == []
 
 
+def test_near_duplicates_of_the_pipeline_from_80_percent(spark):
+    import corpus_pipeline
+
+    words = [f"w{j}" for j in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:179], *(f"v{j}" for j in range(21))]))]  # 175 of 217: 0.806
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, df, SF).collect()] == [1]
+    assert all(r["kept"] for r in near_dedup.near_duplicates(df).collect())
+    assert near_dedup.trees_for(85) == 16 and near_dedup.trees_for(80) == 22 and near_dedup.most_different(85) == 36
+
+
 def test_rules_against_brute_force(docs):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t in texts(docs).items():
