@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,12 +37,22 @@ def lower_ascii(text: str) -> str:
     return text.encode().lower().decode()
 
 
-def texts_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def texts_of(batch: pa.RecordBatch, step: int = 256, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The batch in slices with its texts as Python strings (null: empty), so that few are held at once."""
-    at = batch.schema.get_field_index("text")
-    for k in range(0, batch.num_rows, step):
-        part = batch.slice(k, step)
-        yield part, [t or "" for t in part.column(at).to_pylist()]
+    for part, texts in slices_of(batch, step, most):
+        yield part, texts.to_pylist()
+
+
+def slices_of(batch: pa.RecordBatch, step: int = 256, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The batch in slices of up to ``step`` rows and about ``most`` bytes of text, with the texts (null: empty)."""
+    texts = pc.fill_null(batch.column(batch.schema.get_field_index("text")), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = min(start + step, max(start + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(start, end - start), texts.slice(start, end - start)
+        start = end
 
 
 def map_texts(docs: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch, list[str]], dict], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -78,3 +90,48 @@ def cached_joins(cut: list[list[str]], cache: dict[str, bytes], limit: int, lear
         for k in lacking:
             got[k] = list(map(cache.get, cut[k]))
     return [None if k in again and None in x else b"".join(x) for again in [set(lacking)] for k, x in enumerate(got)]
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``starts``, one after the other."""
+    shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return flat[shift + np.arange(len(shift))]
+
+
+class Learnt:
+    """Runs of numbers that belong to words, worked out once each; it starts anew when it holds over ``limit`` words.
+
+    ``learn`` gets words and returns their runs' numbers in a row and the runs' sizes.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.learn, self.limit = learn, limit
+        self.number: dict[str, int] = {}
+        self.flat = self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The places of distinct words in ``starts`` and ``sizes``, good until the next call."""
+        if len(self.number) > self.limit:
+            self.number = {}
+            self.flat = self.starts = self.sizes = np.zeros(0, np.int64)
+        at = list(map(self.number.get, words))
+        new = [w for w, k in zip(words, at, strict=True) if k is None]
+        if new:
+            first = len(self.number)
+            flat, sizes = self.learn(new)
+            self.number.update(zip(new, range(first, first + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat.astype(flat.dtype, copy=False), flat])
+            at = list(map(self.number.get, words))
+        return np.array(at, np.int64)
+
+    def joined(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """For lists of words without blanks all their runs in a row, and where each list's begin and the last ends."""
+        coded = words.flatten().dictionary_encode()
+        kinds = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ") if len(coded) else []
+        kind = self.numbers(kinds)[coded.indices.to_numpy()]
+        sizes = self.sizes[kind]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = words.offsets.to_numpy()
+        return gathered(self.flat, self.starts[kind], sizes), ends[offsets - offsets[0]]

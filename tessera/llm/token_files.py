@@ -10,22 +10,29 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cached_joins, texts_of
+from tessera.llm.shared import Learnt, gathered, slices_of
 
-#: Words whose ids a Python worker keeps; it starts anew when there are more. Only speed depends on it.
-CACHE = 1_200_000
+#: Pieces whose ids a Python worker keeps; it starts anew when there are more. Only speed depends on it.
+CACHE = 900_000
+#: Words with none of these characters are in normal form, have one lower form, and fall into these pieces.
+ODD = r"[^\x21-\x7EÀ-ÖØ-öø-ÿ]"
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+"
 #: A block ends at this many payload bytes or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
+#: Texts that are cut into words at a time, and about how many bytes of them.
+SLICE, SLICE_BYTES = 4000, 6 << 20
 #: Documents whose ids train the dictionary, those of the smallest hashes; it only affects the size of the files.
 DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 112_640
 
@@ -33,33 +40,70 @@ BLOCK_SCHEMA = "part int, seq int, start_in_part long, n_tokens long, first_doc_
 
 
 class Words:
-    """Encodes texts with the tokenizers library, each distinct stretch between blanks once.
+    """Encodes texts with the tokenizers library, each distinct piece of a word once.
 
     The tokenizer must split at white space, as the one given does: its pattern has no match that holds a blank,
-    and its normaliser works on each code point or on marks that follow a letter.
+    and its normaliser works on each code point or on marks that follow a letter. Words without ODD characters are
+    lowered and cut into pieces by Arrow, so that the library has but its merges to do; its model ends each piece
+    with a token of its own, by which the pieces are told apart. Other words take the whole way.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def _learn(self, words: list[str]) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for t, k in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([ODD, *added])
+        self.pieces, self.whole = Learnt(self._piece_ids, CACHE), Learnt(self._whole_ids, CACHE)
+        if not suffix or not self._pieces_agree():
+            self.odd = ".*"
+
+    def _pieces_agree(self) -> bool:
+        """Whether the tokenizer cuts and lowers characters that are not ODD as PIECE says."""
+        every = [c for c in map(chr, range(0x21, 0x180)) if not re.match(ODD, c)]
+        sample = ["it's", "I'LL", "a1b22", "x,;y", *(f"a{c}{c}9{c}" for c in every)]
+        return self.encode_all(pa.array([" ".join(sample)]))[0].tolist() == self.tokenizer.encode(" ".join(sample), add_special_tokens=False).ids
+
+    def _piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.merges.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        filled = np.fromiter(map(bool, pieces), bool, len(pieces))
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[filled] = np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
+        return ids, sizes
+
+    def _whole_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All words in one call, told apart by the places of their tokens."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(got.ids, "<u4")
         at = np.fromiter((s for s, _ in got.offsets), np.int64, len(ids))
-        ends = np.searchsorted(at, np.cumsum(sizes), "left") * 4
-        packed, start = ids.tobytes(), 0
-        for w, end in zip(words, ends.tolist(), strict=True):
-            self.cache[w] = packed[start:end]
-            start = end
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        return cached_joins([t.replace("\n", " ").split(" ") for t in texts], self.cache, CACHE, self._learn)
+        ends = np.searchsorted(at, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1), "left")
+        return ids, np.diff(ends, prepend=0)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of ids before each text and at the end."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        kinds = coded.dictionary
+        odd = pc.match_substring_regex(kinds, self.odd)
+        cut = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(kinds.filter(pc.invert(odd))), PIECE, r"\0 "), " ")
+        flat, ends = self.pieces.joined(cut)
+        rest = kinds.filter(odd)
+        whole, whole_ends = self.whole.joined(pa.ListArray.from_arrays(pa.array(range(len(rest) + 1), pa.int32()), rest))
+        order = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")  # where the pieces' words and the others stand
+        starts, sizes = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64)
+        starts[order] = np.concatenate([ends[:-1], len(flat) + whole_ends[:-1]])
+        sizes[order] = np.concatenate([np.diff(ends), np.diff(whole_ends)])
+        kind = coded.indices.to_numpy()
+        ids = gathered(np.concatenate([flat, whole]).astype("<u4"), starts[kind], sizes[kind])
+        offsets = words.offsets.to_numpy()
+        return ids, np.concatenate([[0], np.cumsum(sizes[kind])])[offsets - offsets[0]]
 
 
 @functools.lru_cache(maxsize=2)
@@ -76,8 +120,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in texts_of(batch):
-                yield pa.record_batch([pa.array([x + end for x in words_of(tokenizer).encode_all(texts)])], names=["ids"])
+            for _, texts in slices_of(batch, SLICE, SLICE_BYTES):
+                ids, at = words_of(tokenizer).encode_all(texts)
+                yield pa.record_batch([pa.array([ids[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:], strict=True)])], names=["ids"])
 
     samples = [bytes(r[0]) for r in docs.select("doc_id", "text").filter(F.col("doc_id").isin(ids)).mapInArrow(run, "ids binary").limit(2 * DICTIONARY_DOCS).collect()]
     try:
@@ -100,7 +145,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        part, seq, done = TaskContext.get().partitionId(), 0, 0
+        part, seq, done, end = TaskContext.get().partitionId(), 0, 0, end_id.to_bytes(4, "little")
         ids, counts, offsets, frames, size = [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -110,9 +155,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for rows, texts in texts_of(batch):
-                for doc_id, tokens in zip(rows.column(0).to_pylist(), words_of(tokenizer).encode_all(texts), strict=True):
-                    tokens += end_id.to_bytes(4, "little")
+            for rows, texts in slices_of(batch, SLICE, SLICE_BYTES):
+                flat, at = words_of(tokenizer).encode_all(texts)
+                for doc_id, a, b in zip(rows.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    tokens = flat[a:b].tobytes() + end
                     frames.append(packer.compress(tokens))
                     ids.append(doc_id)
                     counts.append(len(tokens) // 4)
