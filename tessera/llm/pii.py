@@ -4,8 +4,13 @@ The nodes of a document are its base spans, whose labels are given, and its othe
 7 or more digits with any separators, and words with an at sign or a spelt-out one. Neighbouring nodes are joined
 by chain edges, nodes with the same digits or the same letters by skip edges, however far apart they are. Loopy
 belief propagation over both gives each free node its label, so that a number or address that is written in an
-odd way takes the label of its other mentions. Potentials are log ratios of counts over the whole corpus, with the
-base spans as labels.
+odd way takes the label of its other mentions.
+
+Potentials are log ratios of counts over the whole corpus. The base spans are the labelled examples of their kinds;
+candidates that share no key with a base span of their document are those of OTHER, and candidates that do share
+one are not counted, since their label is what is asked. What makes a stretch a base span (its sign and separators)
+is no feature, as no candidate could have it. Every ratio is mixed with a uniform part, so that a potential does not
+grow with the size of the corpus.
 """
 
 from __future__ import annotations
@@ -37,10 +42,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"[+(]?[0-9](?:[\x20()./_-]{0,2}[0-9]){6,}")
 ADDRESS = re.compile(r"[^\s@\[\]()<>,;]{1,64}(?:@|\[at\]|\(at\)|\[@\])[^\s@\[\]()<>,;]{1,128}", re.IGNORECASE)
 
-#: Neighbours within this many characters get a chain edge; rounds of message passing; smoothing of the counts.
-CHAIN_GAP, ROUNDS, SMOOTHING = 200, 8, 0.5
+#: Neighbours within this many characters get a chain edge; rounds of message passing.
+CHAIN_GAP, ROUNDS = 200, 8
+#: Smoothing of the counts; the uniform part of each ratio, and the number of values it spreads over.
+SMOOTHING, UNIFORM, VALUES = 0.5, 0.1, 16
 #: Pairs with one key and one label that the skip potential starts from; only pairs of base spans are counted.
-SAME_BEFORE = 50.0
+SAME_BEFORE = 1000.0
 
 Span = tuple[str, int, int]
 Model = dict[str, dict]
@@ -106,10 +113,11 @@ def nodes_of(text: str, base: list[Span]) -> list[tuple[str | None, int, int]]:
     return sorted([*base, *free], key=lambda n: (n[1], n[2], n[0] or ""))
 
 
-def features(text: str) -> list[str]:
-    digits = _digits(text)
-    seps = "".join(sorted({c for c in text if not c.isalnum() and c != "@"}))[:4]
-    return [f"n{min(len(digits), 20)}", f"s{seps}", f"at{'@' in text or '[at]' in text.lower() or '(at)' in text.lower()}", f"plus{text[0] == '+'}", f"abc{any(c.isalpha() for c in text)}", f"luhn{16 <= len(digits) <= 19 and luhn(digits)}", f"groups{min(6, len(re.findall('[0-9]+', text)))}"]
+def features(text: str, start: int, end: int) -> list[str]:
+    """Features of a stretch that base spans and other candidates can share."""
+    own, around = text[start:end], text[start - 1 : start] + text[end : end + 1]
+    digits, at = _digits(own), "@" in own or "[at]" in own.lower() or "(at)" in own.lower()
+    return [f"n{0 if at else min(len(digits), 20)}", f"at{at}", f"abc{any(c.isalpha() for c in own)}", f"luhn{16 <= len(digits) <= 19 and luhn(digits)}", f"inside{any(c.isalnum() for c in around)}"]
 
 
 def keys(text: str) -> list[str]:
@@ -135,7 +143,7 @@ def edges_of(nodes: list[tuple], text: str) -> tuple[list[tuple[int, int]], list
 
 
 def train(docs: DataFrame) -> Model:
-    """Potentials from counts over all texts; the counts have a bounded number of keys (shapes and labels)."""
+    """Potentials from counts over all texts; the counts have a bounded number of keys (features and labels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -143,16 +151,19 @@ def train(docs: DataFrame) -> Model:
             for _, texts in texts_of(batch):
                 for text in texts:
                     nodes = nodes_of(text, base_spans(text))
-                    labels = [n[0] or OTHER for n in nodes]
+                    shared = {key for label, s, e in nodes if label for key in keys(text[s:e])} if any(n[0] is None for n in nodes) else set()
+                    labels = [label or (None if shared.intersection(keys(text[s:e])) else OTHER) for label, s, e in nodes]
                     for label, (_, s, e) in zip(labels, nodes, strict=True):
-                        counts["label", label, ""] += 1
-                        for f in features(text[s:e]):
-                            counts["unary", label, f] += 1
+                        if label:
+                            counts["label", label, ""] += 1
+                            for f in features(text, s, e):
+                                counts["unary", label, f] += 1
                     chain, skip = edges_of(nodes, text) if len(nodes) > 1 else ([], [])
                     for a, b in chain:
-                        counts["chain", labels[a], labels[b]] += 1
+                        if labels[a] and labels[b]:
+                            counts["chain", labels[a], labels[b]] += 1
                     for a, b in skip:
-                        if OTHER not in (labels[a], labels[b]):
+                        if nodes[a][0] and nodes[b][0]:
                             counts["skip", str(labels[a] == labels[b]), ""] += 1
         what, a, b = zip(*counts, strict=True) if counts else ((), (), ())
         yield pa.record_batch([pa.array(what, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["what", "a", "b", "n"])
@@ -166,45 +177,51 @@ def train(docs: DataFrame) -> Model:
     mass = sum(left.values())
     agree, differ = n.get(("skip", "True", ""), 0) + SAME_BEFORE, n.get(("skip", "False", ""), 0) + 1.0
     return {
-        "prior": {c: math.log((total[c] + SMOOTHING) / (sum(total.values()) + SMOOTHING * len(LABELS))) for c in LABELS},
-        "unary": {(c, r["b"]): math.log((n.get(("unary", c, r["b"]), 0) + SMOOTHING) / (total[c] + 2 * SMOOTHING)) for r in rows if r["what"] == "unary" for c in LABELS},
-        "unseen": {c: math.log(SMOOTHING / (total[c] + 2 * SMOOTHING)) for c in LABELS},
-        "chain": {(a, b): math.log(chain[a, b] * mass / (left[a] * right[b])) for a in LABELS for b in LABELS},
+        "prior": {c: math.log((1 - UNIFORM) * (total[c] + SMOOTHING) / (sum(total.values()) + SMOOTHING * len(LABELS)) + UNIFORM / len(LABELS)) for c in LABELS},
+        "unary": {(c, f): math.log((1 - UNIFORM) * n.get(("unary", c, f), 0) / total[c] + UNIFORM / VALUES if total[c] else 1 / VALUES) for f in sorted({r["b"] for r in rows if r["what"] == "unary"}) for c in LABELS},
+        "unseen": {c: math.log(UNIFORM / VALUES if total[c] else 1 / VALUES) for c in LABELS},
+        "chain": {(a, b): math.log((1 - UNIFORM) * chain[a, b] * mass / (left[a] * right[b]) + UNIFORM) for a in LABELS for b in LABELS},
         "skip": {"same": math.log(max(agree / differ, 1.0) * len(KINDS))},
     }
 
 
-def infer(text: str, base: list[Span], model: Model) -> list[Span]:
-    """The spans that belief propagation adds to the base spans."""
-    nodes = nodes_of(text, base)
-    if all(n[0] for n in nodes):
-        return []
-    chain, skip = edges_of(nodes, text)
-    local = []
-    for label, s, e in nodes:
-        shape = features(text[s:e])
-        local.append([(0.0 if c == label else -50.0) if label else model["prior"][c] + sum(model["unary"].get((c, f), model["unseen"][c]) for f in shape) for c in LABELS])
-    chain_table = [[model["chain"][a, b] for b in LABELS] for a in LABELS]
-    same = model["skip"]["same"]
-    skip_table = [[same if a == b else 0.0 for b in LABELS] for a in LABELS]
-    links = [(a, b, chain_table) for a, b in chain] + [(a, b, skip_table) for a, b in skip]
-    messages = {(k, side): [0.0] * len(LABELS) for k in range(len(links)) for side in (0, 1)}
-    touching: list[list[tuple[int, int]]] = [[] for _ in nodes]
+def beliefs(local: list[list[float]], links: list[tuple[int, int, list[list[float]]]], rounds: int = ROUNDS) -> list[list[float]]:
+    """Log beliefs (up to a constant a node) after ``rounds`` of sum-product messages over links (node, node, table)."""
+    width = len(local[0]) if local else 0
+    messages = {(k, side): [0.0] * width for k in range(len(links)) for side in (0, 1)}
+    touching: list[list[tuple[int, int]]] = [[] for _ in local]
     for k, (a, b, _) in enumerate(links):  # message 0 of a link goes to its second end, message 1 to its first
         touching[a].append((k, 1))
         touching[b].append((k, 0))
     belief = [list(x) for x in local]
-    for _ in range(ROUNDS):
+    for _ in range(rounds if links else 0):
         fresh = {}
         for k, (a, b, table) in enumerate(links):
             for side, source in ((0, a), (1, b)):
                 back = messages[k, 1 - side]
-                out = [belief[source][i] - back[i] for i in range(len(LABELS))]
-                scores = [[out[i] + (table[i][j] if side == 0 else table[j][i]) for i in range(len(LABELS))] for j in range(len(LABELS))]
+                out = [belief[source][i] - back[i] for i in range(width)]
+                scores = [[out[i] + (table[i][j] if side == 0 else table[j][i]) for i in range(width)] for j in range(width)]
                 message = [max(x) + math.log(sum(math.exp(v - max(x)) for v in x)) for x in scores]
                 fresh[k, side] = [v - max(message) for v in message]
         messages = fresh
-        belief = [[local[v][i] + sum(messages[k, way][i] for k, way in touching[v]) for i in range(len(LABELS))] for v in range(len(nodes))]
+        belief = [[local[v][i] + sum(messages[k, way][i] for k, way in touching[v]) for i in range(width)] for v in range(len(local))]
+    return belief
+
+
+def infer(text: str, base: list[Span], model: Model) -> list[Span]:
+    """The spans that belief propagation adds to the base spans."""
+    nodes = nodes_of(text, base)
+    if all(n[0] for n in nodes):
+        return []
+    chain, skip = edges_of(nodes, text)
+    local = []
+    for label, s, e in nodes:
+        own = features(text, s, e)
+        local.append([(0.0 if c == label else -50.0) if label else model["prior"][c] + sum(model["unary"].get((c, f), model["unseen"][c]) for f in own) for c in LABELS])
+    chain_table = [[model["chain"][a, b] for b in LABELS] for a in LABELS]
+    same = model["skip"]["same"]
+    skip_table = [[same if a == b else 0.0 for b in LABELS] for a in LABELS]
+    belief = beliefs(local, [(a, b, chain_table) for a, b in chain] + [(a, b, skip_table) for a, b in skip])
     return [(LABELS[best], s, e) for (label, s, e), x in zip(nodes, belief, strict=True) if not label and (best := max(range(len(LABELS)), key=x.__getitem__)) < len(KINDS)]
 
 
