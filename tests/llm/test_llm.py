@@ -73,6 +73,22 @@ def test_token_files_hold_the_library_s_ids(spark, docs, odd):
             assert r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
             start += len(ids)
         assert token_files.read_document(spark, path, rows[-1]["doc_id"]) == rows[-1]["ids"]
+    path = shared_dir(spark)
+    token_files.write_tokens(odd.limit(0), path, public.path("word_bpe_49k.json"), 1)
+    assert token_files.read_tokens(spark, path).collect() == []
+
+
+def test_token_ids_of_any_characters():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    ref, words, rng = Tokenizer.from_file(path), token_files.Words(path), random.Random(6)
+    chars = [*"abZÉé'sSTDl \n\t  ,.;ßİſﬁ1²½9 ªºµ×÷ÿŸ\u0301中\U0001f600x\x0b\x1c\x85\xa0\u3000", "<|endoftext|>", "'VE", "'re"]
+    for _ in range(100):
+        batch = ["".join(rng.choice(chars) for _ in range(rng.randrange(40))) for _ in range(20)]
+        ids, at = words.encode_all(pa.array(batch))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ref.encode(t, add_special_tokens=False).ids for t in batch]
 
 
 def test_near_duplicates_against_all_pairs(spark, docs):
@@ -204,6 +220,47 @@ def test_pii_base_patterns_and_added_mentions(spark):
     assert f"phone:{text.index('1.555')}" in got["spans"]
 
 
+def test_belief_propagation_against_all_labellings():
+    import itertools
+    import math
+
+    rng = random.Random(9)
+    right = tried = 0
+    for turn in range(120):
+        n, width = rng.randrange(1, 7), rng.randrange(2, 4)
+        local = [[rng.uniform(-2, 2) for _ in range(width)] for _ in range(n)]
+        pairs = [(rng.randrange(k), k) for k in range(1, n)]  # a tree
+        loops = [p for p in itertools.combinations(range(n), 2) if p not in pairs] if turn % 2 else []
+        links = [(a, b, [[rng.uniform(-1, 1) + (i == j) for j in range(width)] for i in range(width)]) for a, b in pairs + loops[:2]]
+        mass = [[0.0] * width for _ in range(n)]
+        for labels in itertools.product(range(width), repeat=n):
+            w = math.exp(sum(local[k][x] for k, x in enumerate(labels)) + sum(t[labels[a]][labels[b]] for a, b, t in links))
+            for k, x in enumerate(labels):
+                mass[k][x] += w
+        for exact, got in zip(mass, pii.beliefs(local, links, 20), strict=True):
+            exact = [x / sum(exact) for x in exact]
+            got = [math.exp(x - max(got)) for x in got]
+            got = [x / sum(got) for x in got]
+            if not loops:
+                assert got == pytest.approx(exact, abs=1e-9)
+            elif max(exact) > 0.6:
+                tried += 1
+                right += exact.index(max(exact)) == got.index(max(got))
+    assert tried > 50 and right >= 0.95 * tried
+
+
+@pytest.mark.parametrize("base, others", [(5, 0), (200, 200), (3000, 50), (50, 3000)])
+def test_pii_added_in_corpora_of_any_size(base, others, spark):
+    text = "write to +1 (555) 010-2233 today. Later again: 1.555.010.2233 or 555-010-2233, and order 5550102234 of 77215550102"
+    rows = [(k, f"call +1 (555) 019-{k:04} or {k}.x@mail.example.com today") for k in range(base)]
+    rows += [(10_000 + k, f"order {5_000_000_000 + 37 * k} of batch {k}") for k in range(others)] + [(99_999, text)]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 99999").collect()}[99_999]
+    found = got["spans"].split(",")
+    assert f"phone:{text.index('1.555')}:{text.index('1.555') + 14}" in found and f"phone:{text.index('555-')}:{text.index('555-') + 12}" in found
+    if others:
+        assert not any(x.startswith(f"phone:{text.index('5550102234')}:") for x in found)
+
+
 def test_secrets_in_layers(spark):
     inner = "password=abcdefghijkl12345 tail"
     packed = base64.b64encode(gzip.compress(inner.encode())).decode()
@@ -227,6 +284,59 @@ def test_secrets_of_a_repeated_blob(spark):
         assert out["text"].count("[secret]") == 2
 
 
+def test_base_secrets_against_plain_patterns(spark):
+    def plain(t):
+        out = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.IGNORECASE | re.ASCII) if len(m[2]) >= 12]
+        out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+        return sorted(out, key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
+
+    rng = random.Random(10)
+    bits = ["password", "PassWD", "secret", "token", "ſecret", "api_key", "apikey", " ", "=", ": ", '"', "'", "AKIA", "ABC123", "0123456789abcdef", "abcdef", "xyz_./-+", "é", "\n"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(25)))) for k in range(600)]
+    got = {r["doc_id"]: r for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        want, r = plain(t), got[k]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[0] == kind for x in want) for kind in secret_scan.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in want).encode()).hexdigest()
+
+
+def test_secrets_in_every_sort_of_layer():
+    import time
+
+    import zstandard
+
+    inner = "password=abcdefghijkl12345 tail"
+    raw, zipped, pressed = inner.encode(), gzip.compress(inner.encode()), zstandard.ZstdCompressor().compress
+    b64 = lambda x: base64.b64encode(x).decode()
+    layers = {
+        "second member": b64(gzip.compress(b"nothing to see here") + zipped),
+        "second frame": b64(pressed(b"nothing") + pressed(raw)),
+        "packed twice": b64(pressed(zipped)),
+        "packed in URL escapes": "".join(f"%{c:02x}" for c in zipped),
+        "packed in Unicode escapes": "".join(f"\\x{c:02x}" for c in zlib.compress(raw)),
+        "beyond 64 MB": b64(gzip.compress(b"some of these words " * 4_000_000 + raw)),
+    }
+    for name, t in layers.items():
+        _, every = secret_scan.secrets_of(f"a {t} z")
+        assert ("assign", 2, 2 + len(t)) in every, name
+    assert [x[0] for x in secret_scan.secrets_of(b64(b"\xff\x00 " + raw))[1]] == ["assign"]
+    wrapped = base64.encodebytes(b"words before it, " * 9 + raw).decode()
+    (kind, s, e), = secret_scan.secrets_of(f"see\n{wrapped}end")[1]
+    assert kind == "assign" and "\n" in wrapped and 0 < e - s < 60
+    packed = base64.encodebytes(gzip.compress(random.Random(1).randbytes(300) + b" " + raw)).decode().strip()
+    assert ("assign", 4, 4 + len(packed)) in secret_scan.secrets_of(f"see\n{packed} end")[1]
+    assert [x[0] for x in secret_scan.secrets_of(base64.b64encode(b"0123456789abcdef").decode().rstrip("="))[1]] == ["hex"]
+    deep = inner
+    for _ in range(6):
+        deep = urllib.parse.quote(b64(gzip.compress(deep.encode())), safe="")
+    assert ("assign", 0, len(deep)) in secret_scan.secrets_of(deep)[1]
+    for t in ("a" * 500_000 + "%41" + "b" * 500_000, "Z%" * 500_000 + "%41", "\\" * 1_000_000 + "\\u0041", "中" * 1_000_000 + "%41"):
+        start = time.process_time()
+        secret_scan.secrets_of(t)
+        assert time.process_time() - start < 5  # quadratic patterns took hours
+
+
 def test_leaks_against_a_scan(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = {(i, b["item_id"]) for i, t in texts(docs).items() for b in items.collect() if f" {' '.join(decontaminate.words_of(b['text']))} " in f" {' '.join(decontaminate.words_of(t))} "}
@@ -236,6 +346,31 @@ def test_leaks_against_a_scan(spark, docs):
     assert left == set(texts(docs)) - {i for i, _ in want}
 
 
+def test_leaks_of_short_items(spark):
+    rng = random.Random(8)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 16)] + [(20, "What is it? The thing."), (21, "Where? Here")]
+    filler = lambda n: " ".join(f"f{rng.randrange(500)}" for _ in range(n))
+    rows = [(1000 + k, t) for k, t in items] + [(2000 + k, f"{filler(rng.randrange(200))} {t.upper()}, {filler(rng.randrange(200))}") for k, t in items]
+    rows += [(3000 + k, filler(300)) for k in range(20)] + [(1, None), (2, ""), (2, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, item_id int")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, table).collect()}
+    assert got == {(base + k, k) for base in (1000, 2000) for k, _ in items}
+    left = decontaminate.drop_leaks(docs, table)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 2, 2, *range(3000, 3020)]
+    assert decontaminate.drop_leaks(docs.limit(0), table).collect() == [] == decontaminate.find_leaks(docs.limit(0), table).collect()
+    assert decontaminate.drop_leaks(docs, table.limit(0)).count() == len(rows)
+
+
+def test_leaks_in_several_shards(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    once = sorted(decontaminate.find_leaks(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 300)
+    assert sorted(decontaminate.find_leaks(docs, items).collect()) == once and len(list(decontaminate.shards_of(items))) > 2
+    kept = {r["doc_id"] for r in decontaminate.drop_leaks(docs, items).collect()}
+    assert kept == set(texts(docs)) - {r["doc_id"] for r in once}
+
+
 def test_block_max_search_finds_all_above_the_threshold():
     rng = random.Random(4)
     items = [(k, " ".join(f"t{min(rng.randrange(60), rng.randrange(60))}" for _ in range(20))) for k in range(300)]
