@@ -1,16 +1,19 @@
 """MinHash near-duplicates with an LSH forest.
 
 1. Each text becomes the set of its hashed 5-word shingles and a MinHash signature; equal sets are one node.
-2. The forest: the signature is read in orders of SHALLOW values each, 16 at 85 percent, 22 at 80. In a tree's sorted order the nodes with
-   a common prefix stand together. A region is the nodes with a common prefix of SHALLOW values, however many; one
-   of more than REGION nodes is taken in pairs of blocks, so that none is capped and no task holds more than two
-   blocks. A longer prefix would make smaller regions, but miss more links with the same trees.
-3. Within a region a sketch of the signature (2 bits a value) tells which nodes may be similar enough; a region
-   gives a spanning forest of those, not all pairs. Their connected components are the clusters.
-4. Within a cluster links are confirmed on the full sets: 100 * intersection >= percent * union. A pair is only left
-   untested if both are already known to be linked through others.
-
-At a similarity of 0.85 a pair shares a prefix of 4 values in one of 16 trees but for 1 pair in 130,000, at every size.
+2. The forest: the signature is read in several orders of SHALLOW values and as many more. In an order the nodes are
+   sorted, and those with a long common prefix stand together. A region is the nodes with a common prefix of SHALLOW
+   values; where it has more than REGION nodes, it is cut at the least further depth that makes its parts that small.
+3. In a region, neighbours in the order (those with the longest common prefixes) are candidates first, then all
+   others not yet joined through them; a sketch of the signature (2 bits a value) tells which may be similar enough.
+   A region gives a spanning forest of those, not all pairs; the connected components are the clusters.
+4. What a cut region may have missed are pairs of different clusters. Of each such region the nodes outside its
+   commonest cluster are compared with all its nodes, in blocks: depth changes the work, not what is found.
+5. Within a cluster links are confirmed on the full sets: 100 * intersection >= percent * union. Clusters of more than
+   a block are dealt into blocks that share a few pivots; then those outside the cluster's largest confirmed class are
+   compared with all of it. A pair is only left untested if both are already known to be linked through others.
+
+At a similarity of 0.85 a pair shares a prefix of 4 values in one of 16 orders but for 1 pair in 130,000, at every size.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +33,10 @@ from tessera.llm.shared import cached_joins, map_texts, materialise, shared_dir
 
 SHINGLE, PERCENT = 5, 85
 TREES, SHALLOW, DEPTH = 16, 4, 8
-#: Nodes of a region, and of a block of a cluster, that one task handles at a time.
-REGION, BLOCK = 2048, 1024
+#: Nodes of a region or a part of it, nodes and shingles of a block of a cluster, that are compared at a time.
+REGION, BLOCK, BLOCK_SHINGLES = 512, 512, 2_000_000
+#: Nodes of a large cluster that all its blocks hold.
+PIVOTS = 8
 CACHE = 250_000
 
 _RNG = np.random.default_rng(20240229)
@@ -38,6 +44,7 @@ _MULTIPLY = _RNG.integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) +
 _ADD = _RNG.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
 _PLACE = _RNG.integers(1, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS: dict[bytes, bytes] = {}
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -92,7 +99,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
 
 
 def _forest(nodes: DataFrame, trees: int) -> DataFrame:
-    """A row for each node and tree: the hash of its prefix, and the node's sketch."""
+    """A row for each node and order: the hash of its prefix, its place behind it (16 bits a value), and its sketch."""
     powers = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,17 +107,19 @@ def _forest(nodes: DataFrame, trees: int) -> DataFrame:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 n = batch.num_rows
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, -1, SHALLOW).astype(np.uint64)
-                tree = np.arange(trees, dtype=np.uint64)[None, :]
-                short = tree + np.uint64(1)
+                flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, TREES * DEPTH).astype(np.uint64)
+                sig = flat.reshape(n, -1, SHALLOW)
+                further = np.roll(sig, -1, axis=1)
+                prefix = np.arange(trees, dtype=np.uint64)[None, :] + np.uint64(1)
+                place = np.zeros((n, trees), np.uint64)
                 for d in range(SHALLOW):
-                    short = _mix(short * np.uint64(31) + sig[:, :trees, d])
-                flat = sig.reshape(n, TREES * DEPTH)
+                    prefix = _mix(prefix * np.uint64(31) + sig[:, :trees, d])
+                    place = place << np.uint64(16) | further[:, :trees, d] & np.uint64(0xFFFF)
                 bits = [((flat[:, half * 64 : half * 64 + 64] >> np.uint64(b) & np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64) for b in (0, 1) for half in (0, 1)]
-                columns = [np.repeat(batch.column(0).to_numpy(), trees), short.ravel().astype(np.int64)] + [np.repeat(b.astype(np.int64), trees) for b in bits]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["node", "region", "s0", "s1", "s2", "s3"])
+                columns = [np.repeat(batch.column(0).to_numpy(), trees), prefix.ravel().astype(np.int64), place.ravel().astype(np.int64)] + [np.repeat(b.astype(np.int64), trees) for b in bits]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["node", "region", "place", *SKETCH])
 
-    return nodes.select("node", "signature").mapInArrow(run, "node long, region long, s0 long, s1 long, s2 long, s3 long")
+    return nodes.select("node", "signature").mapInArrow(run, "node long, region long, place long, s0 long, s1 long, s2 long, s3 long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -134,55 +143,85 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table
 
 
 class Linked:
-    """Union-find over 0..n-1; the root of a class is its smallest member."""
+    """Classes over 0..n-1 as an array; a class is named by its smallest member."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.of = np.arange(n)
 
-    def find(self, a: int) -> int:
-        while self.up[a] != a:
-            self.up[a] = self.up[self.up[a]]
-            a = self.up[a]
-        return a
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.of[a], self.of[b]
+        if x == y:
+            return False
+        self.of[self.of == max(x, y)] = min(x, y)
+        return True
 
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
 
-    def roots(self) -> np.ndarray:
-        return np.array([self.find(a) for a in range(len(self.up))], np.int64)
+def _near(sketch: np.ndarray, one: np.ndarray, most: int) -> np.ndarray:
+    """Which sketches (4 words a column) differ from one of them in at most ``most`` values."""
+    d = sketch ^ one[:, None]
+    return np.bitwise_count(d[0] | d[2]) + np.bitwise_count(d[1] | d[3]) <= most
+
+
+def _sketches(group: pa.Table) -> np.ndarray:
+    return np.stack([group.column(c).to_numpy() for c in SKETCH]).view(np.uint64)
+
+
+def _in_batches(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Edges (2 x n) as batches."""
+    held: list[np.ndarray] = []
+    for part in parts:
+        held.append(part)
+        if len(held) >= 2000:
+            yield _edges(held)
+            held = []
+    if held:
+        yield _edges(held)
+
+
+def _forest_of(node: np.ndarray, classes: Linked) -> Iterator[np.ndarray]:
+    """Edges from the first node of each class to its others."""
+    apart = classes.of != np.arange(len(node))
+    if apart.any():
+        yield np.stack([node[classes.of[apart]], node[apart]])
 
 
 def _region_edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """For each region the edges (smallest node of a class, other node) of what the sketches do not tell apart."""
-    out: list[np.ndarray] = []
-    for group in _groups(batches, 2):
-        node = group.column("node").to_numpy()
-        order = np.argsort(node, kind="stable")
-        node = node[order]
-        sketch = np.stack([group.column(f"s{k}").to_numpy()[order] for k in range(4)]).view(np.uint64)
-        classes = Linked(len(node))
-        rest = np.arange(len(node))
-        while len(rest) > 1:  # breadth first from the smallest node left, over those left
-            front, rest = rest[:1], rest[1:]
-            first = int(front[0])
-            while len(front) and len(rest):
-                near = np.zeros(len(rest), bool)
-                for f in front:
-                    d = sketch[:, rest] ^ sketch[:, f, None]
-                    near |= np.bitwise_count(d[0] | d[2]) + np.bitwise_count(d[1] | d[3]) <= most
-                front, rest = rest[near], rest[~near]
-                for f in front.tolist():
-                    classes.join(first, f)
-        roots = classes.roots()
-        apart = roots != np.arange(len(node))
-        if apart.any():
-            out.append(np.stack([node[roots[apart]], node[apart]]))
-        if len(out) >= 2000:
-            yield _edges(out)
-            out = []
-    if out:
-        yield _edges(out)
+    """For each region in its order the edges that join what the sketches do not tell apart."""
+
+    def found() -> Iterator[np.ndarray]:
+        for group in _groups(batches, 1):
+            node, sketch = group.column("node").to_numpy(), _sketches(group)
+            n = len(node)
+            classes = Linked(n)
+            d = sketch[:, 1:] ^ sketch[:, :-1]
+            for k in np.flatnonzero(np.bitwise_count(d[0] | d[2]) + np.bitwise_count(d[1] | d[3]) <= most).tolist():
+                classes.join(k, k + 1)
+            for k in range(n - 1 if classes.of.any() else 0):
+                rest = k + 1 + np.flatnonzero(classes.of[k + 1 :] != classes.of[k])
+                for j in rest[_near(sketch[:, rest], sketch[:, k], most)].tolist():
+                    classes.join(k, j)
+            yield from _forest_of(node, classes)
+
+    return _in_batches(found())
+
+
+def _across_edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks the edges that join nodes of different classes, by their sketches."""
+
+    def found() -> Iterator[np.ndarray]:
+        for group in _groups(batches, 3):
+            node, sketch, few = group.column("node").to_numpy(), _sketches(group), group.column("few").to_numpy(zero_copy_only=False)
+            kinds, kind = np.unique(group.column("class").to_numpy(), return_inverse=True)
+            classes = Linked(len(kinds))
+            many = np.flatnonzero(~few)
+            for i in np.flatnonzero(few).tolist():
+                rest = many[classes.of[kind[many]] != classes.of[kind[i]]]
+                for j in rest[_near(sketch[:, rest], sketch[:, i], most)].tolist():
+                    if classes.join(kind[i], kind[j]):
+                        yield np.array([[node[i]], [node[j]]])
+
+    return _in_batches(found())
 
 
 def _edges(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -191,18 +230,49 @@ def _edges(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
 
 
-def in_blocks(rows: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
-    """Cut each group of ``keys`` into blocks of about ``most`` members and send a block to each pair it is part of.
+def _parts(forest: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """The forest's rows with the column ``part`` in place of their region, and the rows of regions that were cut.
 
-    Adds the column ``pair``. A group of up to ``most`` members is one pair; of a larger group every two members meet
-    in some pair of blocks, which is what keeps the links whole. Sizes come from a partial aggregation.
+    A part is a region of up to REGION nodes, or of a larger one the nodes with 2 or 4 further values in common; what is
+    larger still is dealt into blocks. Parts of one node are left out. Sizes come from partial aggregations.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-    sized = rows.join(sizes, keys)
-    blocks = F.ceil(F.col("_n") / F.lit(most)).cast("int")
-    block = F.pmod(F.xxhash64(member), blocks.cast("long")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.least(block, other) * 100000 + F.greatest(block, other))
-    return sized.withColumn("pair", F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(pairs))).drop("_n")
+    sizes = materialise(forest.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1"), folder, "region_sizes")
+    rows = forest.join(sizes, "region")
+    columns = ["part", "place", "node", *SKETCH]
+    parts = rows.filter(F.col("n") <= REGION).withColumn("part", F.col("region")).select(columns)
+    if not sizes.filter(F.col("n") > REGION).limit(1).count():
+        return parts, None
+    large = materialise(rows.filter(F.col("n") > REGION), folder, "large_regions")
+    rest = large.drop("n")
+    for values in (2, 4):
+        rest = rest.withColumn("part", F.xxhash64("region", F.shiftrightunsigned("place", 64 - 16 * values), F.lit(values)))
+        counts = rest.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+        rest = materialise(rest.join(counts, "part"), folder, f"depth_{values}")
+        parts = parts.unionByName(rest.filter(F.col("n") <= REGION).select(columns))
+        rest = rest.filter(F.col("n") > REGION)
+        if values < 4:
+            rest = rest.drop("n", "part")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(REGION)))
+    return parts.unionByName(rest.withColumn("part", F.xxhash64("part", block)).select(columns)), large
+
+
+def _across(rows: DataFrame, key: str, rest: list[str], weight: str | None = None) -> DataFrame:
+    """Pairs of blocks of each group of ``key`` that bring those outside its commonest class before all its rows.
+
+    ``rows``: key, node, class and ``rest``. Returns key, few_block, many_block, few, node, class and ``rest``. Groups of one
+    class give nothing. No block has much more than BLOCK rows, or BLOCK_SHINGLES of ``weight``.
+    """
+    heavy = F.sum(weight) if weight else F.lit(0)
+    kinds = rows.groupBy(key, "class").agg(F.count("*").alias("n"), heavy.alias("w"))
+    totals = kinds.groupBy(key).agg(F.max(F.struct("n", "w", "class")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w")).filter("n > top.n")
+    blocks = lambda n, w: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(w / F.lit(BLOCK_SHINGLES)), F.lit(1).cast("long")).cast("int")
+    split = totals.select(key, F.col("top.class").alias("common"), blocks(F.col("n"), F.col("w")).alias("many"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("some"))
+    every = rows.join(split, key)
+    own = lambda n: F.pmod(F.xxhash64("node", n), n.cast("long")).cast("int")
+    columns = [key, "few_block", "many_block", "few", "node", "class", *rest]
+    many = every.withColumns({"many_block": own(F.col("many")), "few_block": F.explode(F.sequence(F.lit(0), F.col("some") - 1)), "few": F.lit(False)})
+    few = every.filter("class <> common").withColumns({"few_block": own(F.col("some")), "many_block": F.explode(F.sequence(F.lit(0), F.col("many") - 1)), "few": F.lit(True)})
+    return many.select(columns).unionByName(few.select(columns))
 
 
 def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -232,8 +302,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def link_classes(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """The class (index of its first member) of each set under the links between them, by exact counts.
+def link_classes(sets: list[np.ndarray], percent: int = PERCENT) -> Linked:
+    """The classes of sets under the links between them, by exact counts.
 
     A set is counted against all sets that are not yet in its class, in one vectorised pass over their elements.
     """
@@ -243,13 +313,12 @@ def link_classes(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     if n == 2:
         if similar(*sets, percent):
             classes.join(0, 1)
-        return classes.roots()
+        return classes
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.cumsum(sizes) - sizes
     marks = np.zeros(int(ids.max()) + 1, bool)
     for i in range(n - 1):
-        roots = classes.roots()
-        fit = (np.arange(n) > i) & (roots != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        fit = (np.arange(n) > i) & (classes.of != classes.of[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
         others = np.flatnonzero(fit)
         if not len(others):
             continue
@@ -260,33 +329,62 @@ def link_classes(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
         marks[own] = False
         for j in others[100 * common >= percent * (sizes[i] + sizes[others] - common)].tolist():
             classes.join(i, j)
-    return classes.roots()
+    return classes
+
+
+def _sets_of(group: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows of a group, one a node, whose text has the node's set, and the sets."""
+    rows, sets, seen = [], [], set()
+    node, digest, texts = group.column("node").to_pylist(), group.column("set_a").to_pylist(), group.column("text")
+    for k in range(0, len(node), 256):
+        for i, x in enumerate(shingle_sets([t or "" for t in texts.slice(k, 256).to_pylist()]), k):
+            if node[i] not in seen and len(x) and int(x.sum().astype(np.int64)) == digest[i]:
+                seen.add(node[i])
+                rows.append(i)
+                sets.append(x)
+    return np.array(rows, np.int64), sets
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Confirmed edges of each pair of blocks of a cluster."""
-    out: list[np.ndarray] = []
-    for group in _groups(batches, 2):
-        node = group.column("node").to_numpy()
-        order = np.argsort(node, kind="stable")
-        texts = group.column("text")
-        sets = []
-        for k in range(0, len(order), 256):
-            sets += shingle_sets([texts[int(i)].as_py() for i in order[k : k + 256]])
-        roots = link_classes(sets, percent)
-        node = node[order]
-        apart = roots != np.arange(len(node))
-        if apart.any():
-            out.append(np.stack([node[roots[apart]], node[apart]]))
-        if len(out) >= 2000:
-            yield _edges(out)
-            out = []
-    if out:
-        yield _edges(out)
-
-
-def _by_group(rows: DataFrame, keys: list[str], rest: list[str], run: Callable) -> DataFrame:
-    return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    """Confirmed edges of each block of a cluster."""
+
+    def found() -> Iterator[np.ndarray]:
+        for group in _groups(batches, 2):
+            rows, sets = _sets_of(group)
+            if len(rows) > 1:
+                yield from _forest_of(group.column("node").to_numpy()[rows], link_classes(sets, percent))
+
+    return _in_batches(found())
+
+
+def _confirm_across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Confirmed edges between nodes of different classes of a pair of blocks."""
+
+    def found() -> Iterator[np.ndarray]:
+        for group in _groups(batches, 3):
+            for few in (True, False):  # a node may be on both sides: its rows are told apart by their side
+                side = group.filter(pc.equal(group.column("few"), few))
+                rows, sets = _sets_of(side)
+                if few:
+                    own = side.take(rows), sets
+                else:
+                    other, others = side.take(rows), sets
+            left, right = own[0].column("node").to_numpy(), other.column("node").to_numpy()
+            kinds, kind = np.unique(np.concatenate([own[0].column("class").to_numpy(), other.column("class").to_numpy()]), return_inverse=True)
+            classes = Linked(len(kinds))
+            sizes = np.array([len(x) for x in others], np.int64)
+            for i, x in enumerate(own[1]):
+                fit = (classes.of[kind[len(left) :]] != classes.of[kind[i]]) & (100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x)))
+                for j in np.flatnonzero(fit).tolist():
+                    a, b = kind[i], kind[len(left) + j]
+                    if classes.of[a] != classes.of[b] and similar(x, others[j], percent) and classes.join(a, b):
+                        yield np.array([[left[i]], [right[j]]])
+
+    return _in_batches(found())
+
+
+def _by_group(rows: DataFrame, keys: list[str], rest: list[str], run: Callable, order: tuple[str, ...] = ()) -> DataFrame:
+    return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, "a long, b long")
 
 
 def trees_for(percent: int) -> int:
@@ -316,21 +414,51 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialise(_summaries(named), folder, "summaries")
     ids = rows.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "n_shingles")).alias("s")).select("doc_id", "s.*")
-    nodes = rows.filter("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    nodes = rows.filter("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     nodes = materialise(nodes, folder, "nodes")
-    forest = materialise(_forest(nodes, trees_for(percent)), folder, "forest")
-
-    regions = in_blocks(forest, ["region"], "node", REGION)
-    maybe = materialise(_by_group(regions, ["region", "pair"], ["node", "s0", "s1", "s2", "s3"], partial(_region_edges, most=most_different(percent))).distinct(), folder, "maybe")
-    clusters = connected_components(maybe, folder, "clusters")
-
-    members = in_blocks(clusters.withColumnRenamed("component", "cluster"), ["cluster"], "node", BLOCK)
-    # Members grow with the input: a shuffled join at every size, never a broadcast that only small inputs get.
-    texts = named.join(members.hint("merge"), named["doc_id"] == members["node"])
-    links = materialise(_by_group(texts, ["cluster", "pair"], ["node", "text"], partial(_confirm, percent=percent)).distinct(), folder, "links")
-    classes = connected_components(links, folder, "classes")
+    clusters = _clusters(materialise(_forest(nodes, trees_for(percent)), folder, "forest"), most_different(percent), folder)
+    classes = _classes(clusters.join(nodes.select("node", "set_a", "n_shingles"), "node"), named, percent, folder)
 
     final = nodes.select("set_a", "set_b", "node").join(classes, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = ids.join(final, ["set_a", "set_b"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def _clusters(forest: DataFrame, most: int, folder: str) -> DataFrame:
+    """node, cluster: the components of what the sketches do not tell apart within a region."""
+    parts, large = _parts(forest, folder)
+    maybe = materialise(_by_group(parts, ["part"], ["place", "node", *SKETCH], partial(_region_edges, most=most), ("place", "node")).distinct(), folder, "maybe")
+    clusters = connected_components(maybe, folder, "clusters")
+    if large is not None:
+        kind = large.join(clusters, "node", "left").select("region", "node", F.coalesce("component", "node").alias("class"), *SKETCH)
+        rest = _across(kind, "region", list(SKETCH))
+        more = materialise(_by_group(rest, ["region", "few_block", "many_block"], ["few", "node", "class", *SKETCH], partial(_across_edges, most=most)).distinct(), folder, "maybe_across")
+        if more.limit(1).count():
+            clusters = connected_components(maybe.unionByName(more), folder, "clusters_across")
+    return clusters.withColumnRenamed("component", "cluster")
+
+
+def _classes(members: DataFrame, named: DataFrame, percent: int, folder: str) -> DataFrame:
+    """node, component of the confirmed links within clusters. ``members``: node, cluster, set_a, n_shingles."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("w") / F.lit(BLOCK_SHINGLES)))
+    dealt = materialise(members.join(sizes, "cluster").select("cluster", "node", "set_a", "n_shingles", blocks.alias("blocks")), folder, "members")
+    # Members grow with the input: a shuffled join at every size, never a broadcast that only small inputs get.
+    texts = lambda found: named.join(found.hint("merge"), named["doc_id"] == found["node"])
+
+    own = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    large = dealt.filter("blocks > 1")
+    pivots = large.groupBy("cluster", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS))).agg(F.min(F.struct("node", "set_a", "blocks")).alias("p"))
+    spread = pivots.select("cluster", "p.node", "p.set_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.blocks") - 1)).alias("block"))
+    placed = own.select("cluster", "node", "set_a", "block").unionByName(spread).distinct()
+    links = materialise(_by_group(texts(placed), ["cluster", "block"], ["node", "set_a", "text"], partial(_confirm, percent=percent)).distinct(), folder, "links")
+    classes = connected_components(links, folder, "classes")
+    if not large.limit(1).count():
+        return classes
+    kind = large.join(classes, "node", "left").select("cluster", "node", "set_a", "n_shingles", F.coalesce("component", "node").alias("class"))
+    rest = materialise(_across(kind, "cluster", ["set_a"], "n_shingles"), folder, "across")
+    more = materialise(_by_group(texts(rest), ["cluster", "few_block", "many_block"], ["few", "node", "class", "set_a", "text"], partial(_confirm_across, percent=percent)).distinct(), folder, "links_across")
+    if not more.limit(1).count():
+        return classes
+    return connected_components(links.unionByName(more), folder, "classes_across")

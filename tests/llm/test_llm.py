@@ -116,13 +116,31 @@ def test_near_duplicates_against_all_pairs(spark, docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-def test_near_duplicates_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "REGION", 4)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+@pytest.mark.parametrize("region, block, shingles", [(4, 4, 10**9), (8, 1000, 1000), (16, 3, 500)])
+def test_near_duplicates_cut_into_blocks(spark, monkeypatch, region, block, shingles):
+    """Chains (each text alike its neighbours only), a crowd about one text, and texts with a common part that are no links."""
+    monkeypatch.setattr(near_dedup, "REGION", region)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
     words = [f"w{k}" for k in range(200)]
-    rows = [(k, " ".join([*words[:k], "x", *words[k + 1 :]])) for k in range(30)] + [(99, "quite another text of a few words")]
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {k: 0 for k in range(30)} | {99: 99}
+    rows = [(k, " ".join([*words[:k], "x", *words[k + 1 :]])) for k in range(60)] + [(99, "quite another text of a few words")]
+    rows += [(100 + k, " ".join(f"c{j}" for j in range(8 * k, 8 * k + 120))) for k in range(40)]
+    rows += [(200 + k, " ".join([*(f"p{j}" for j in range(150)), *(f"q{k}x{j}" for j in range(50))])) for k in range(40)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) == 43
 
 
 def test_near_duplicates_at_the_threshold_in_crowded_regions(spark, monkeypatch):
@@ -416,6 +434,8 @@ def test_odd_rows_and_empty_tables(spark, odd):
     for name, run in runs.items():
         assert len(run(odd).collect()) == len(ODD), name
         assert run(odd.limit(0)).collect() == [], name
+    twice = spark.createDataFrame([(1, "one two three four five six"), (1, "other words here that are six"), (2, "other words here that are six")], "doc_id long, text string")
+    assert len(near_dedup.near_duplicates(twice).collect()) == 2
     same = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(odd).collect()}
     assert same[5] == same[6] == 5 and same[1] == 1 and None not in same and len(same) == 9
     assert near_dedup.near_duplicates(odd.limit(0)).collect() == []
