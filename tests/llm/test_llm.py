@@ -419,6 +419,37 @@ def test_classifier_on_held_out_labels(spark):
     assert right >= 0.9 * len(out)
 
 
+def test_classifier_whatever_the_columns_labels_and_sites(spark, docs, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    columns = ["p_document", "p_toxic", "p_path", "p_good", "kept"]
+    answers = lambda df: {r["doc_id"]: tuple(x if isinstance(x, bool) else round(x, 9) for x in (r[c] for c in columns)) for r in df.collect()}
+    want = answers(quality_classifier.quality_classifier(docs, labels))
+    clash = docs.selectExpr("*", "1 as features", "2 as _hashed", "3 as n", "4 as words", "5 as upper", "6 as p_good", "7 as _host", "8 as row")
+    out = quality_classifier.quality_classifier(clash, labels, carry=tuple(clash.columns))
+    assert answers(out) == want and out.columns == [c for c in clash.columns if c != "p_good"] + columns
+    assert all((r["features"], r["n"], r["row"]) == (1, 3, 8) for r in out.collect())
+    worse = labels.selectExpr("doc_id", "0 as quality", "0 as toxic").filter("doc_id % 3 = 0")
+    lowest = labels.selectExpr("doc_id", "case when doc_id % 3 = 0 then 0 else quality end as quality", "toxic")
+    assert answers(quality_classifier.quality_classifier(docs, labels.union(worse))) == answers(quality_classifier.quality_classifier(docs, lowest))
+    monkeypatch.setattr(quality_classifier, "MOST_SITES", 0)
+    assert answers(quality_classifier.quality_classifier(docs, labels)) == want
+
+
+def test_strengths_of_sites(spark):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(1), []
+    for h in range(300):
+        centre = rng.beta(6, 4)  # ten pseudo-documents
+        for p in range(4):
+            x = rng.binomial(1, min(0.99, max(0.01, centre + rng.normal(0, 0.02))), 40)
+            rows.append((f"h{h}", f"p{p}", 40, float(x.sum()), float((x * x).sum())))
+    mean, hosts, paths = quality_classifier.strengths(spark.createDataFrame(rows, "_host string, _path string, n long, s double, q double"))
+    assert abs(mean - 0.6) < 0.03 and 7 < hosts < 14 and paths > 60
+    same = [(f"h{k}", "p", 40, 20.0, 20.0) for k in range(50)]
+    assert quality_classifier.strengths(spark.createDataFrame(same, "_host string, _path string, n long, s double, q double"))[1:] == (1e4, 1e4)
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     labels = spark.createDataFrame([(7, 1, 0), (4, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, None), (2, ""), (None, "x y"), (3, "one two")], "item_id long, text string")
