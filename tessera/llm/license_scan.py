@@ -1,12 +1,15 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
-A rule is a keyword, a pattern over the text's words and a priority. Texts without any keyword are passed over by
-one cheap test; in the others each rule whose keyword occurs is matched everywhere. A detection that lies within
-one of a better rule (or within a longer one of the same priority) is suppressed.
+A rule is a keyword, a pattern over the text's words and a priority. The rules are the written names and texts below,
+the names in each form in which a license is stated. Texts without any keyword are passed over by one cheap test; in
+the others each rule whose keyword occurs is matched everywhere. A detection that lies within one of a better rule (or
+within a longer one of the same priority) is suppressed. The cost of a text with n detections is that of sorting them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,29 +56,32 @@ NAMES = (
     ("artistic", "artistic license", "artistic 1 0", "artistic"),
     ("bsl-1.0", "boost software license", "bsl 1 0", "boost"),
     ("unlicense", "the unlicense|unlicense org", "unlicense", "unlicense"),
-    ("wtfpl", "do what the fuck you want to public license", "wtfpl", "public"),
+    ("wtfpl", "do what the fuck you want to public license", "wtfpl", "fuck"),
     ("wtfpl", "wtfpl", "", "wtfpl"),
     ("postgresql", "postgresql license", "postgresql", "postgresql"),
-    ("psf-2.0", "python software foundation license|psf license", "psf 2 0", "license"),
+    ("psf-2.0", "python software foundation license", "psf 2 0", "python"),
+    ("psf-2.0", "psf license", "", "psf"),
     ("openssl", "openssl license", "openssl", "openssl"),
     ("ofl-1.1", "sil open font license", "ofl 1 1", "font"),
     ("odbl-1.0", "open database license", "odbl 1 0", "database"),
     ("odc-by-1.0", "open data commons attribution license", "odc by 1 0", "commons"),
     ("cc0-1.0", "cc0", "cc0 1 0", "cc0"),
     ("cc0-1.0", "creative commons zero", "", "zero"),
-    ("cc-by-nc-nd", "cc by nc nd( [0-9] 0)?", "cc by nc nd 4 0", "nc"),
+    ("cc-by-nc-nd", "cc by nc nd( [0-9] 0)?", "cc by nc nd 4 0", "cc by nc nd"),
     ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?derivatives", "", "commercial"),
-    ("cc-by-nc-sa", "cc by nc sa( [0-9] 0)?", "cc by nc sa 4 0", "nc"),
+    ("cc-by-nc-sa", "cc by nc sa( [0-9] 0)?", "cc by nc sa 4 0", "cc by nc sa"),
     ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike", "", "commercial"),
-    ("cc-by-nc", "cc by nc( [0-9] 0)?", "cc by nc 4 0", "nc"),
+    ("cc-by-nc", "cc by nc( [0-9] 0)?", "cc by nc 4 0", "cc by nc"),
     ("cc-by-nc", "creative commons attribution non ?commercial", "", "commercial"),
-    ("cc-by-sa", "cc by sa( [0-9] 0)?", "cc by sa 4 0", "sa"),
+    ("cc-by-sa", "cc by sa( [0-9] 0)?", "cc by sa 4 0", "cc by sa"),
     ("cc-by-sa", "creative commons attribution share ?alike", "", "alike"),
-    ("cc-by-nd", "cc by nd( [0-9] 0)?", "cc by nd 4 0", "nd"),
+    ("cc-by-nd", "cc by nd( [0-9] 0)?", "cc by nd 4 0", "cc by nd"),
     ("cc-by-nd", "creative commons attribution no ?derivatives", "", "derivatives"),
-    ("cc-by", "cc by( [0-9] 0)?|creative commons attribution", "cc by 4 0", "c"),
-    ("public-domain", "dedicated to the public domain|released into the public domain", "public domain", "domain"),
-    ("proprietary", "all rights reserved|proprietary and confidential", "licenseref proprietary", "r"),
+    ("cc-by", "cc by( [0-9] 0)?", "cc by 4 0", "cc by"),
+    ("cc-by", "creative commons attribution", "", "creative"),
+    ("public-domain", "(dedicated to|released into) the public domain", "public domain", "domain"),
+    ("proprietary", "all rights reserved", "licenseref proprietary", "reserved"),
+    ("proprietary", "proprietary and confidential", "", "confidential"),
 )
 #: How a license is stated, best first: priority, weight, pattern around the name or the short identifier.
 FORMS = (
@@ -102,6 +108,8 @@ TEXTS = (
 )
 #: A text that holds none of these in lower case has no detection and, but for "cc by", no base phrase.
 ANY = ("licen", "copyright", "spdx", "rights", "confidential", "creative", "public", "redistribution", "permission", "cc0", "wtfpl", "gpl", "apache", "bsd")
+#: Above any start of a detection in a text.
+START = (1 << 31) - 1
 CC_BY = r"cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(b|B)"
 
 
@@ -120,29 +128,61 @@ def _rule_array() -> Column:
     return F.array(*(F.struct(F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(w).alias("weight"), F.lit(k).alias("keyword"), F.lit(f"(?<= )(?:{rx})(?= )").alias("pattern")) for label, p, w, k, rx in rules()))
 
 
+def scan(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array the combination of all values up to it, in as many passes as its size has binary digits."""
+    steps = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.floor(F.log2(F.size(values) - 1)).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def further(sums: Column, k: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: F.when(i >= reach, combine(x, F.get(sums, i - reach))).otherwise(x))
+
+    return F.aggregate(steps, values, further)
+
+
 def _places(norm: Column, rule: Column) -> Column:
-    """Every match of a rule in the padded words: label, priority, weight, start, end."""
+    """Every match of a rule in the padded words: s, less (minus e), priority, label, weight."""
 
     def walk(matches: Column) -> Column:
-        pieces = F.split(norm, rule["pattern"], -1)
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("found"))
-        step = lambda acc, x: F.struct((acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"), F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(x["p"])).alias("s"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("e")))).alias("found"))
-        pairs = F.transform(matches, lambda m, i: F.struct(F.get(pieces, i).alias("p"), m.alias("m")))
-        return F.transform(F.aggregate(pairs, start, step)["found"], lambda x: F.struct(rule["label"].alias("label"), rule["priority"].alias("priority"), rule["weight"].alias("weight"), x["s"].alias("s"), x["e"].alias("e")))
+        sizes = let(F.split(norm, rule["pattern"], -1), lambda pieces: F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m)))
+        ends = let(sizes, lambda n: scan(n, lambda x, y: x + y))
+        return let(ends, lambda e: F.transform(matches, lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("s"), (-F.get(e, i)).alias("less"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight"))))
 
     return let(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), walk)
 
 
-def detections(norm: Column) -> Column:
-    """The detections in padded words that no better one contains."""
-    live = F.filter(_rule_array(), lambda r: F.contains(norm, r["keyword"]))
-    found = F.flatten(F.transform(live, lambda r: _places(norm, r)))
+def _unsuppressed(found: Column) -> Column:
+    """Of sorted detections those that no better one contains.
 
-    def better(e: Column, d: Column) -> Column:
-        wider = (e["s"] <= d["s"]) & (e["e"] >= d["e"])
-        return wider & ((e["priority"] < d["priority"]) | (e["priority"] == d["priority"]) & (e["e"] - e["s"] > d["e"] - d["s"]))
+    What contains a detection comes before it in the order. A running maximum for each priority holds the furthest end
+    so far and, of equal ones, the earliest start: one number, with the end above and what is left of START below.
+    """
+    reach = lambda d: -d["less"].cast("long") * (START + 1) + START - d["s"]
+    priorities = sorted({r[1] for r in rules()})
 
-    return let(F.array_distinct(found), lambda every: F.filter(every, lambda d: ~F.exists(every, lambda e: better(e, d))))
+    def furthest(priority: int) -> Column:
+        own = F.transform(found, lambda d: F.when(d["priority"] == priority, reach(d)).otherwise(F.lit(-1).cast("long")))
+        return let(own, lambda x: scan(x, F.greatest))
+
+    def alive(all_of: Column) -> Column:
+        def free(d: Column, i: Column) -> Column:
+            out = F.lit(True)
+            for k, p in enumerate(priorities):
+                before = F.coalesce(F.get(all_of[k], i - 1), F.lit(-1).cast("long"))
+                better = F.when(d["priority"] > p, before >= -d["less"].cast("long") * (START + 1)).when(d["priority"] == p, before > reach(d)).otherwise(False)
+                out = out & ~better
+            return out
+
+        return F.filter(found, free)
+
+    return let(F.array(*map(furthest, priorities)), alive)
+
+
+def detections(norm: Column) -> Column:
+    """The detections in padded words that no better one contains, by their start."""
+    live = F.filter(_rule_array(), lambda r: F.contains(norm, r["keyword"]))
+    found = F.sort_array(F.flatten(F.transform(live, lambda r: _places(norm, r))))
+    once = let(found, lambda every: F.filter(every, lambda d, i: (i == 0) | (F.get(every, i - 1) != d)))
+    return F.transform(let(once, _unsuppressed), lambda d: F.struct(d["label"].alias("label"), d["priority"].alias("priority"), d["weight"].alias("weight"), d["s"].alias("s"), (-d["less"]).alias("e")))
 
 
 def _base_places(words: Column) -> Column:

@@ -192,6 +192,30 @@ def test_licenses_against_brute_force(spark):
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
+def test_license_detections_against_plain_patterns(spark):
+    rules, rng = license_scan.rules(), random.Random(11)
+    assert len(rules) > 300
+    bits = ["mit license", "is licensed under the", "released under", "see the", "Apache License", "version", "2.0", "3", "GNU", "General Public License", "lesser", "Creative Commons Attribution", "non commercial", "cc-by-sa 4.0", "cc by nc", "all rights reserved", "SPDX-License-Identifier:", "MIT", "for details", "bsd", "the", "license"]
+    rows = [(k, " ".join(rng.choice(bits) for _ in range(rng.randrange(30)))) for k in range(300)] + [(999, "MIT License. " * 40)]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        norm = f" {re.sub(license_scan.GAP, ' ', t.encode().lower().decode()).strip()} "
+        every = {(label, p, w, *m.span()) for label, p, w, keyword, rx in rules if keyword in norm for m in re.finditer(f"(?<= )(?:{rx})(?= )", norm)}
+        left = {d for d in every if not any(x[3] <= d[3] and x[4] >= d[4] and (x[1] < d[1] or x[1] == d[1] and x[4] - x[3] > d[4] - d[3]) for x in every)}
+        r = got[i]
+        assert {tuple(d) for d in r["detections"]} == left and len(r["detections"]) == len(left), t
+        assert set(filter(None, r["labels"].split(","))) == {d[0] for d in left} | set(filter(None, r["base_labels"].split(",")))
+        assert r["score"] == max([d[2] for d in left] + [0.6 if r["n_base"] else 0.0])
+
+
+def test_license_scan_of_very_many_statements(spark):
+    import time
+
+    start = time.time()
+    (row,) = license_scan.license_scan(spark.createDataFrame([(1, "Licensed under the MIT License. " * 20_000)], "doc_id long, text string")).collect()
+    assert row["n_base"] == 20_000 == len(row["detections"]) and time.time() - start < 60
+
+
 def test_license_rules_hold_their_keywords(spark):
     from re import _parser
 
