@@ -35,7 +35,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance: float | None = None, weight: str | None = None, seeds: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
     """id, rank: not normalised, starting at 1; the rank of vertices without out-edges is not redistributed.
 
-    With ``tolerance`` rounds go on until no rank moves by more. ``weight`` names a column of shares; ``seeds`` (id)
+    With ``tolerance`` rounds go on, however many, until no rank moves by more. ``weight`` names a column of shares; ``seeds`` (id)
     are where the reset goes (a trust or personalised rank; others start at 0); ``start`` (id, rank) are ranks to
     begin from, as when edges were added to a ranked graph.
     """
@@ -50,7 +50,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance:
     ranks = nodes.select("id", F.col("base").alias("rank"))
     if start is not None:
         ranks = nodes.join(start.select("id", F.col("rank").alias("old")), "id", "left").select("id", F.coalesce("old", "base").alias("rank"))
-    for turn in range(rounds if tolerance is None else 1000):
+    for turn in range(rounds) if tolerance is None else count():
         got = shares.join(ranks, shares["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         new = nodes.join(got, nodes["id"] == got["dst"], "left").select("id", (reset * F.col("base") + (1 - reset) * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if tolerance is None and turn % 5 < 4:
@@ -63,8 +63,8 @@ def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance:
     return ranks
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: int | None = 10, directed: bool = True) -> DataFrame:
-    """source, id, distance in hops up to ``most`` (None: all): each round expands the newest frontier only."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: int | None = None, directed: bool = True) -> DataFrame:
+    """source, id, distance in hops, all of them unless ``most`` is given: each round expands the newest frontier only."""
     steps = edges.select("src", "dst").distinct() if directed else both_ways(edges)
     steps = cut(steps)
     seen = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")).distinct())
@@ -180,13 +180,13 @@ def core_numbers(edges: DataFrame) -> DataFrame:
         core = new
 
 
-def closeness(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
+def closeness(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """id, reached, closeness = reached / sum of distances, of the given vertices over undirected hops."""
     d = shortest_paths(edges, sources, most, directed=False).filter("distance > 0")
     return d.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("reached"), (F.count("*") / F.sum("distance")).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most: int | None = 10) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """id, betweenness: shortest-path dependencies of the given sources (all vertices: exact), over undirected hops."""
     steps = cut(both_ways(edges))
     d = shortest_paths(edges, sources, most, directed=False)

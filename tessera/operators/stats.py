@@ -7,6 +7,9 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.running import running_sums
+from tessera.functions.storage import cut
+
 
 def _moments(df: DataFrame, cols: list[str]) -> DataFrame:
     """One pass: n, sums and sums of products of all pairs, as one row."""
@@ -43,13 +46,14 @@ def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
 def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
     """Correlations of average ranks.
 
-    Ranks come from counts by value: a running sum over the distinct values of a column, not a sort of all rows.
+    Ranks come from counts by value: a running sum over the distinct values of a column, not a sort of all rows. A
+    null has no rank: it is left out of the pairs of its column only.
     """
     out = df.select(*cols)
     for c in cols:
-        counts = out.groupBy(c).agg(F.count("*").alias("_n"))
-        ranks = counts.select(F.col(c).alias("_v"), (F.sum("_n").over(Window.orderBy(c)) - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
-        out = out.join(ranks, F.col(c) == F.col("_v")).drop("_v")
+        counts = cut(out.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")))
+        ranks = running_sums(counts, "_v", {"_upto": "_n"}).select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
+        out = out.join(ranks, F.col(c) == F.col("_v"), "left").drop("_v")
     return pearson(out.select(*(F.col(f"_r_{c}").alias(c) for c in cols)), cols)
 
 
@@ -92,17 +96,24 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+#: Points and queries that one task compares at a time.
+MOST_POINTS, MOST_QUERIES = 20_000, 1_000
+
+
+def nearest(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, neighbour, distance, place: the k nearest by distance, then id, none its own.
 
-    points, queries: id long, vec array<double>. Points are dealt into blocks and every query meets each block; a
-    block keeps a query's k best before anything is shuffled on.
+    points, queries: id long, vec array<double>. Both are dealt into blocks of a bounded size, and each block of
+    queries meets each of points; a pair of blocks keeps a query's k best before anything is shuffled on.
     """
     import numpy as np
     import pyarrow as pa
 
-    dealt = points.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "vec")
-    asked = queries.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    of_points, of_queries = (max(1, -(-df.count() // most)) for df, most in ((points, MOST_POINTS), (queries, MOST_QUERIES)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = points.select(own(of_points).alias("block"), each(of_queries).alias("asked"), "id", "vec")
+    asked = queries.select("id", "vec", each(of_points).alias("block"), own(of_queries).alias("asked"))
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         ids, out = held.column("id").to_numpy(), ([], [], [])
@@ -117,7 +128,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> D
                             column.append(v)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query", "neighbour", "distance"])
 
-    near = asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(run, "query long, neighbour long, distance double")
+    near = asked.groupBy("block", "asked").cogroup(dealt.groupBy("block", "asked")).applyInArrow(run, "query long, neighbour long, distance double")
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
     return near.withColumn("place", place).filter(F.col("place") <= k)
 

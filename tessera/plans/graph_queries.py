@@ -11,7 +11,7 @@ from tessera.plans import tables as T
 def _pagerank_sql(rounds: int, weight: str = "1.0", base: str = "1.0") -> str:
     steps = [f"share AS (SELECT e.src, e.dst, {weight} / sum({weight}) OVER (PARTITION BY e.src) AS s FROM edges e)", f"r0 AS (SELECT id, CAST({base} AS DOUBLE) AS b, CAST({base} AS DOUBLE) AS r FROM nodes)"]
     for k in range(1, rounds + 1):
-        steps.append(f"g{k} AS (SELECT dst, sum(s * r) AS g FROM share JOIN r{k - 1} ON src = id GROUP BY dst), r{k} AS (SELECT id, b, 0.15 * b + 0.85 * coalesce(g, 0) AS r FROM r0 LEFT JOIN g{k} ON id = dst)".replace("SELECT id, b, 0.15 * b", "SELECT r0.id, r0.b, 0.15 * r0.b"))
+        steps.append(f"g{k} AS MATERIALIZED (SELECT dst, sum(s * r) AS g FROM share JOIN r{k - 1} ON src = id GROUP BY dst), r{k} AS MATERIALIZED (SELECT id, b, 0.15 * b + 0.85 * coalesce(g, 0) AS r FROM r0 LEFT JOIN g{k} ON id = dst)".replace("SELECT id, b, 0.15 * b", "SELECT r0.id, r0.b, 0.15 * r0.b"))
     return f"WITH {T.PURCHASES}, {', '.join(steps)} SELECT id, round(r, 6) AS rank FROM r{rounds}"
 
 
@@ -33,7 +33,7 @@ def trusted(spark, d):
 
 
 def converged(spark, d):
-    return _ranked(G.pagerank(T.supply_graph(spark, d), tolerance=1e-7))
+    return _ranked(G.pagerank(T.supply_graph(spark, d), tolerance=1e-12))
 
 
 def degrees(spark, d):
@@ -41,8 +41,8 @@ def degrees(spark, d):
 
 
 def paths(spark, d):
-    e = T.supply_graph(spark, d).filter("amount >= 30")
-    return G.shortest_paths(e, G.vertices(e).filter("id % 7 = 0"), 6)
+    e = T.supply_graph(spark, d)
+    return G.shortest_paths(e, G.vertices(e))
 
 
 def components(spark, d):
@@ -76,21 +76,21 @@ def cores(spark, d):
 
 
 def closeness(spark, d):
-    e = T.supply_graph(spark, d).filter("amount >= 30")
-    return G.closeness(e, G.vertices(e), 6).select("id", "reached", F.round("closeness", 9).alias("closeness"))
+    e = T.supply_graph(spark, d)
+    return G.closeness(e, G.vertices(e)).select("id", "reached", F.round("closeness", 9).alias("closeness"))
 
 
 def betweenness(spark, d):
     e = T.supply_graph(spark, d)
-    return G.betweenness(e, G.vertices(e), None).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return G.betweenness(e, G.vertices(e)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 def cycles(spark, d):
-    return G.cycles(T.supply_graph(spark, d), 3, 3)
+    return G.cycles(T.supply_graph(spark, d), 3, 4)
 
 
 def squares(spark, d):
-    return G.match_subgraph(T.supply_graph(spark, d).filter("amount >= 230"), [(0, 1), (1, 2), (2, 3), (3, 0)])
+    return G.match_subgraph(T.together(spark, d), [(0, 1), (1, 2), (2, 3), (3, 0)]).groupBy("v0").agg(F.count("*").alias("squares"))
 
 
 def adjacency(spark, d):
@@ -99,28 +99,65 @@ def adjacency(spark, d):
     return lists(T.supply_graph(spark, d).select("src", "dst").distinct()).select("src", "pr", F.concat_ws(",", "dsts").alias("dsts"))
 
 
-HOPS = """WITH RECURSIVE {edges}, {steps}, walk AS (SELECT id AS source, id, 0 AS distance FROM starts UNION SELECT w.source, s.dst, w.distance + 1 FROM walk w JOIN step s ON s.src = w.id WHERE w.distance < 6),
-best AS (SELECT source, id, min(distance) AS distance FROM walk GROUP BY 1, 2)"""
-DIRECTED = HOPS.format(edges=T.SUPPLIES, steps="step AS (SELECT src, dst FROM edges WHERE amount >= 30), starts AS (SELECT id FROM (SELECT src AS id FROM step UNION SELECT dst FROM step) WHERE id % 7 = 0)")
-BOTH = HOPS.format(edges=T.SUPPLIES, steps="step AS (SELECT src, dst FROM edges WHERE amount >= 30 UNION SELECT dst, src FROM edges WHERE amount >= 30), starts AS (SELECT DISTINCT src AS id FROM step)")
+def _hops_sql(steps: str, most: int = 8) -> str:
+    """Distances from every vertex, a round a hop; the graphs here have no two vertices more than a few hops apart."""
+    made = [f"step AS MATERIALIZED ({steps})", "d0 AS MATERIALIZED (SELECT id AS source, id, 0 AS distance FROM (SELECT src AS id FROM step UNION SELECT dst FROM step))"]
+    for k in range(1, most + 1):
+        made.append(f"d{k} AS MATERIALIZED (SELECT * FROM d{k - 1} UNION ALL SELECT DISTINCT w.source, s.dst, {k} FROM d{k - 1} w JOIN step s ON s.src = w.id AND w.distance = {k - 1} WHERE (w.source, s.dst) NOT IN (SELECT source, id FROM d{k - 1}))")
+    return f"WITH {T.SUPPLIES}, {', '.join(made)}, best AS (SELECT * FROM d{most})"
+
+
+DIRECTED, BOTH = _hops_sql("SELECT src, dst FROM edges"), _hops_sql("SELECT src, dst FROM edges UNION SELECT dst, src FROM edges")
+
+
+def _component_sql(ways: str, rounds: int = 10) -> str:
+    """``comp`` (id, component): smallest labels of neighbours, then the labels' labels, ``rounds`` times."""
+    made = [f"near AS MATERIALIZED ({ways})", "c0 AS MATERIALIZED (SELECT DISTINCT src AS id, src AS component FROM near)"]
+    for k in range(1, rounds + 1):
+        made += [f"m{k} AS MATERIALIZED (SELECT o.id, least(o.component, min(c.component)) AS component FROM c{k - 1} o JOIN near n ON n.src = o.id JOIN c{k - 1} c ON c.id = n.dst GROUP BY o.id, o.component)", f"c{k} AS MATERIALIZED (SELECT a.id, least(a.component, b.component) AS component FROM m{k} a JOIN m{k} b ON b.id = a.component)"]
+    return f"{', '.join(made)}, comp AS (SELECT * FROM c{rounds})"
+
+
+def _core_sql(rounds: int = 60) -> str:
+    """Rounds of the h-index of the neighbours' values; more than the graphs here need."""
+    made = ["k0 AS MATERIALIZED (SELECT id, degree AS core FROM deg)"]
+    for k in range(1, rounds + 1):
+        made.append(f"k{k} AS MATERIALIZED (SELECT o.id, least(o.core, max(least(x.core, x.above))) AS core FROM (SELECT src, core, count(*) OVER (PARTITION BY src ORDER BY core DESC) AS above FROM ways JOIN k{k - 1} ON dst = id) x JOIN k{k - 1} o ON o.id = x.src GROUP BY o.id, o.core)")
+    return f"WITH {T.TOGETHER}, {', '.join(made)} SELECT id, core FROM k{rounds}"
+
+
+def _betweenness_sql(most: int = 4) -> str:
+    """Paths counted outwards by distance, dependencies summed inwards."""
+    made = ["p0 AS MATERIALIZED (SELECT source, id, 1.0::DOUBLE AS sigma FROM best WHERE distance = 0)"]
+    for k in range(1, most + 1):
+        made.append(f"p{k} AS MATERIALIZED (SELECT p.source, b.id, sum(p.sigma) AS sigma FROM p{k - 1} p JOIN step s ON s.src = p.id JOIN best b ON b.source = p.source AND b.id = s.dst AND b.distance = {k} GROUP BY 1, 2)")
+    made.append(f"e{most} AS MATERIALIZED (SELECT source, id, sigma, 0.0::DOUBLE AS delta FROM p{most})")
+    for k in range(most - 1, 0, -1):
+        made.append(f"e{k} AS MATERIALIZED (SELECT p.source, p.id, p.sigma, coalesce(sum(p.sigma / e.sigma * (1 + e.delta)), 0) AS delta FROM p{k} p LEFT JOIN (SELECT s.src, e.* FROM e{k + 1} e JOIN step s ON s.dst = e.id) e ON e.source = p.source AND e.src = p.id GROUP BY 1, 2, 3)")
+    every = " UNION ALL ".join(f"SELECT id, delta FROM e{k}" for k in range(1, most + 1))
+    return f"{BOTH}, {', '.join(made)} SELECT id, round(sum(delta), 6) AS betweenness FROM ({every}) GROUP BY id"
+
+
+CYCLE_STEP = "{b}.amount BETWEEN 0.8 * {a}.amount AND 1.2 * {a}.amount"
+FOUR = "SELECT 4 AS length, concat_ws(',', x.src, x.dst, y.dst, z.dst) AS path FROM edges x JOIN edges y ON x.dst = y.src AND " + CYCLE_STEP.format(a="x", b="y") + " JOIN edges z ON y.dst = z.src AND " + CYCLE_STEP.format(a="y", b="z") + " JOIN edges w ON z.dst = w.src AND w.dst = x.src AND " + CYCLE_STEP.format(a="z", b="w") + " WHERE x.src < x.dst AND x.src < y.dst AND x.src < z.dst AND x.dst <> z.dst AND " + CYCLE_STEP.format(a="w", b="x")
 
 QUERIES = {
     "graph_pagerank": (pagerank, _pagerank_sql(10)),
     "graph_weighted_pagerank": (weighted, _pagerank_sql(5, "e.weight")),
     "graph_trustrank": (trusted, _pagerank_sql(5, base="CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END")),
-    "graph_pagerank_converged": (converged, None),
+    "graph_pagerank_converged": (converged, _pagerank_sql(200).replace(T.PURCHASES, T.SUPPLIES + ", nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)")),
     "graph_degrees": (degrees, f"WITH {T.SUPPLIES}, ends AS (SELECT src AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree FROM ends GROUP BY id"),
     "graph_shortest_paths": (paths, DIRECTED + " SELECT source, id, distance FROM best"),
-    "graph_components": (components, None),
-    "graph_strong_components": (strong, None),
+    "graph_components": (components, f"WITH {T.TOGETHER}, {_component_sql('SELECT src, dst FROM ways')} SELECT id, component FROM comp"),
+    "graph_strong_components": (strong, DIRECTED + " SELECT a.id, min(b.id) AS component FROM best a JOIN best b ON a.source = b.id AND a.id = b.source GROUP BY a.id"),
     "graph_label_propagation": (labels, f"WITH {T.TOGETHER}, l0 AS (SELECT id, id AS label FROM deg), " + ", ".join(f"v{k} AS (SELECT dst AS id, label, count(*) AS n FROM ways JOIN l{k - 1} ON src = l{k - 1}.id GROUP BY 1, 2), l{k} AS (SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS p FROM v{k}) WHERE p = 1)" for k in (1, 2, 3)) + " SELECT id, label FROM l3"),
     "graph_modularity": (modularity, f"WITH {T.TOGETHER}, m AS (SELECT count(*) AS m FROM pairs), w AS (SELECT src % 10 AS c, count(*) AS n FROM pairs WHERE src % 10 = dst % 10 GROUP BY 1), d AS (SELECT id % 10 AS c, sum(degree) AS d FROM deg GROUP BY 1) SELECT round(sum(coalesce(n, 0)::DOUBLE / m - power(d::DOUBLE / (2 * m), 2)), 9) AS modularity FROM d LEFT JOIN w USING (c), m"),
     "graph_triangles": (triangles, f"WITH {T.TOGETHER}, t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM pairs x JOIN pairs y ON x.dst = y.src JOIN pairs z ON z.src = x.src AND z.dst = y.dst), e AS (SELECT unnest([a, b, c]) AS id FROM t) SELECT deg.id, count(e.id) AS triangles FROM deg LEFT JOIN e ON e.id = deg.id GROUP BY 1"),
     "graph_clustering": (clustering, f"WITH {T.TOGETHER}, t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM pairs x JOIN pairs y ON x.dst = y.src JOIN pairs z ON z.src = x.src AND z.dst = y.dst), e AS (SELECT unnest([a, b, c]) AS id FROM t), n AS (SELECT deg.id, degree, count(e.id) AS t FROM deg LEFT JOIN e ON e.id = deg.id GROUP BY 1, 2) SELECT id, round(CASE WHEN degree > 1 THEN 2.0::DOUBLE * t / (degree * (degree - 1)) ELSE 0 END, 9) AS coefficient FROM n"),
-    "graph_cores": (cores, None),
+    "graph_cores": (cores, _core_sql()),
     "graph_closeness": (closeness, BOTH + " SELECT source AS id, count(*) AS reached, round(count(*)::DOUBLE / sum(distance), 9) AS closeness FROM best WHERE distance > 0 GROUP BY 1"),
-    "graph_betweenness": (betweenness, None),
-    "graph_cycles": (cycles, f"WITH {T.SUPPLIES}, e AS (SELECT * FROM edges) SELECT 3 AS length, concat_ws(',', x.src, x.dst, y.dst) AS path FROM e x JOIN e y ON x.dst = y.src JOIN e z ON y.dst = z.src AND z.dst = x.src WHERE x.src < x.dst AND x.src < y.dst AND y.amount BETWEEN 0.8 * x.amount AND 1.2 * x.amount AND z.amount BETWEEN 0.8 * y.amount AND 1.2 * y.amount AND x.amount BETWEEN 0.8 * z.amount AND 1.2 * z.amount"),
-    "graph_squares": (squares, f"WITH {T.SUPPLIES}, s AS (SELECT src, dst FROM edges WHERE amount >= 230 UNION SELECT dst, src FROM edges WHERE amount >= 230) SELECT a.src AS v0, a.dst AS v1, b.dst AS v2, c.dst AS v3 FROM s a JOIN s b ON a.dst = b.src JOIN s c ON b.dst = c.src JOIN s d ON c.dst = d.src AND d.dst = a.src WHERE a.src <> b.dst AND a.dst <> c.dst"),
+    "graph_betweenness": (betweenness, _betweenness_sql()),
+    "graph_cycles": (cycles, f"WITH {T.SUPPLIES}, e AS (SELECT * FROM edges) SELECT 3 AS length, concat_ws(',', x.src, x.dst, y.dst) AS path FROM e x JOIN e y ON x.dst = y.src JOIN e z ON y.dst = z.src AND z.dst = x.src WHERE x.src < x.dst AND x.src < y.dst AND y.amount BETWEEN 0.8 * x.amount AND 1.2 * x.amount AND z.amount BETWEEN 0.8 * y.amount AND 1.2 * y.amount AND x.amount BETWEEN 0.8 * z.amount AND 1.2 * z.amount UNION ALL {FOUR}"),
+    "graph_squares": (squares, f"WITH {T.TOGETHER}, two AS (SELECT a.src AS s, b.dst AS t, count(*) AS n FROM ways a JOIN ways b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2) SELECT s AS v0, sum(n * (n - 1))::BIGINT AS squares FROM two GROUP BY 1 HAVING sum(n * (n - 1)) > 0"),
     "graph_adjacency": (adjacency, f"WITH {T.SUPPLIES} SELECT src, 1.0::DOUBLE AS pr, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS dsts FROM (SELECT DISTINCT src, dst FROM edges) GROUP BY src"),
 }

@@ -11,6 +11,7 @@ from tessera.operators import boosting as B
 from tessera.operators import learning as M
 from tessera.operators import stats as S
 from tessera.plans import tables as T
+from tessera.plans.graph_queries import _component_sql
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PAIRS = list(combinations_with_replacement(NUMERIC, 2))
@@ -203,6 +204,37 @@ def topics(spark, d):
     return model.describeTopics(8).select("topic", F.posexplode("termIndices").alias("place", "term"))
 
 
+def _kmeans_sql(rounds: int = 3) -> str:
+    """Lloyd rounds from the first four points; the nearest centre, of equally near ones the smallest number."""
+    made = ["p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)", "c0 AS MATERIALIZED (SELECT id::INTEGER AS cluster, v FROM p WHERE id < 4)"]
+    for k in range(1, rounds + 1):
+        made.append(f"""c{k} AS MATERIALIZED (SELECT cluster, list(x ORDER BY i) AS v FROM (SELECT cluster, i, avg(v[i]) AS x FROM (SELECT p.id, p.v, arg_min(c.cluster, (list_distance(p.v, c.v), c.cluster)) AS cluster FROM p, c{k - 1} c GROUP BY 1, 2), (SELECT unnest(range(1, (SELECT max(len(v)) FROM p) + 1)) AS i) GROUP BY 1, 2) GROUP BY 1)""")
+    return f"WITH {', '.join(made)} SELECT cluster, (i - 1)::INTEGER AS i, round(v[i], 5) AS x FROM c{rounds}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM p) + 1)) AS i)"
+
+
+def _dbscan_sql() -> str:
+    ways = "SELECT a.id AS src, b.other AS dst FROM core a JOIN close b ON a.id = b.id JOIN core c ON c.id = b.other"
+    return f"""WITH pts AS MATERIALIZED (SELECT p_partkey AS id, p_size / 10.0::DOUBLE AS x, p_retailprice / 50.0::DOUBLE AS y FROM part),
+close AS MATERIALIZED (SELECT a.id, b.id AS other FROM pts a, pts b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.25), core AS MATERIALIZED (SELECT id FROM close GROUP BY id HAVING count(*) >= 4),
+{_component_sql(ways, 14)}, border AS (SELECT close.id, min(component) AS component FROM close JOIN comp ON comp.id = close.other WHERE close.id NOT IN (SELECT id FROM core) GROUP BY 1)
+SELECT id, coalesce(c.component, b.component) AS label, CASE WHEN c.id IS NOT NULL THEN 0 WHEN b.id IS NOT NULL THEN 1 ELSE -1 END AS prediction FROM pts LEFT JOIN comp c USING (id) LEFT JOIN border b USING (id)"""
+
+
+def _simrank_sql(rounds: int = 2) -> str:
+    made = ["e AS MATERIALIZED (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", "wi AS MATERIALIZED (SELECT u, i, 1.0::DOUBLE / count(*) OVER (PARTITION BY i) AS w FROM e)", "wu AS MATERIALIZED (SELECT u, i, 1.0::DOUBLE / count(*) OVER (PARTITION BY u) AS w FROM e)", "u0 AS (SELECT DISTINCT u AS a, u AS b, 1.0::DOUBLE AS s FROM e)", "i0 AS (SELECT DISTINCT i AS a, i AS b, 1.0::DOUBLE AS s FROM e)"]
+    for k in range(1, rounds + 1):
+        for new, old, x, y, w in (("u", "i", "u", "i", "wu"), ("i", "u", "i", "u", "wi")):
+            made.append(f"h{new}{k} AS MATERIALIZED (SELECT {x} AS x, s.b, sum(s.s * w) AS s FROM {old}{k - 1} s JOIN {w} ON {y} = s.a GROUP BY 1, 2), {new}{k} AS MATERIALIZED (SELECT h.x AS a, {x} AS b, CASE WHEN h.x = {x} THEN 1.0 ELSE 0.6::DOUBLE * sum(h.s * w) END AS s FROM h{new}{k} h JOIN {w} ON {y} = h.b GROUP BY 1, 2)")
+    return f"WITH {', '.join(made)} SELECT 'user' AS side, a, b, round(s, 7) AS similarity FROM u{rounds} WHERE a < b UNION ALL SELECT 'item', a, b, round(s, 7) FROM i{rounds} WHERE a < b"
+
+
+#: Patterns of one to three events by the earliest places at which they end; support 0.3 of the users.
+SEQUENCES = """WITH s AS MATERIALIZED (SELECT user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, event_type) AS k FROM events),
+f1 AS MATERIALIZED (SELECT user_id, t AS p, min(k) AS k FROM s GROUP BY 1, 2), f2 AS MATERIALIZED (SELECT f.user_id, f.p || '>' || s.t AS p, min(s.k) AS k FROM f1 f JOIN s ON s.user_id = f.user_id AND s.k > f.k GROUP BY 1, 2),
+f3 AS (SELECT f.user_id, f.p || '>' || s.t AS p, min(s.k) AS k FROM f2 f JOIN s ON s.user_id = f.user_id AND s.k > f.k GROUP BY 1, 2)
+SELECT p AS pattern, count(*) AS freq FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3) GROUP BY 1 HAVING count(*) >= ceil(0.3 * (SELECT count(DISTINCT user_id) FROM events))"""
+
+
 def windows(spark, d):
     from tessera.streaming.windows import streaming_counts
 
@@ -222,11 +254,11 @@ QUERIES = {
     "knn_classify": (neighbour_class, f"WITH {NEAR}, v AS (SELECT query, label, count(*) AS n FROM k WHERE place <= 5 GROUP BY 1, 2) SELECT query, label FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, label) AS p FROM v) WHERE p = 1"),
     "text_document_frequency": (word_frequency, f"WITH {WORDS} SELECT lang, word, count(*) AS df FROM w WHERE word <> '' GROUP BY 1, 2"),
     "text_idf": (idf, f"WITH {WORDS}, f AS (SELECT word, count(DISTINCT doc_id) AS df FROM w WHERE word <> '' GROUP BY 1), m AS (SELECT count(*) AS m FROM documents) SELECT word, CASE WHEN df >= 2 THEN round(ln((m + 1)::DOUBLE / (df + 1)), 6) ELSE 0 END AS idf FROM f, m"),
-    "cluster_kmeans": (kmeans, None),
-    "cluster_dbscan": (dbscan, None),
-    "recommend_simrank": (simrank, None),
+    "cluster_kmeans": (kmeans, _kmeans_sql()),
+    "cluster_dbscan": (dbscan, _dbscan_sql()),
+    "recommend_simrank": (simrank, _simrank_sql()),
     "recommend_als": (als, None),
-    "mine_sequences": (sequences, None),
+    "mine_sequences": (sequences, SEQUENCES),
     "text_topics": (topics, None),
     "tree_splits": (splits, f"WITH {SCORED}, b AS (SELECT l_quantity AS t, count(*) AS n, sum(y) AS pos FROM p GROUP BY 1), c AS (SELECT t, sum(n) OVER (ORDER BY t) AS ln, sum(pos) OVER (ORDER BY t) AS lp, sum(n) OVER () AS tn, sum(pos) OVER () AS tp FROM b) SELECT t AS threshold, ln::BIGINT AS left_n, round(2 * (tp / tn) * (1 - tp / tn) - ln / tn * (2 * (lp / ln) * (1 - lp / ln)) - (tn - ln) / tn * (2 * ((tp - lp) / (tn - ln)) * (1 - (tp - lp) / (tn - ln))), 7) AS gain FROM (SELECT t, ln::DOUBLE AS ln, lp::DOUBLE AS lp, tn::DOUBLE AS tn, tp::DOUBLE AS tp FROM c) WHERE ln < tn"),
     "metric_elementwise": (metrics, f"WITH {SCORED} SELECT round(sqrt(avg(power(q - y, 2))), 6) AS rmse, round(sqrt(avg(power(ln(1 + q) - ln(1 + y), 2))), 6) AS rmsle, round(avg(abs(q - y)), 6) AS mae, round(avg(CASE WHEN q > 0.5 THEN 1 - y ELSE y END), 6) AS error FROM p"),

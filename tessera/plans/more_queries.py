@@ -10,7 +10,7 @@ from tessera.operators import boosting as B
 from tessera.operators import communities as C
 from tessera.operators import graph as G
 from tessera.plans import tables as T
-from tessera.plans.graph_queries import HOPS
+from tessera.plans.graph_queries import DIRECTED, _pagerank_sql
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -33,8 +33,7 @@ def vectors(spark, d):
 
 
 def breadth(spark, d):
-    e = T.supply_graph(spark, d).filter("amount >= 60")
-    return C.breadth_first(e, 1, 4).select("id", F.array_join("path", ",").alias("path"), "distance")
+    return C.breadth_first(T.supply_graph(spark, d), 1).select("id", F.array_join("path", ",").alias("path"), "distance")
 
 
 def clustering_totals(spark, d):
@@ -81,7 +80,7 @@ def precision_recall(spark, d):
 
 def count_metrics(spark, d):
     rows = T.flagged(spark, d).withColumn("q", F.col("l_discount") + 1)
-    return L.evaluate(rows, "q", "y", ["logloss", "poisson_nloglik"]).select(F.round("poisson_nloglik", 6).alias("poisson_nloglik"))
+    return L.evaluate(rows, "q", "y", ["poisson_nloglik"]).select(F.round("poisson_nloglik", 6).alias("poisson_nloglik"))
 
 
 def _classes(spark, d):
@@ -121,9 +120,34 @@ five AS (SELECT q.*, u.dst AS f FROM q JOIN pairs u ON u.src = q.a JOIN pairs v
 in4 AS (SELECT a, b, c FROM q UNION SELECT a, b, e FROM q UNION SELECT a, c, e FROM q UNION SELECT b, c, e FROM q),
 in5 AS (SELECT a, b, c, e FROM five UNION SELECT a, b, c, f FROM five UNION SELECT a, b, e, f FROM five UNION SELECT a, c, e, f FROM five UNION SELECT b, c, e, f FROM five)
 SELECT 3 AS size, concat_ws(',', a, b, c) AS members FROM (SELECT * FROM t EXCEPT SELECT * FROM in4) UNION ALL SELECT 4, concat_ws(',', a, b, c, e) FROM (SELECT * FROM q EXCEPT SELECT * FROM in5) UNION ALL SELECT 5, concat_ws(',', a, b, c, e, f) FROM five"""
-STEPS = "step AS (SELECT src, dst FROM edges WHERE amount >= 60), starts AS (SELECT 1::BIGINT AS id WHERE EXISTS (SELECT 1 FROM step WHERE src = 1 OR dst = 1))"
-BREADTH = HOPS.format(edges=T.SUPPLIES, steps=STEPS).replace("w.distance < 6", "w.distance < 4") + """, parent AS (SELECT s.dst AS id, min(s.src) AS parent FROM step s JOIN best a ON a.id = s.src JOIN best b ON b.id = s.dst AND b.distance = a.distance + 1 GROUP BY 1),
-tree AS (SELECT id, id::VARCHAR AS path, 0 AS distance FROM starts UNION ALL SELECT p.id, t.path || ',' || p.id, t.distance + 1 FROM tree t JOIN parent p ON p.parent = t.id) SELECT id, path, distance FROM tree"""
+BREADTH = DIRECTED + """, parent AS (SELECT s.dst AS id, min(s.src) AS parent FROM step s JOIN best a ON a.id = s.src AND a.source = 1 JOIN best b ON b.id = s.dst AND b.source = 1 AND b.distance = a.distance + 1 GROUP BY 1),
+tree AS (SELECT id, id::VARCHAR AS path, 0 AS distance FROM best WHERE source = 1 AND distance = 0 UNION ALL SELECT p.id, t.path || ',' || p.id, t.distance + 1 FROM tree t JOIN parent p ON p.parent = t.id) SELECT id, path, distance FROM tree"""
+BREADTH = BREADTH.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _warm_sql() -> str:
+    """Five rounds on the edges of weight 1, then five on all edges from the ranks found."""
+    cold = _pagerank_sql(5).replace("edges AS (", "every AS (").replace("nodes AS (SELECT DISTINCT src AS id FROM edges)", "edges AS (SELECT * FROM every WHERE weight = 1), nodes AS (SELECT DISTINCT src AS id FROM edges)")
+    cold = cold.replace("SELECT id, round(r, 6) AS rank FROM r5", "")
+    made = ["whole AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS s FROM every)", "w0 AS MATERIALIZED (SELECT id, coalesce(r, 1.0) AS r FROM (SELECT DISTINCT src AS id FROM every) LEFT JOIN r5 USING (id))"]
+    for k in range(1, 6):
+        made.append(f"w{k} AS MATERIALIZED (SELECT id, 0.15 + 0.85 * coalesce(g, 0) AS r FROM w0 LEFT JOIN (SELECT dst, sum(s * r) AS g FROM whole JOIN w{k - 1} ON src = id GROUP BY dst) ON id = dst)")
+    return f"{cold}, {', '.join(made)} SELECT id, round(r, 6) AS rank FROM w5"
+
+
+def _linear_sql() -> str:
+    """Two rounds of coordinate steps over bias, l_quantity, l_discount: eta 0.5, lambda 1 but for the bias."""
+    made, m = ["p AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS x1, l_discount::DOUBLE AS x2, l_extendedprice / 10000 AS y FROM lineitem)", "t0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2)"], 0
+    for _ in range(2):
+        for k, x in enumerate(("1.0", "x1", "x2")):
+            m += 1
+            ridge = "0.0" if k == 0 else "1.0"
+            new = f"w{k} + 0.5 * ((w{k} * (h + {ridge}) - (g + {ridge} * w{k})) / (h + {ridge}) - w{k}) AS w{k}"
+            rest = ", ".join(new if j == k else f"w{j}" for j in range(3))
+            made.append(f"t{m} AS MATERIALIZED (SELECT {rest} FROM (SELECT w0, w1, w2, sum((w0 + w1 * x1 + w2 * x2 - y) * {x}) AS g, sum({x} * {x})::DOUBLE AS h FROM p, t{m - 1} GROUP BY 1, 2, 3))")
+    return f"WITH {', '.join(made)} SELECT l_orderkey, l_linenumber, round(w0 + w1 * x1 + w2 * x2, 5) AS margin FROM p, t{m}"
+
+
 TOTALS = f"""WITH {T.TOGETHER}, t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM pairs x JOIN pairs y ON x.dst = y.src JOIN pairs z ON z.src = x.src AND z.dst = y.dst), e AS (SELECT unnest([a, b, c]) AS id FROM t), n AS (SELECT deg.id, degree, count(e.id) AS t FROM deg LEFT JOIN e ON e.id = deg.id GROUP BY 1, 2)
 SELECT round(avg(CASE WHEN degree > 1 THEN 2.0::DOUBLE * t / (degree * (degree - 1)) ELSE 0 END), 9) AS average, round(sum(t)::DOUBLE / sum(degree * (degree - 1) / 2)::DOUBLE, 9) AS overall FROM n"""
 LIVES = """p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS time, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS event, l_discount * 5 AS m FROM lineitem),
@@ -138,7 +162,7 @@ QUERIES = {
     "graph_node_vectors": (vectors, None),
     "graph_breadth_first": (breadth, BREADTH),
     "graph_clustering_totals": (clustering_totals, TOTALS),
-    "graph_pagerank_warm_start": (warm_start, None),
+    "graph_pagerank_warm_start": (warm_start, _warm_sql()),
     "boost_cox": (cox, f"WITH {LIVES} SELECT l_orderkey, l_linenumber, round(exp(m) * r1 - event, 5) AS gradient, round(exp(m) * r1 - exp(2 * m) * s1, 5) AS hessian FROM p JOIN s USING (time)"),
     "metric_cox": (cox_metric, f"WITH {LIVES} SELECT round(avg(ln(risk) - m), 5) AS cox_nloglik FROM p JOIN s USING (time) WHERE event = 1"),
     "metric_aft": (aft_metric, "WITH p AS (SELECT l_quantity AS q, l_returnflag = 'R' AS event, 1 / (1 + exp(l_discount + 3 - ln(l_quantity))) AS c FROM lineitem) SELECT round(avg(-ln(CASE WHEN event THEN c * (1 - c) / q ELSE 1 - c END)), 5) AS aft_nloglik FROM p"),
@@ -147,6 +171,6 @@ QUERIES = {
     "metric_poisson": (count_metrics, "SELECT round(avg(l_discount + 1 - (CASE WHEN l_returnflag = 'R' THEN ln(l_discount + 1) ELSE 0 END)), 6) AS poisson_nloglik FROM lineitem"),
     "boost_classes": (boosted_classes, None),
     "boost_dropping": (boosted_dropping, None),
-    "boost_linear": (boosted_linear, None),
+    "boost_linear": (boosted_linear, _linear_sql()),
     "boost_contributions": (contributions, None),
 }
