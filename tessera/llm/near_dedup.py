@@ -34,7 +34,7 @@ from tessera.llm.shared import cached_joins, map_texts, materialise, shared_dir
 SHINGLE, PERCENT = 5, 85
 TREES, SHALLOW, DEPTH = 16, 4, 8
 #: Nodes of a region or a part of it, nodes and shingles of a block of a cluster, that are compared at a time.
-REGION, BLOCK, BLOCK_SHINGLES = 512, 512, 2_000_000
+REGION, BLOCK, BLOCK_SHINGLES = 512, 128, 2_000_000
 #: Nodes of a large cluster that all its blocks hold.
 PIVOTS = 8
 CACHE = 250_000
@@ -44,7 +44,7 @@ _MULTIPLY = _RNG.integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) +
 _ADD = _RNG.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
 _PLACE = _RNG.integers(1, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS: dict[bytes, bytes] = {}
-SKETCH = ("s0", "s1", "s2", "s3")
+SKETCH, PIVOT = ("s0", "s1", "s2", "s3"), ("pivot", "p0", "p1", "p2", "p3")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -180,20 +180,31 @@ def _in_batches(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest_of(node: np.ndarray, classes: Linked) -> Iterator[np.ndarray]:
-    """Edges from the first node of each class to its others."""
-    apart = classes.of != np.arange(len(node))
-    if apart.any():
-        yield np.stack([node[classes.of[apart]], node[apart]])
+    """Edges from the smallest node of each class to its others: alike classes of several orders give the same edges."""
+    if classes.of.any() or len(node) > 1:
+        root = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(root, classes.of, node)
+        root = root[classes.of]
+        if (apart := root != node).any():
+            yield np.stack([root[apart], node[apart]])
 
 
 def _region_edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """For each region in its order the edges that join what the sketches do not tell apart."""
+    """For each part in its order the edges that join what the sketches do not tell apart.
+
+    Parts of a large region also have its pivot: those that may be similar to it are joined first, and through it.
+    """
 
     def found() -> Iterator[np.ndarray]:
         for group in _groups(batches, 1):
             node, sketch = group.column("node").to_numpy(), _sketches(group)
+            if "pivot" in group.column_names:
+                pivot = np.array([group.column(c)[0].as_py() for c in PIVOT[1:]], np.int64).view(np.uint64)
+                node, sketch = np.append(group.column("pivot")[0].as_py(), node), np.column_stack([pivot, sketch])
             n = len(node)
             classes = Linked(n)
+            if "pivot" in group.column_names:
+                classes.of[_near(sketch, sketch[:, 0], most)] = 0
             d = sketch[:, 1:] ^ sketch[:, :-1]
             for k in np.flatnonzero(np.bitwise_count(d[0] | d[2]) + np.bitwise_count(d[1] | d[3]) <= most).tolist():
                 classes.join(k, k + 1)
@@ -230,30 +241,30 @@ def _edges(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
 
 
-def _parts(forest: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None]:
-    """The forest's rows with the column ``part`` in place of their region, and the rows of regions that were cut.
+def _parts(forest: DataFrame, folder: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The forest's rows with the column ``part`` in place of their region; those of large regions apart, and uncut too.
 
     A part is a region of up to REGION nodes, or of a larger one the nodes with 2 or 4 further values in common; what is
-    larger still is dealt into blocks. Parts of one node are left out. Sizes come from partial aggregations.
+    larger still is dealt into blocks. Sizes come from partial aggregations. Rows of large regions have the region's
+    smallest node as its pivot.
     """
-    sizes = materialise(forest.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1"), folder, "region_sizes")
-    rows = forest.join(sizes, "region")
-    columns = ["part", "place", "node", *SKETCH]
-    parts = rows.filter(F.col("n") <= REGION).withColumn("part", F.col("region")).select(columns)
-    if not sizes.filter(F.col("n") > REGION).limit(1).count():
-        return parts, None
-    large = materialise(rows.filter(F.col("n") > REGION), folder, "large_regions")
-    rest = large.drop("n")
+    sizes = materialise(forest.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > REGION), folder, "large_sizes")
+    if not sizes.limit(1).count():
+        return forest.withColumnRenamed("region", "part"), None, None
+    rows = forest.join(sizes, "region", "left")
+    large = materialise(rows.filter("n is not null").drop("n"), folder, "large_regions")
+    pivots = large.groupBy("region").agg(F.min(F.struct("node", *SKETCH)).alias("p"))
+    rest = large.join(pivots.select("region", *(F.col(f"p.{a}").alias(b) for a, b in zip(("node", *SKETCH), PIVOT, strict=True))), "region")
+    columns, parts = ["part", "place", "node", *SKETCH, *PIVOT], None
     for values in (2, 4):
         rest = rest.withColumn("part", F.xxhash64("region", F.shiftrightunsigned("place", 64 - 16 * values), F.lit(values)))
-        counts = rest.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
-        rest = materialise(rest.join(counts, "part"), folder, f"depth_{values}")
-        parts = parts.unionByName(rest.filter(F.col("n") <= REGION).select(columns))
-        rest = rest.filter(F.col("n") > REGION)
-        if values < 4:
-            rest = rest.drop("n", "part")
+        rest = materialise(rest.join(rest.groupBy("part").agg(F.count("*").alias("n")), "part"), folder, f"depth_{values}")
+        fits = rest.filter(F.col("n") <= REGION).select(columns)
+        parts = fits if parts is None else parts.unionByName(fits)
+        rest = rest.filter(F.col("n") > REGION) if values == 4 else rest.filter(F.col("n") > REGION).drop("n", "part")
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(REGION)))
-    return parts.unionByName(rest.withColumn("part", F.xxhash64("part", block)).select(columns)), large
+    parts = parts.unionByName(rest.withColumn("part", F.xxhash64("part", block)).select(columns))
+    return rows.filter("n is null").withColumnRenamed("region", "part"), parts, large
 
 
 def _across(rows: DataFrame, key: str, rest: list[str], weight: str | None = None) -> DataFrame:
@@ -427,8 +438,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _clusters(forest: DataFrame, most: int, folder: str) -> DataFrame:
     """node, cluster: the components of what the sketches do not tell apart within a region."""
-    parts, large = _parts(forest, folder)
-    maybe = materialise(_by_group(parts, ["part"], ["place", "node", *SKETCH], partial(_region_edges, most=most), ("place", "node")).distinct(), folder, "maybe")
+    parts, of_large, large = _parts(forest, folder)
+    edges = _by_group(parts, ["part"], ["place", "node", *SKETCH], partial(_region_edges, most=most), ("place", "node"))
+    if of_large is not None:
+        edges = edges.unionByName(_by_group(of_large, ["part"], ["place", "node", *SKETCH, *PIVOT], partial(_region_edges, most=most), ("place", "node")))
+    maybe = materialise(edges.distinct(), folder, "maybe")
     clusters = connected_components(maybe, folder, "clusters")
     if large is not None:
         kind = large.join(clusters, "node", "left").select("region", "node", F.coalesce("component", "node").alias("class"), *SKETCH)
