@@ -14,6 +14,8 @@ from tessera.functions.running import log_gamma, running_sums
 
 #: Smallest hessian of the logistic objectives.
 TINY = 1e-16
+#: Least margin of the squared log error, whose logarithm ends at -1.
+LEAST_MARGIN = -1 + 1e-6
 
 
 def sigmoid(x: Column) -> Column:
@@ -30,6 +32,12 @@ def _hinge(p: Column, y: Column) -> tuple[Column, Column]:
     return F.when(p * side < 1, -side).otherwise(0.0), F.when(p * side < 1, 1.0).otherwise(TINY)
 
 
+def _squared_log(p: Column, y: Column) -> tuple[Column, Column]:
+    p = F.greatest(p, F.lit(LEAST_MARGIN))
+    apart = F.log1p(p) - F.log1p(y)
+    return apart / (p + 1), F.greatest((1 - apart) / F.pow(p + 1, 2), F.lit(1e-6))
+
+
 def tweedie(power: float = 1.5) -> Callable[[Column, Column], tuple[Column, Column]]:
     def loss(p: Column, y: Column) -> tuple[Column, Column]:
         a, b = F.exp((1 - power) * p), F.exp((2 - power) * p)
@@ -41,7 +49,7 @@ def tweedie(power: float = 1.5) -> Callable[[Column, Column], tuple[Column, Colu
 #: name: (margin, label) to (gradient, hessian).
 OBJECTIVES: dict[str, Callable[[Column, Column], tuple[Column, Column]]] = {
     "squared_error": lambda p, y: (p - y, F.lit(1.0)),
-    "squared_log_error": lambda p, y: ((F.log1p(p) - F.log1p(y)) / (p + 1), F.greatest((1 - F.log1p(p) + F.log1p(y)) / F.pow(p + 1, 2), F.lit(1e-6))),
+    "squared_log_error": _squared_log,
     "logistic": _logistic,
     "hinge": _hinge,
     "poisson": lambda p, y: (F.exp(p) - y, F.exp(p + 0.7)),

@@ -141,10 +141,24 @@ def objectives(spark, d):
 
 def boosted(spark, d):
     rows = T.flagged(spark, d)
-    model = B.boost(rows, NUMERIC, "y", B.Params(objective="logistic", rounds=3, depth=3))
+    model = B.boost(rows, NUMERIC, "y", B.Params(objective="logistic", rounds=10, depth=6))
     return model.transform(rows, leaves="leaves").select("l_orderkey", "l_linenumber", F.round(L.sigmoid(F.col("margin")), 6).alias("p"), F.concat_ws(",", "leaves").alias("leaves"))
 
 
+def boosted_split(spark, d):
+    model = B.boost(T.flagged(spark, d), ["l_quantity", "l_discount", "l_tax"], "y", B.Params(rounds=1, depth=1))
+    t = model.table(spark).filter("node = 0").select("feature", "threshold", F.round("gain", 5).alias("gain"))
+    leaves = model.table(spark).filter("node > 0").groupBy().pivot("node", [1, 2]).agg(F.round(F.first("weight"), 6)).toDF("left_weight", "right_weight")
+    return t.join(leaves)
+
+
+FIRST_SPLIT = """WITH p AS (SELECT l_quantity, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS y FROM lineitem),
+f AS (SELECT 1 AS k, 'l_quantity' AS feature, l_quantity AS x, y FROM p UNION ALL SELECT 2, 'l_discount', l_discount, y FROM p UNION ALL SELECT 3, 'l_tax', l_tax, y FROM p),
+s AS (SELECT k, feature, x, sum(sum(y)) OVER w AS y1, sum(count(*)) OVER w AS n1, sum(sum(y)) OVER (PARTITION BY k) AS y0, sum(count(*)) OVER (PARTITION BY k) AS n0 FROM f GROUP BY k, feature, x WINDOW w AS (PARTITION BY k ORDER BY x)),
+g AS (SELECT k, feature, x, y1 * y1 / (n1 + 1) + (y0 - y1) * (y0 - y1) / (n0 - n1 + 1) - y0 * y0 / (n0 + 1) AS gain, 0.3 * y1 / (n1 + 1) AS a, 0.3 * (y0 - y1) / (n0 - n1 + 1) AS b FROM s WHERE n1 < n0)
+SELECT feature, x::DOUBLE AS threshold, round(gain::DOUBLE, 5) AS gain, round(a::DOUBLE, 6) AS left_weight, round(b::DOUBLE, 6) AS right_weight FROM g ORDER BY gain DESC, k, x LIMIT 1"""
+
+
 def boosted_importance(spark, d):
     model = B.boost(T.flagged(spark, d), NUMERIC, "l_extendedprice", B.Params(rounds=2, depth=3))
     return model.table(spark)
@@ -272,6 +286,7 @@ QUERIES = {
         UNION ALL SELECT 'hinge', round(sum(CASE WHEN q * (2 * y - 1) < 1 THEN -(2 * y - 1)::DOUBLE ELSE 0 END), 3), round(sum(CASE WHEN q * (2 * y - 1) < 1 THEN 1.0::DOUBLE ELSE 1e-16 END), 3) FROM p
         UNION ALL SELECT 'poisson', round(sum(exp(q) - y), 3), round(sum(exp(q + 0.7)), 3) FROM p"""),
     "boost_classify": (boosted, None),
+    "boost_first_split": (boosted_split, FIRST_SPLIT),
     "boost_model_table": (boosted_importance, None),
     "learn_linear_svc": (linear_svc, None),
     "learn_logistic": (logistic, None),

@@ -83,6 +83,92 @@ def test_boosting_splits_at_the_step_and_handles_missing(spark):
     assert set(model.importance()) == {"x"}
 
 
+def test_objectives_on_arrays_are_those_on_columns(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.functions import losses
+
+    m, y = np.array([-2.0, -0.5, 0.3, 1.7, 0.9]), np.array([0.0, 1.0, 1.0, 0.0, 1.0])
+    rows = spark.createDataFrame(list(zip(m.tolist(), y.tolist(), strict=True)), "m double, y double").coalesce(1)
+    for name, on_columns in losses.OBJECTIVES.items():
+        want = np.array([list(r) for r in rows.select(*(c.cast("double") for c in on_columns(F.col("m"), F.col("y")))).collect()])
+        assert np.stack(boosting.OBJECTIVES[name](m, y), axis=1) == pytest.approx(want, rel=1e-9), name
+
+
+def plain_boost(x, y, rounds, depth, lam=1.0, eta=0.3, step=0.0):
+    """Squared error over all cuts of complete columns, one node at a time."""
+    import numpy as np
+
+    def weight(g, h):
+        w = -g / (h + lam)
+        return float(np.clip(w, -step, step)) if step else w
+
+    def score(g, h):
+        w = weight(g, h)
+        return -(2 * g * w + (h + lam) * w * w)
+
+    def grow(rows, left):
+        g, h = (m - y)[rows].sum(), float(len(rows))
+        best = (1e-9, None)
+        for f in range(x.shape[1]) if left else ():
+            for c in np.unique(x[rows, f])[:-1]:
+                low = x[rows, f] <= c
+                a, b = (m - y)[rows][low].sum(), low.sum()
+                if (found := score(a, b) + score(g - a, h - b) - score(g, h)) > best[0] + 1e-9:
+                    best = (found, rows[low], rows[~low])
+        if best[1] is None:
+            out[rows] += eta * weight(g, h)
+        else:
+            grow(best[1], left - 1)
+            grow(best[2], left - 1)
+
+    m = np.zeros(len(y))
+    for _ in range(rounds):
+        out = np.zeros(len(y))
+        grow(np.arange(len(y)), depth)
+        m = m + out
+    return m
+
+
+@pytest.mark.parametrize("step", [0.0, 0.2])
+def test_boosting_is_that_of_single_rows(spark, monkeypatch, step):
+    import numpy as np
+
+    monkeypatch.setattr(boosting, "RENEW", 2)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (150, 3)).astype(float)
+    y = x[:, 0] - 2 * (x[:, 1] > 5) * x[:, 2] + rng.normal(0, 0.5, 150)
+    rows = spark.createDataFrame([(k, *map(float, r), float(t)) for k, (r, t) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, y double")
+    model = boosting.boost(rows, ["a", "b", "c"], "y", boosting.Params(rounds=5, depth=3, max_delta_step=step))
+    got = {r["id"]: r["margin"] for r in model.transform(rows).collect()}
+    assert [got[k] for k in range(150)] == pytest.approx(plain_boost(x, y, 5, 3, step=step).tolist(), abs=1e-9)
+    parts = {r["id"]: sum(r["contributions"]) for r in model.contributions(rows).collect()}
+    assert parts == pytest.approx(got)
+
+
+def test_boosting_options(spark):
+    rows = spark.range(400).selectExpr("id", "id % 20 / 1.0d as a", "(id * 7) % 13 / 1.0d as b", "case when id % 20 > 9 then 1.0d else 0.0d end as y", "case when id % 2 = 0 then 1.0d else 0.0d end as w", "5.0d as m")
+    P = boosting.Params
+    heavy = boosting.boost(rows, ["a", "b"], "y", P(rounds=3, depth=2), weight="w")
+    same = boosting.boost(rows.filter("w = 1"), ["a", "b"], "y", P(rounds=3, depth=2))
+    assert [[(n.get("feature"), n["g"]) for n in t] for t in heavy.trees] == [[(n.get("feature"), n["g"]) for n in t] for t in same.trees]
+    assert boosting.boost(rows, ["a"], "y", P(rounds=1, depth=1), margin="m").trees[0][0]["g"] == pytest.approx(400 * 5 - 200)
+    half = boosting.boost(rows, ["a", "b"], "y", P(rounds=2, depth=1, subsample=0.5))
+    assert all(140 < t[0]["h"] < 260 for t in half.trees) and half.trees[0][0]["h"] != half.trees[1][0]["h"]
+    drawn = boosting.boost(rows, ["a", "b"], "y", P(rounds=6, depth=1, colsample_bytree=0.5)).trees
+    assert 0 < sum(t[0].get("feature") == "a" for t in drawn) < 6
+    apart = boosting.boost(rows.withColumn("y", rows["a"] * rows["b"]), ["a", "b"], "y", P(rounds=2, depth=3, interactions=[["a"], ["b"]]))
+    assert all(len({n["feature"] for n in t if "feature" in n}) == 1 for t in apart.trees)
+    stopped = boosting.boost(rows, ["a"], "y", P(rounds=40, depth=1, eta=1.0, reg_lambda=0.0), valid=rows.withColumn("y", 1 - rows["y"]), patience=3)
+    assert len(stopped.history) == 4 and len(stopped.trees) == 1
+    assert len(boosting.boost(rows, ["a"], "y", P(rounds=9, depth=1), callback=lambda turn, _: turn == 1).trees) == 2
+    cv = boosting.cross_validate(rows, ["a"], "y", P(rounds=4, depth=1), folds=3)
+    assert len(cv) == 4 and cv[-1][0] < cv[0][0]
+    own = boosting.boost(rows, ["a"], "y", P(rounds=2, depth=1, objective=lambda m, y: (m - y, m * 0 + 1)))
+    assert own.trees == boosting.boost(rows, ["a"], "y", P(rounds=2, depth=1)).trees
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "e.txt").write_text("# c\n%m\n1 2 0.5\n2\t3\n4,4\nx\n")
     assert sorted(map(tuple, sources.read_edges(spark, str(tmp_path / "e.txt"), weighted=True, loops=False).collect())) == [(1, 2, 0.5), (2, 3, 1.0)]
