@@ -435,6 +435,68 @@ def test_losses_of_the_two_models(spark):
     assert got[1]["n_tokens"] == 4 and got[1]["ce_difference"] < got[2]["ce_difference"] and got[3]["ce_difference"] is None
 
 
+def test_losses_against_counted_dictionaries(spark, docs, monkeypatch):
+    import math
+
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+    rows, chosen = docs.select("doc_id", "text").limit(60), spark.createDataFrame([(k,) for k in range(0, 60, 3)] + [(None,), (3,)], "doc_id long")
+    data = {i: b"\0" * 4 + t.encode() for i, t in texts(rows).items()}
+    picked = {r["doc_id"] for r in chosen.collect()}
+
+    def model(held):
+        counts = [collections.Counter(x[k - n + 1 : k + 1] for x in held for k in range(4, len(x))) for n in range(1, 6)]
+        before = [collections.Counter() for _ in range(5)]
+        for order, found in enumerate(counts):
+            for gram, n in found.items():
+                before[order][gram[:-1]] += n
+
+        def probability(gram):
+            p = 1 / 256
+            for n in range(1, 6):
+                part = gram[len(gram) - n :]
+                p = (counts[n - 1][part] + lm_score.PSEUDO * p) / (before[n - 1][part[:-1]] + lm_score.PSEUDO)
+            return p
+
+        return probability
+
+    target, every = model([x for i, x in data.items() if i in picked]), model(list(data.values()))
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(rows, chosen).collect()}
+    for i, x in data.items():
+        grams = [x[k - 4 : k + 1] for k in range(4, len(x))]
+        r = got[i]
+        assert r["n_tokens"] == len(grams)
+        if grams:
+            a, b = (-sum(math.log(m(g)) for g in grams) / len(grams) for m in (target, every))
+            assert (r["ce_target"], r["ce_background"], r["ce_difference"]) == pytest.approx((a, b, a - b), abs=1e-9)
+
+
+def test_quality_posterior_against_documents_one_by_one(docs):
+    import math
+
+    names = [r[0] for r in quality_rules.RULES]
+    votes = quality_rules.features(docs).select("doc_id", *quality_rules.votes()).collect()
+    seen = [tuple(r[f"vote_{n}"] for n in names) for r in votes]
+    share, table = quality_rules.PRIOR_GOOD, [dict(quality_rules.START) for _ in names]
+    for _ in range(quality_rules.ROUNDS):
+        good = []
+        for v in seen:
+            a, b = share, 1 - share
+            for x, t in zip(v, table, strict=True):
+                a, b = a * t[x][0], b * t[x][1]
+            good.append(a / (a + b))
+        old, share = share, (sum(good) + 8) / (len(seen) + 10)
+        new = [{x: ((sum(g for g, v in zip(good, seen, strict=True) if v[k] == x) + 10 * s[0]) / (sum(good) + 10), (sum(1 - g for g, v in zip(good, seen, strict=True) if v[k] == x) + 10 * s[1]) / (len(seen) - sum(good) + 10)) for x, s in quality_rules.START.items()} for k in range(len(names))]
+        moved = max([abs(share - old)] + [abs(a - b) for x, y in zip(new, table, strict=True) for v in x for a, b in zip(x[v], y[v], strict=True)])
+        table = new
+        if moved < quality_rules.TOLERANCE:
+            break
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    for r, v in zip(votes, seen, strict=True):
+        odds = math.log(share / (1 - share)) + sum(math.log(t[x][0] / t[x][1]) for x, t in zip(v, table, strict=True))
+        p = 1 / (1 + math.exp(-odds))
+        assert got[r["doc_id"]]["p_good"] == pytest.approx(p, abs=1e-6) and got[r["doc_id"]]["kept"] == (p >= 0.5 and not got[r["doc_id"]]["base_failed"])
+
+
 def test_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
