@@ -63,6 +63,32 @@ def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance:
     return ranks
 
 
+def personalised_pagerank(edges: DataFrame, sources: DataFrame, rounds: int = 10, reset: float = 0.15) -> DataFrame:
+    """source, id, rank: a ranking for each of ``sources`` (id), whose rank starts at 1 and takes all of the reset.
+
+    Only vertices that a source's rank has reached have a row.
+    """
+    steps = edges.select("src", "dst")
+    out = steps.groupBy("src").agg(F.count("*").alias("total"))
+    shares = cut(steps.join(out, "src").select("src", "dst", (1 / F.col("total")).alias("share")))
+    start = cut(sources.select(F.col("id").alias("source"), "id").distinct())
+    ranks = start.withColumn("rank", F.lit(1.0))
+    for _ in range(rounds):
+        sent = shares.join(ranks, shares["src"] == ranks["id"]).select("source", F.col("dst").alias("id"), ((1 - reset) * F.col("share") * F.col("rank")).alias("rank"))
+        ranks = cut(sent.unionByName(start.withColumn("rank", F.lit(float(reset)))).groupBy("source", "id").agg(F.sum("rank").alias("rank")))
+    return ranks
+
+
+def pagerank_of_adjacency(lists: DataFrame, rounds: int = 10, reset: float = 0.15, sources_only: bool = False) -> DataFrame:
+    """id, rank from rows (src, pr, dsts): ranks start at ``pr``, those of vertices without a row at 1.
+
+    With ``sources_only`` vertices without a row have no rank.
+    """
+    edges = lists.select("src", F.explode("dsts").alias("dst"))
+    ranks = pagerank(edges, rounds, reset, start=lists.select(F.col("src").alias("id"), F.col("pr").alias("rank")))
+    return ranks.join(lists.select(F.col("src").alias("id")), "id", "left_semi") if sources_only else ranks
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, most: int | None = None, directed: bool = True) -> DataFrame:
     """source, id, distance in hops, all of them unless ``most`` is given: each round expands the newest frontier only."""
     steps = edges.select("src", "dst").distinct() if directed else both_ways(edges)

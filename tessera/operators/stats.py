@@ -144,3 +144,10 @@ def inverse_document_frequency(docs: DataFrame, least: int = 1) -> DataFrame:
     df = document_frequency(docs.withColumn("lang", F.lit(""))).select("word", "df")
     m = docs.agg(F.count("*").alias("m"))
     return df.join(F.broadcast(m)).select("word", F.when(F.col("df") >= least, F.log((F.col("m") + 1) / (F.col("df") + 1))).otherwise(0.0).alias("idf"))
+
+
+def tf_idf(docs: DataFrame, least: int = 1) -> DataFrame:
+    """doc_id, word, tf, tf_idf: a row for each word of a document; its count times its inverse document frequency."""
+    words = docs.select("doc_id", F.explode(F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != "")).alias("word"))
+    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+    return counts.join(inverse_document_frequency(docs, least), "word").select("doc_id", "word", "tf", (F.col("tf") * F.col("idf")).alias("tf_idf"))

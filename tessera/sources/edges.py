@@ -22,6 +22,23 @@ def read_communities(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.filter("p", lambda x: x != "").alias("p")).filter(F.size("p") >= 2).select(F.col("p")[0].cast("long").alias("id"), F.col("p")[1].cast("long").alias("community"))
 
 
+def read_values(spark: SparkSession, path: str, sep: str = r"[\s,]+") -> DataFrame:
+    """id, value from lines of a vertex and a number; comments and shorter lines are left out."""
+    parts = spark.read.text(path).select(F.trim("value").alias("v")).filter(~F.col("v").rlike("^[#%]")).select(F.split("v", sep).alias("p")).filter(F.size("p") >= 2)
+    return parts.select(F.col("p")[0].cast("long").alias("id"), F.col("p")[1].cast("double").alias("value"))
+
+
+def read_ids(spark: SparkSession, path: str, sep: str = r"[\s,]+") -> DataFrame:
+    """id: the first field of each line, as in lists of sources or of the best vertices."""
+    return spark.read.text(path).select(F.split(F.trim("value"), sep)[0].alias("v")).filter(F.col("v").rlike(r"^-?\d+$")).select(F.col("v").cast("long").alias("id"))
+
+
+def read_labelled(spark: SparkSession, path: str, features: int | None = None) -> DataFrame:
+    """label, features (vector) from lines ``label index:value ...`` with indexes from 1."""
+    reader = spark.read.format("libsvm")
+    return (reader if features is None else reader.option("numFeatures", features)).load(path)
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """id, vec from lines ``id<tab>v,v,...`` or ``id (v,v,...)``."""
     got = spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\d+)", 1).cast("long").alias("id"), F.regexp_extract("value", r"^\s*\d+[\s(]+([^)]*)", 1).alias("v"))

@@ -169,8 +169,61 @@ def test_boosting_options(spark):
     assert own.trees == boosting.boost(rows, ["a"], "y", P(rounds=2, depth=1)).trees
 
 
+def test_qr_and_singular_vectors(spark):
+    import numpy as np
+
+    from tessera.operators import matrices
+
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(60, 3)) @ np.diag([5.0, 1.0, 0.2])
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(a)], "id long, x double, y double, z double")
+    r, q = matrices.tall_qr(df, ["x", "y", "z"])
+    rows = np.array([[t["q_x"], t["q_y"], t["q_z"]] for t in q.orderBy("id").collect()])
+    assert np.allclose(rows @ r, a) and np.allclose(rows.T @ rows, np.eye(3)) and np.allclose(r, np.triu(r)) and (np.diag(r) > 0).all()
+    s, v = matrices.singular_values(df, ["x", "y", "z"], 2)
+    assert np.allclose(s, np.linalg.svd(a)[1][:2])
+    u = np.array([[t["u0"], t["u1"]] for t in matrices.left_vectors(df, ["x", "y", "z"], s, v, ["u0", "u1"]).orderBy("id").collect()])
+    assert np.allclose(a @ v, u * s) and np.allclose(u.T @ u, np.eye(2))
+
+
+def test_buckets_without_pruning(spark):
+    rows = spark.range(80).selectExpr("id", "id / 1.0d as x", "case when id < 40 then 0 else if(id % 3 = 0, 1, 0) end as y", "cast(null as double) as z")
+    got, cuts = learning.bucketize(rows, ["x", "z"], "y", depth=1, bins=200)
+    assert {r["id"]: (r["buckets"][0], r["buckets"][1]) for r in got.collect()} == {k: (int(k > 39) if cuts[0] == [39.0] else int(k > cuts[0][0]), None) for k in range(80)} and cuts[0] in ([39.0], [40.0], [41.0])
+
+
+def test_kmeans_from_spread_centres(spark):
+    import random
+
+    rng = random.Random(2)
+    points = spark.createDataFrame([(k, [10.0 * (k % 3) + rng.gauss(0, 0.3), 5.0 * (k % 3 == 1) + rng.gauss(0, 0.3)]) for k in range(150)], "id long, vec array<double>")
+    start = learning.spread_centres(points, 3)
+    assert sorted(round(r["vec"][0] / 10) for r in start.collect()) == [0, 1, 2]
+    for share in (1.0, 0.5):
+        found = sorted(r["vec"] for r in learning.kmeans(points, start, 20, tolerance=1e-3, share=share).collect())
+        assert all(math.dist(a, b) < 0.5 for a, b in zip(found, [[0.0, 0.0], [10.0, 5.0], [20.0, 0.0]], strict=True))
+    assert learning.spread_centres(points.filter("id < 2"), 5).count() == 2
+
+
+def test_spearman_leaves_a_null_out_of_its_own_pairs_only(spark):
+    from tessera.operators import stats
+
+    rows = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, 1.0, 2.0), (3.0, 5.0, None), (4.0, 7.0, 9.0)], "a double, b double, c double")
+    got = {(r["a"], r["b"]): r["value"] for r in stats.spearman(rows, ["a", "b", "c"]).collect()}
+    assert got["a", "b"] == pytest.approx(0.8) and got["a", "a"] == 1.0
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "e.txt").write_text("# c\n%m\n1 2 0.5\n2\t3\n4,4\nx\n")
     assert sorted(map(tuple, sources.read_edges(spark, str(tmp_path / "e.txt"), weighted=True, loops=False).collect())) == [(1, 2, 0.5), (2, 3, 1.0)]
+    (tmp_path / "v.txt").write_text("# ranks\n1 0.5\n2,1.5\n3\n")
+    assert sorted(map(tuple, sources.read_values(spark, str(tmp_path / "v.txt")).collect())) == [(1, 0.5), (2, 1.5)]
+    assert sorted(r["id"] for r in sources.read_ids(spark, str(tmp_path / "v.txt")).collect()) == [1, 2, 3]
+    (tmp_path / "l.txt").write_text("1 1:0.5 3:2\n0 2:1\n")
+    assert [(r["label"], r["features"].toArray().tolist()) for r in sources.read_labelled(spark, str(tmp_path / "l.txt")).orderBy("label").collect()] == [(0.0, [0.0, 1.0, 0.0]), (1.0, [0.5, 0.0, 2.0])]
+    (tmp_path / "c.txt").write_text("(1,7)\n(2,7)\n")
+    assert sorted(map(tuple, sources.read_communities(spark, str(tmp_path / "c.txt")).collect())) == [(1, 7), (2, 7)]
+    (tmp_path / "p.txt").write_text("1\t0.5,2\n2 (1.5,3)\n")
+    assert sorted((r["id"], r["vec"]) for r in sources.read_points(spark, str(tmp_path / "p.txt")).collect()) == [(1, [0.5, 2.0]), (2, [1.5, 3.0])]
     (tmp_path / "s.txt").write_text("1 2 -1 3 -1 -2\n")
     assert sources.read_sequences(spark, str(tmp_path / "s.txt")).collect()[0]["sequence"] == [[1, 2], [3]]
