@@ -37,16 +37,18 @@ def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance:
 
     With ``tolerance`` rounds go on, however many, until no rank moves by more. ``weight`` names a column of shares; ``seeds`` (id)
     are where the reset goes (a trust or personalised rank; others start at 0); ``start`` (id, rank) are ranks to
-    begin from, as when edges were added to a ranked graph.
+    begin from, as when edges were added to a ranked graph. Edges and vertices are dealt by vertex once and kept, so
+    that a round shuffles its messages only.
     """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = edges.select("src", "dst", value.alias("w"))
     out = rows.groupBy("src").agg(F.sum("w").alias("total"))
-    shares = cut(rows.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+    shares = cut(rows.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share"))).repartition(n, "src").persist()
     nodes = vertices(edges).withColumn("base", F.lit(1.0))
     if seeds is not None:
         nodes = nodes.drop("base").join(seeds.select("id").distinct().withColumn("base", F.lit(1.0)), "id", "left").fillna(0.0, ["base"])
-    nodes = cut(nodes)
+    nodes = cut(nodes).repartition(n, "id").persist()
     ranks = nodes.select("id", F.col("base").alias("rank"))
     if start is not None:
         ranks = nodes.join(start.select("id", F.col("rank").alias("old")), "id", "left").select("id", F.coalesce("old", "base").alias("rank"))
@@ -58,8 +60,12 @@ def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance:
             continue
         new = cut(new)
         if tolerance is not None and (new.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) <= tolerance:
-            return new
+            ranks = new
+            break
         ranks = new
+    ranks = cut(ranks)
+    shares.unpersist()
+    nodes.unpersist()
     return ranks
 
 

@@ -102,7 +102,8 @@ def dbscan(spark, d):
 
 
 def simrank(spark, d):
-    return M.simrank(T.bought(spark, d).select("user", "item"), 0.6, 2).withColumn("similarity", F.round("similarity", 7))
+    """Of each vertex how many of larger ids are similar to it, and how much in all."""
+    return M.simrank(T.bought(spark, d).select("user", "item"), 0.6, 2).groupBy("side", "a").agg(F.count("*").alias("n"), F.round(F.sum("similarity"), 6).alias("total"))
 
 
 def splits(spark, d):
@@ -239,7 +240,7 @@ def _simrank_sql(rounds: int = 2) -> str:
     for k in range(1, rounds + 1):
         for new, old, x, y, w in (("u", "i", "u", "i", "wu"), ("i", "u", "i", "u", "wi")):
             made.append(f"h{new}{k} AS MATERIALIZED (SELECT {x} AS x, s.b, sum(s.s * w) AS s FROM {old}{k - 1} s JOIN {w} ON {y} = s.a GROUP BY 1, 2), {new}{k} AS MATERIALIZED (SELECT h.x AS a, {x} AS b, CASE WHEN h.x = {x} THEN 1.0 ELSE 0.6::DOUBLE * sum(h.s * w) END AS s FROM h{new}{k} h JOIN {w} ON {y} = h.b GROUP BY 1, 2)")
-    return f"WITH {', '.join(made)} SELECT 'user' AS side, a, b, round(s, 7) AS similarity FROM u{rounds} WHERE a < b UNION ALL SELECT 'item', a, b, round(s, 7) FROM i{rounds} WHERE a < b"
+    return f"WITH {', '.join(made)} SELECT side, a, count(*) AS n, round(sum(s), 6) AS total FROM (SELECT 'user' AS side, a, b, s FROM u{rounds} UNION ALL SELECT 'item', a, b, s FROM i{rounds}) WHERE a < b GROUP BY 1, 2"
 
 
 #: Patterns of one to three events by the earliest places at which they end; support 0.3 of the users.

@@ -169,6 +169,45 @@ def test_boosting_options(spark):
     assert own.trees == boosting.boost(rows, ["a"], "y", P(rounds=2, depth=1)).trees
 
 
+def test_pairwise_ranking_orders_within_groups(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(boosting, "RENEW", 3)
+    rows = spark.range(600).selectExpr("id", "id % 30 as q", "(id * 7) % 11 / 1.0d as a", "100.0d * (id % 30) as b").selectExpr("*", "cast((a > 3) as int) + cast((a > 7) as int) as y")
+    model = boosting.boost(rows, ["a", "b"], "y", boosting.Params(objective="rank_pairwise", rounds=8, depth=2), group="q")
+    by = {}
+    for r in model.transform(rows).collect():
+        by.setdefault(r["y"], set()).add(round(r["margin"], 6))
+    assert max(by[0]) < min(by[1]) and max(by[1]) < min(by[2]) and set(model.importance()) == {"a"}
+    model.save(spark, str(tmp_path / "m"))
+    again = boosting.Model.load(spark, str(tmp_path / "m"))
+    assert again.trees == model.trees and again.cuts == model.cuts and again.params == model.params
+
+
+def test_stored_tables_and_numbers_of_names(spark, tmp_path):
+    from tessera.sources import stored
+
+    df = spark.createDataFrame([("x", "y", 1.5), ("y", "z", 2.5), (None, "z", 0.5)], "a string, b string, w double")
+    stored.write_columns(df, str(tmp_path / "o"))
+    back = stored.read_columns(spark, str(tmp_path / "o"), ["b", "w"])
+    assert sorted(map(tuple, back.collect())) == [("y", 1.5), ("z", 0.5), ("z", 2.5)]
+    e, ids = stored.numbered(df, "a", "b")
+    names = {r["id"]: r["name"] for r in ids.collect()}
+    assert sorted((names[r["src"]], names[r["dst"]], r["w"]) for r in e.collect()) == [("x", "y", 1.5), ("y", "z", 2.5)] and len(names) == 3
+
+
+def test_principal_components_are_those_of_the_covariance(spark):
+    import numpy as np
+
+    from tessera.operators import stats
+
+    a = np.random.default_rng(4).normal(size=(80, 3)) @ np.array([[3.0, 1.0, 0.0], [0.0, 1.0, 0.5], [0.0, 0.0, 0.2]])
+    share, loadings = stats.principal_components(spark.createDataFrame([tuple(map(float, r)) for r in a], "x double, y double, z double"), ["x", "y", "z"], 2)
+    c = np.cov(a.T)
+    values = np.sort(np.linalg.eigvalsh(c))[::-1]
+    assert np.allclose(share, values[:2] / values.sum())
+    for k in (0, 1):
+        assert np.allclose(c @ np.array(loadings[k]), values[k] * np.array(loadings[k]))
+
+
 def test_qr_and_singular_vectors(spark):
     import numpy as np
 
