@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cached_joins, map_texts, materialise, shared_dir
+from tessera.llm.shared import cached_joins, discard, map_texts, materialise, shared_dir
 
 SHINGLE, PERCENT = 5, 85
 TREES, SHALLOW, DEPTH = 16, 4, 8
@@ -123,22 +123,25 @@ def _forest(nodes: DataFrame, trees: int) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Runs of equal leading columns in sorted rows, across batch borders."""
+    """Runs of equal leading columns in sorted rows, across batch borders; rows alone within a batch are passed over."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        same = np.logical_and.reduce([k[1:] == k[:-1] for k in (batch.column(c).to_numpy(zero_copy_only=False) for c in range(n_keys))])
+        batch = batch.filter(pa.array(np.append(True, same) | np.append(same, True)))
         keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)]
         cut = [0, *(np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1).tolist(), batch.num_rows]
         for start, end in zip(cut[:-1], cut[1:], strict=True):
             key = tuple(k[start] for k in keys)
             if held and key != last:
-                yield pa.Table.from_batches(held)
+                if len(held) > 1 or held[0].num_rows > 1:
+                    yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(start, end - start))
             last = key
-    if held:
+    if len(held) > 1 or held and held[0].num_rows > 1:
         yield pa.Table.from_batches(held)
 
 
@@ -290,8 +293,9 @@ def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """node, component (smallest node that can be reached) for the nodes of ``edges`` (a, b: long).
 
     Each round takes the smallest label among a node and its neighbours, then the label's label. Every round is a
-    written table. Labels only fall, so the loop ends when their sum no longer changes.
+    written table, and those of the round before go. Labels only fall, so the loop ends when their sum no longer changes.
     """
+    spark = edges.sparkSession
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), folder, f"{name}_edges")
     labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), folder, f"{name}_0")
     total, turn = None, 0
@@ -306,6 +310,8 @@ def connected_components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         target = lower.select(F.col("node").alias("at"), F.col("label").alias("further"))
         jumped = lower.join(target, lower["label"] == target["at"]).select("node", F.least("label", "further").alias("label"))
         labels = materialise(jumped, folder, f"{name}_{turn}")
+        for old in (f"{name}_{turn - 1}", f"{name}_{turn}a"):
+            discard(spark, folder, old)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
