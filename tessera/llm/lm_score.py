@@ -139,4 +139,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
         difference = [None if t is None else t - a for t, a in zip(*made, strict=True)]
         return pa.table([rows.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (*made, difference))], names=["doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference"])
 
-    return blocked.select("block", "doc_id", "text").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, ce_target double, ce_background double, ce_difference double")
+    # About a block a task, however many there are: a task's memory does not grow with the input.
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocked.select("block").distinct().count())
+    dealt = blocked.select("block", "doc_id", "text").repartition(n, "block").groupBy("block")
+    return dealt.cogroup(wanted.repartition(n, "block").groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, ce_target double, ce_background double, ce_difference double")
