@@ -32,9 +32,10 @@ def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z and nothing else."""
-    return text.encode().lower().decode()
+def discard(spark: SparkSession, folder: str, name: str) -> None:
+    """Remove a table that nothing reads any more, as those of earlier rounds of a loop."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts_of(batch: pa.RecordBatch, step: int = 256, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -33,8 +33,9 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+"
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: Texts that are cut into words at a time, and about how many bytes of them.
 SLICE, SLICE_BYTES = 4000, 6 << 20
-#: Documents whose ids train the dictionary, those of the smallest hashes; it only affects the size of the files.
-DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 112_640
+#: Documents whose ids train the dictionary, those of the smallest hashes among texts of up to so many characters, which
+#: bounds what the driver gets; it only affects the size of the files.
+DICTIONARY_DOCS, DICTIONARY_CHARS, DICTIONARY_BYTES = 2000, 20_000, 112_640
 
 BLOCK_SCHEMA = "part int, seq int, start_in_part long, n_tokens long, first_doc_id long, last_doc_id long, dictionary string, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary"
 
@@ -113,6 +114,7 @@ def words_of(path: str) -> Words:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A zstandard dictionary from the id arrays of a bounded set of documents (empty if there are too few)."""
+    docs = docs.filter(F.length("text") <= DICTIONARY_CHARS)
     ids = [r[0] for r in docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS).collect()]
     if not ids:
         return b""
