@@ -25,25 +25,25 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cached_joins, discard, map_texts, materialise, shared_dir
+from tessera.llm.shared import discard, materialise, shared_dir, slices_of
 
 SHINGLE, PERCENT = 5, 85
 TREES, SHALLOW, DEPTH = 16, 4, 8
 #: Nodes of a region or a part of it, nodes and shingles of a block of a cluster, that are compared at a time.
 REGION, BLOCK, BLOCK_SHINGLES = 512, 128, 2_000_000
+#: The two bits of a signature's value that the sketch holds.
+SKETCH_BITS = (8, 9)
 #: Nodes of a large cluster that all its blocks hold.
 PIVOTS = 8
-CACHE = 250_000
 
 _RNG = np.random.default_rng(20240229)
-_MULTIPLY = _RNG.integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
+_MULTIPLY = _RNG.integers(0, 1 << 31, (TREES * DEPTH, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, (TREES * DEPTH, 1), np.uint32)
 _PLACE = _RNG.integers(1, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS: dict[bytes, bytes] = {}
+_BYTE, _AT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SKETCH, PIVOT = ("s0", "s1", "s2", "s3"), ("pivot", "p0", "p1", "p2", "p3")
 
 
@@ -53,15 +53,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles; a text of 1 to 4 words has one, of its whole sequence."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words in a row, and where each text's begin and the last ends.
+
+    A word's hash is the mixed sum of what its bytes and their places mix to.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    flat, ends = words.flatten().cast(pa.large_binary()), words.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    data, sizes = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], np.diff(at)
+    filled = sizes > 0  # a text without words has one empty one
+    sizes, ends = sizes[filled], np.concatenate([[0], np.cumsum(filled)])[ends]
+    if not len(sizes):
+        return np.zeros(0, np.uint64), ends
+    starts = np.cumsum(sizes) - sizes
+    place = (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.uint64)
+    return _mix(np.add.reduceat(_mix(data * _BYTE + place * _AT), starts) + sizes.astype(np.uint64)), ends
 
-    def learn(words: list[bytes]) -> None:
-        _WORDS.update((w, xxhash.xxh64_digest(w)) for w in words)
 
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; a text of 1 to 4 words has one, of its whole sequence."""
+    every, ends = word_hashes(texts)
     sets = []
-    for packed in cached_joins([t.encode().lower().split() for t in texts], _WORDS, CACHE, learn):
-        words = np.frombuffer(packed, "<u8")
+    for start, end in zip(ends[:-1], ends[1:], strict=True):
+        words = every[start:end]
         n = len(words) - SHINGLE + 1
         if not len(words):
             sets.append(words)
@@ -76,26 +92,30 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH minima of permuted hashes."""
-    low = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), 1024):
-        low = np.minimum(low, (hashes[k : k + 1024, None] * _MULTIPLY + _ADD).min(axis=0))
-    return (low >> np.uint64(32)).astype(np.uint32)
+    """TREES * DEPTH minima of the upper halves of hashes, each under a permutation of its own."""
+    low = np.full(TREES * DEPTH, np.iinfo(np.uint32).max, np.uint32)
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(upper), 2048):
+        low = np.minimum(low, (_MULTIPLY * upper[k : k + 2048] + _ADD).min(axis=1))
+    return low
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the set's two 64-bit digests and the signature's bytes (null without a set)."""
 
-    def per_batch(_: pa.RecordBatch, texts: list[str]) -> dict:
-        sets = shingle_sets(texts)
-        return {
-            "n_shingles": [len(s) for s in sets],
-            "set_a": [int(s.sum().astype(np.int64)) if len(s) else None for s in sets],
-            "set_b": [int(np.bitwise_xor.reduce(_mix(s)).astype(np.int64)) if len(s) else None for s in sets],
-            "signature": [signature(s).tobytes() if len(s) else None for s in sets],
-        }
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices_of(batch):
+                sets = shingle_sets(texts)
+                columns = [
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([int(s.sum().astype(np.int64)) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([int(np.bitwise_xor.reduce(_mix(s)).astype(np.int64)) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
-    return map_texts(docs, "n_shingles long, set_a long, set_b long, signature binary", per_batch)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
 def _forest(nodes: DataFrame, trees: int) -> DataFrame:
@@ -115,7 +135,7 @@ def _forest(nodes: DataFrame, trees: int) -> DataFrame:
                 for d in range(SHALLOW):
                     prefix = _mix(prefix * np.uint64(31) + sig[:, :trees, d])
                     place = place << np.uint64(16) | further[:, :trees, d] & np.uint64(0xFFFF)
-                bits = [((flat[:, half * 64 : half * 64 + 64] >> np.uint64(b) & np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64) for b in (0, 1) for half in (0, 1)]
+                bits = [((flat[:, half * 64 : half * 64 + 64] >> np.uint64(b) & np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64) for b in SKETCH_BITS for half in (0, 1)]
                 columns = [np.repeat(batch.column(0).to_numpy(), trees), prefix.ravel().astype(np.int64), place.ravel().astype(np.int64)] + [np.repeat(b.astype(np.int64), trees) for b in bits]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["node", "region", "place", *SKETCH])
 
@@ -354,7 +374,7 @@ def _sets_of(group: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     rows, sets, seen = [], [], set()
     node, digest, texts = group.column("node").to_pylist(), group.column("set_a").to_pylist(), group.column("text")
     for k in range(0, len(node), 256):
-        for i, x in enumerate(shingle_sets([t or "" for t in texts.slice(k, 256).to_pylist()]), k):
+        for i, x in enumerate(shingle_sets(pc.fill_null(texts.slice(k, 256).combine_chunks(), "")), k):
             if node[i] not in seen and len(x) and int(x.sum().astype(np.int64)) == digest[i]:
                 seen.add(node[i])
                 rows.append(i)
