@@ -16,6 +16,7 @@ from tessera.llm.pii import find_pii
 from tessera.llm.quality_classifier import quality_classifier
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secret_scan import secret_scan
+from tessera.llm.sentence_pieces import sentence_pieces
 from tessera.llm.shared import shared_dir
 from tessera.llm.token_files import read_tokens, write_tokens
 
@@ -80,8 +81,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_token_files, op4_byte_bpe, op5_quality_rules, op6_lm_score, op7_secret_scan, op8_benchmark_leaks, op9_license_scan, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_token_files, op4_byte_bpe, op5_quality_rules, op6_lm_score, op7_secret_scan, op8_benchmark_leaks, op9_license_scan, op10_near_duplicates, op11_sentence_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
