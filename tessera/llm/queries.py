@@ -18,6 +18,8 @@ from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secret_scan import secret_scan
 from tessera.llm.sentence_pieces import sentence_pieces
 from tessera.llm.shared import shared_dir
+from tessera.llm.source_divergence import SQL as DIVERGENCE_SQL
+from tessera.llm.source_divergence import source_divergence
 from tessera.llm.token_files import read_tokens, write_tokens
 
 
@@ -85,10 +87,14 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_token_files, op4_byte_bpe, op5_quality_rules, op6_lm_score, op7_secret_scan, op8_benchmark_leaks, op9_license_scan, op10_near_duplicates, op11_sentence_pieces)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_token_files, op4_byte_bpe, op5_quality_rules, op6_lm_score, op7_secret_scan, op8_benchmark_leaks, op9_license_scan, op10_near_duplicates, op11_sentence_pieces, op12_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the operators' results can be had from SQL alone; tests/llm holds them against brute force."""
-    return {}
+    """Only these results can be had from SQL; tests/llm holds the others against brute force."""
+    return {"op12_source_divergence": DIVERGENCE_SQL}
