@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import byte_bpe
+from tessera.llm.collocations import SQL as COLLOCATIONS_SQL
+from tessera.llm.collocations import collocations
 from tessera.llm.decontaminate import find_leaks
 from tessera.llm.license_scan import license_scan
 from tessera.llm.lm_score import cross_entropy_difference
@@ -91,10 +93,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_token_files, op4_byte_bpe, op5_quality_rules, op6_lm_score, op7_secret_scan, op8_benchmark_leaks, op9_license_scan, op10_near_duplicates, op11_sentence_pieces, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_token_files, op4_byte_bpe, op5_quality_rules, op6_lm_score, op7_secret_scan, op8_benchmark_leaks, op9_license_scan, op10_near_duplicates, op11_sentence_pieces, op12_source_divergence, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only these results can be had from SQL; tests/llm holds the others against brute force."""
-    return {"op12_source_divergence": DIVERGENCE_SQL}
+    return {"op12_source_divergence": DIVERGENCE_SQL, "op13_collocations": COLLOCATIONS_SQL}

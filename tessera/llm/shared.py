@@ -150,28 +150,26 @@ class Cutter:
         self.lowered[65:91] += 32
 
     def spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The texts' bytes, where each text begins and the last ends, and the words' starts and ends."""
+        """The texts' bytes, where each text begins and the last ends, which bytes are in words, and where words start."""
         texts = texts.cast(pa.large_binary())
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         at = at - at[0]
         inside = self.inside[data]
-        start, end = inside.copy(), inside.copy()
+        start = inside.copy()
         start[1:] &= ~inside[:-1]
-        end[:-1] &= ~inside[1:]
-        cut = at[(at > 0) & (at < len(data))]  # words end with their texts
+        cut = at[at < len(data)]  # words end with their texts
         start[cut] = inside[cut]
-        end[cut - 1] = inside[cut - 1]
-        return data, at, np.flatnonzero(start), np.flatnonzero(end) + 1
+        return data, at, inside, np.flatnonzero(start)
 
-    def strings(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-        """The words at these places, lowered."""
-        sizes = ends - starts
-        flat = self.lowered[gathered(data, starts, sizes)]
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.string())
+    def strings(self, data: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """All words in a row, lowered."""
+        flat = self.lowered[data[inside]]
+        before = np.cumsum(inside)[starts] - 1 if len(starts) else starts
+        offsets = np.append(before, len(flat)).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).cast(pa.string())
 
     def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All words in a row and the place of each one's text."""
-        data, at, starts, ends = self.spans(texts)
-        return self.strings(data, starts, ends), np.searchsorted(at, starts, "right") - 1
+        data, at, inside, starts = self.spans(texts)
+        return self.strings(data, inside, starts), np.searchsorted(at, starts, "right") - 1
