@@ -1,10 +1,11 @@
-"""Statistics, linear algebra and nearest neighbours over named numeric columns or long-form vectors."""
+"""Statistics and linear algebra over named numeric columns, and weights of words."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.running import running_sums
@@ -12,9 +13,20 @@ from tessera.functions.storage import cut
 
 
 def _moments(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One pass: n, sums and sums of products of all pairs, as one row."""
-    x = {c: F.col(c).cast("double") for c in cols}
-    return df.agg(F.count("*").alias("n"), *(F.avg(x[c]).alias(f"m_{c}") for c in cols), *(F.covar_samp(x[a], x[b]).alias(f"c_{a}_{b}") for a, b in combinations_with_replacement(cols, 2)), *(F.sum(x[a] * x[b]).alias(f"g_{a}_{b}") for a, b in combinations_with_replacement(cols, 2)))
+    """One pass: of each pair of columns the moments over the rows where both are there, as one row.
+
+    n_a_b rows, m_a_b and m_b_a means of a and of b, v_a_b and v_b_a variances of a and of b, c_a_b covariances, g_a_b sums of
+    products, and q_a_b and q_b_a sums of squares of a and of b.
+    """
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    made = []
+    for a, b in combinations_with_replacement(cols, 2):
+        both = x[a].isNotNull() & x[b].isNotNull()
+        made += [F.count(F.when(both, 1)).alias(f"n_{a}_{b}"), F.covar_samp(x[a], x[b]).alias(f"c_{a}_{b}"), F.sum(x[a] * x[b]).alias(f"g_{a}_{b}")]
+        for p, q in dict.fromkeys([(a, b), (b, a)]):
+            own = F.when(both, x[p])
+            made += [F.avg(own).alias(f"m_{p}_{q}"), F.var_samp(own).alias(f"v_{p}_{q}"), F.sum(own * own).alias(f"q_{p}_{q}")]
+    return df.agg(*made)
 
 
 def _pairs(df: DataFrame, cols: list[str], value) -> DataFrame:
@@ -23,7 +35,7 @@ def _pairs(df: DataFrame, cols: list[str], value) -> DataFrame:
 
 
 def covariance(df: DataFrame, cols: list[str]) -> DataFrame:
-    """a, b, value: sample covariances (upper triangle)."""
+    """a, b, value: sample covariances (upper triangle), each over the rows where both columns are there."""
     return _pairs(df, cols, lambda a, b: F.col(f"c_{a}_{b}"))
 
 
@@ -33,28 +45,39 @@ def gram(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _correlation(a: str, b: str) -> Column:
-    va, vb = F.col(f"c_{a}_{a}"), F.col(f"c_{b}_{b}")
+    va, vb = F.col(f"v_{a}_{b}"), F.col(f"v_{b}_{a}")
     zero = (F.abs(va) <= 1e-12) | (F.abs(vb) <= 1e-12)
     return F.lit(1.0) if a == b else F.when(zero, F.lit(float("nan"))).otherwise(F.try_divide(F.col(f"c_{a}_{b}"), F.sqrt(va * vb)))
 
 
 def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
-    """a, b, value: correlations; NaN with a constant column, 1 on the diagonal."""
+    """a, b, value: correlations over the rows where both columns are there; NaN with a constant column, 1 on the diagonal."""
     return _pairs(df, cols, _correlation)
 
 
 def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
     """Correlations of average ranks.
 
-    Ranks come from counts by value: a running sum over the distinct values of a column, not a sort of all rows. A
-    null has no rank: it is left out of the pairs of its column only.
+    Ranks come from counts by value: a running sum over the distinct values of a column, not a sort of all rows. A pair of
+    columns is ranked over the rows where both are there, so columns with nulls are ranked for each pair anew.
     """
-    out = df.select(*cols)
+    holed = {c for c, n in df.agg(*(F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(c) for c in cols)).first().asDict().items() if n}
+    whole = [c for c in cols if c not in holed]
+    parts = [_ranked_pearson(df, whole)] if whole else []
+    for a, b in combinations_with_replacement(cols, 2):
+        if a in holed or b in holed:
+            both = df.filter(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull())
+            parts.append(_ranked_pearson(both, list(dict.fromkeys([a, b]))).filter((F.col("a") == a) & (F.col("b") == b)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ranked_pearson(df: DataFrame, cols: list[str]) -> DataFrame:
+    out = df.select(*(F.col(f"`{c}`") for c in cols))
     for c in cols:
-        counts = cut(out.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")))
+        counts = cut(out.groupBy(F.col(f"`{c}`").alias("_v")).agg(F.count("*").alias("_n")))
         ranks = running_sums(counts, "_v", {"_upto": "_n"}).select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
-        out = out.join(ranks, F.col(c) == F.col("_v"), "left").drop("_v")
-    return pearson(out.select(*(F.col(f"_r_{c}").alias(c) for c in cols)), cols)
+        out = out.join(ranks, F.col(f"`{c}`") == F.col("_v")).drop("_v")
+    return pearson(out.select(*(F.col(f"`_r_{c}`").alias(c) for c in cols)), cols)
 
 
 def summary(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -67,24 +90,27 @@ def summary(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def cosine_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """a, b, value: cosine similarity of columns."""
-    return _pairs(df, cols, lambda a, b: F.try_divide(F.col(f"g_{a}_{b}"), F.sqrt(F.col(f"g_{a}_{a}") * F.col(f"g_{b}_{b}")))).filter("a <> b")
+    """a, b, value: cosine similarity of columns over the rows where both are there."""
+    return _pairs(df, cols, lambda a, b: F.try_divide(F.col(f"g_{a}_{b}"), F.sqrt(F.col(f"q_{a}_{b}") * F.col(f"q_{b}_{a}")))).filter("a <> b")
 
 
 def regression(df: DataFrame, target: str, feature: str) -> DataFrame:
-    """slope, intercept of least squares by moments in one pass."""
+    """slope, intercept of least squares by moments in one pass, over the rows where both columns are there."""
     m = _moments(df, [feature, target])
-    slope = F.try_divide(F.col(f"c_{feature}_{target}"), F.col(f"c_{feature}_{feature}"))
-    return m.select(slope.alias("slope"), (F.col(f"m_{target}") - slope * F.col(f"m_{feature}")).alias("intercept"))
+    slope = F.try_divide(F.col(f"c_{feature}_{target}"), F.col(f"v_{feature}_{target}"))
+    return m.select(slope.alias("slope"), (F.col(f"m_{target}_{feature}") - slope * F.col(f"m_{feature}_{target}")).alias("intercept"))
 
 
 def principal_components(df: DataFrame, cols: list[str], k: int) -> tuple[list[float], list[list[float]]]:
-    """Explained variance shares and loadings (one list a component, largest entry positive), from the covariances."""
+    """Explained variance shares and loadings (one list a component, largest entry positive), from the covariances.
+
+    Only rows where all columns are there count, so that the covariances belong together.
+    """
     import numpy as np
 
     at = {c: i for i, c in enumerate(cols)}
     matrix = np.zeros((len(cols), len(cols)))
-    for r in covariance(df, cols).collect():  # as many rows as pairs of columns
+    for r in covariance(df.dropna(subset=cols), cols).collect():  # as many rows as pairs of columns
         matrix[at[r["a"]], at[r["b"]]] = matrix[at[r["b"]], at[r["a"]]] = r["value"]
     values, vectors = np.linalg.eigh(matrix)
     best = np.argsort(-values)[:k]
@@ -96,43 +122,6 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-#: Points and queries that one task compares at a time.
-MOST_POINTS, MOST_QUERIES = 20_000, 1_000
-
-
-def nearest(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, neighbour, distance, place: the k nearest by distance, then id, none its own.
-
-    points, queries: id long, vec array<double>. Both are dealt into blocks of a bounded size, and each block of
-    queries meets each of points; a pair of blocks keeps a query's k best before anything is shuffled on.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    of_points, of_queries = (max(1, -(-df.count() // most)) for df, most in ((points, MOST_POINTS), (queries, MOST_QUERIES)))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = points.select(own(of_points).alias("block"), each(of_queries).alias("asked"), "id", "vec")
-    asked = queries.select("id", "vec", each(of_points).alias("block"), own(of_queries).alias("asked"))
-
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        ids, out = held.column("id").to_numpy(), ([], [], [])
-        if held.num_rows and asked.num_rows:
-            there = np.stack(held.column("vec").to_numpy())
-            for q, vec in zip(asked.column("id").to_pylist(), asked.column("vec").to_numpy(), strict=True):
-                d = np.sqrt(((there - vec) ** 2).sum(axis=1))
-                d[ids == q] = np.inf
-                for j in np.lexsort((ids, d))[:k]:
-                    if np.isfinite(d[j]):
-                        for column, v in zip(out, (q, int(ids[j]), float(d[j])), strict=True):
-                            column.append(v)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query", "neighbour", "distance"])
-
-    near = asked.groupBy("block", "asked").cogroup(dealt.groupBy("block", "asked")).applyInArrow(run, "query long, neighbour long, distance double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
-    return near.withColumn("place", place).filter(F.col("place") <= k)
-
-
 def document_frequency(docs: DataFrame) -> DataFrame:
     """lang, word, df: documents of a language that hold a word (white-space words)."""
     words = docs.select("lang", F.explode(F.array_distinct(F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != ""))).alias("word"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.operators import learning as M
+from tessera.operators import neighbours as N
 from tessera.operators import matrices as X
 from tessera.operators import stats as S
 from tessera.plans import tables as T
@@ -41,7 +42,7 @@ def tf_idf(spark, d):
 
 def neighbour_value(spark, d):
     p = T.points(spark, d)
-    return M.neighbour_values(S.nearest(p, p.filter("id % 50 = 0"), 5), p.select("id", F.col("label").cast("double").alias("y")), "y").withColumn("value", F.round("value", 6))
+    return M.neighbour_values(N.nearest(p, p.filter("id % 50 = 0"), 5), p.select("id", F.col("label").cast("double").alias("y")), "y").withColumn("value", F.round("value", 6))
 
 
 def buckets(spark, d):

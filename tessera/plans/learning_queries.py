@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import losses as L
 from tessera.operators import boosting as B
 from tessera.operators import learning as M
+from tessera.operators import neighbours as N
 from tessera.operators import stats as S
 from tessera.plans import tables as T
 from tessera.plans.graph_queries import _component_sql
@@ -64,14 +65,12 @@ def components(spark, d):
 
 def neighbours(spark, d):
     p = T.points(spark, d)
-    return S.nearest(p, p.filter("id % 50 = 0"), 5).select("query", "neighbour", F.round("distance", 5).alias("distance"), "place")
+    return N.nearest(p, p.filter("id % 50 = 0"), 5).select("query", "neighbour", F.round("distance", 5).alias("distance"), "place")
 
 
 def neighbour_class(spark, d):
     p = T.points(spark, d)
-    near = S.nearest(p, p.filter("id % 50 = 0"), 5).join(p.select(F.col("id").alias("neighbour"), "label"), "neighbour")
-    votes = near.groupBy("query", "label").agg(F.count("*").alias("n"))
-    return votes.groupBy("query").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("b")).select("query", (-F.col("b.l")).alias("label"))
+    return N.vote(N.nearest(p, p.filter("id % 50 = 0"), 5), p, "label").select("query", "label")
 
 
 NEAR = """p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
