@@ -31,7 +31,7 @@ UNIT = 1_000_000_000
 TOP = 10
 #: Counts (of a term in a source) of a block, about; rows that a task adds up before it passes them on; pairs of bitset
 #: words that are met at a time.
-BLOCK, HELD, MET = 1 << 18, 600_000, 1 << 21
+BLOCK, HELD, MET = 1 << 15, 600_000, 1 << 21
 #: Texts that are cut at a time, and about how many bytes of them.
 SLICE, SLICE_BYTES = 20_000, 8 << 20
 

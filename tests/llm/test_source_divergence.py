@@ -53,7 +53,7 @@ def brute(docs, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block, met, held", [(1 << 18, 1 << 21, 600_000), (40, 7, 5)])
+@pytest.mark.parametrize("block, met, held", [(1 << 15, 1 << 21, 600_000), (40, 7, 5)])
 def test_against_plain_counts(spark, monkeypatch, block, met, held):
     monkeypatch.setattr(source_divergence, "BLOCK", block)
     monkeypatch.setattr(source_divergence, "MET", met)
