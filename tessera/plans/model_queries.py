@@ -1,13 +1,16 @@
-"""Registered queries of neighbours within a distance and moments with nulls: name, (query, SQL or None)."""
+"""Registered queries of neighbours, moments with nulls, weighted quantiles and attributions: name, (query, SQL or None)."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions import sketch
+from tessera.operators import boosting as B
 from tessera.operators import neighbours as N
 from tessera.operators import stats as S
 from tessera.plans import tables as T
-from tessera.plans.learning_queries import NEAR
+from tessera.plans.learning_queries import FIRST_SPLIT, NEAR, NUMERIC
 
 WITHIN = 7.5
 
@@ -58,10 +61,63 @@ def _holed_sql() -> str:
     return " UNION ALL ".join(made)
 
 
+BINS, EPS = 16, 0.002
+
+
+def _weights(batch):
+    return batch.column(batch.schema.get_field_index("l_tax")).to_numpy().astype(float) * 100
+
+
+def weighted_cuts(spark, d):
+    """Quantities at sixteenths of their weight, where all values are few enough to be held."""
+    rows = T.load(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_tax").cast("double").alias("l_tax"))
+    (s,) = sketch.summaries(rows, ["l_quantity"], _weights, EPS)
+    at = s.nearest(np.arange(1, BINS) * s.total / BINS)
+    return spark.createDataFrame([(k + 1, float(s.value[i])) for k, i in enumerate(at)], "k int, value double")
+
+
+def weighted_ranks(spark, d):
+    """Prices at hundredths of their weight: whether each one's exact rank is as near as promised."""
+    rows = T.load(spark, d, "lineitem").select(F.col("l_extendedprice").cast("double").alias("l_extendedprice"), F.col("l_tax").cast("double").alias("l_tax"))
+    (s,) = sketch.summaries(rows, ["l_extendedprice"], _weights, EPS)
+    at = s.nearest(np.arange(1, 100) * s.total / 100)
+    w, x = F.col("l_tax") * 100, F.col("l_extendedprice")
+    sums = [(F.sum(F.when(x < float(v), w).otherwise(0.0)).alias(f"a{k}"), F.sum(F.when(x <= float(v), w).otherwise(0.0)).alias(f"b{k}")) for k, v in enumerate(s.value[at])]
+    ranks = rows.agg(F.sum(w).alias("t"), *(c for pair in sums for c in pair))
+    near = [F.struct(F.lit(k + 1).alias("k"), ((F.col(f"a{k}") <= ((k + 1) / 100 + EPS) * F.col("t")) & (F.col(f"b{k}") >= ((k + 1) / 100 - EPS) * F.col("t"))).alias("near")) for k in range(99)]
+    return ranks.select(F.explode(F.array(*near)).alias("r")).select("r.*")
+
+
+def shapley(spark, d):
+    """For each line how far its Shapley values and its interactions are from adding up to its margin."""
+    rows = T.flagged(spark, d)
+    model = B.boost(rows, NUMERIC, "y", B.Params(objective="logistic", rounds=3, depth=4))
+    both = model.interactions(model.shapley(model.transform(rows)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return both.select("l_orderkey", "l_linenumber", F.round(F.abs(total("contributions") - F.col("margin")), 6).alias("gap"), F.round(F.abs(total(F.flatten("interactions")) - F.col("margin")), 6).alias("pair_gap"))
+
+
+def shapley_of_a_split(spark, d):
+    """The Shapley values of a tree of one split: the leaf's weight less the mean, for the feature that splits."""
+    rows = T.flagged(spark, d)
+    model = B.boost(rows, ["l_quantity", "l_discount", "l_tax"], "y", B.Params(rounds=1, depth=1))
+    c = F.col("contributions")
+    return model.shapley(rows).select("l_orderkey", "l_linenumber", F.round(c[0] + c[1] + c[2], 6).alias("value"), F.round(c[3], 6).alias("mean"))
+
+
+CUTS = f"""WITH b AS (SELECT l_quantity AS x, sum(l_tax * 100) AS w FROM lineitem GROUP BY 1 HAVING sum(l_tax * 100) > 0),
+r AS (SELECT x, sum(w) OVER (ORDER BY x) - w / 2.0 AS middle, sum(w) OVER () AS t FROM b), k AS (SELECT unnest(range(1, {BINS}))::INTEGER AS k)
+SELECT k, arg_min(x, (abs(middle - k * t / {BINS}.0), x))::DOUBLE AS value FROM r, k GROUP BY 1"""
+ONE_SPLIT = FIRST_SPLIT.replace("SELECT feature, x::DOUBLE AS threshold", "SELECT * FROM (SELECT feature, x::DOUBLE AS threshold") + """) s,
+LATERAL (SELECT l_orderkey, l_linenumber, CASE WHEN CASE s.feature WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END <= s.threshold THEN s.left_weight ELSE s.right_weight END AS w FROM lineitem)"""
 WEIGHTS = "w AS (SELECT query, label, 1 + neighbour % 3 AS w FROM k WHERE place <= 7), v AS (SELECT query, label, sum(w) AS n FROM w GROUP BY ALL)"
 
 QUERIES = {
     "knn_within": (within, f"WITH {NEAR} SELECT q.vec_id AS query, count(k.query)::INTEGER AS n, round(coalesce(sum(distance), 0.0), 5) AS total FROM embeddings q LEFT JOIN k ON k.query = q.vec_id AND place <= 10 AND distance <= {WITHIN} WHERE q.vec_id % 50 = 0 GROUP BY 1"),
     "knn_weighted": (weighted, f"WITH {NEAR}, {WEIGHTS}, p1 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, label) AS r, sum(n) OVER (PARTITION BY query) AS t FROM v) SELECT p1.query, p1.label, round(n / t, 6) AS share, round(m.value, 6) AS value FROM p1 JOIN (SELECT query, sum(w * label) / sum(w) AS value FROM w GROUP BY 1) m ON m.query = p1.query WHERE r = 1"),
     "stats_with_nulls": (holed, _holed_sql()),
+    "sketch_weighted_cuts": (weighted_cuts, CUTS),
+    "sketch_weighted_ranks": (weighted_ranks, "SELECT unnest(range(1, 100))::INTEGER AS k, true AS near"),
+    "boost_shapley": (shapley, "SELECT l_orderkey, l_linenumber, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS pair_gap FROM lineitem"),
+    "boost_shapley_split": (shapley_of_a_split, f"WITH w AS ({ONE_SPLIT}), m AS (SELECT avg(w) AS m FROM w) SELECT l_orderkey, l_linenumber, round(w - m, 6) AS value, round(m, 6) AS mean FROM w, m"),
 }
