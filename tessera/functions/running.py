@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.storage import cut
+
 #: Ranges that the order is cut into.
 RANGES = 200
 
@@ -27,6 +29,27 @@ def running_sums(df: DataFrame, key: str, values: dict[str, str], descending: bo
     return joined.withColumns({n: F.sum(v).over(inside) + F.col(f"_o_{n}") for n, v in values.items()}).drop("_range", *(f"_o_{n}" for n in values))
 
 
+def places(df: DataFrame, group: str, order: list[Column], values: dict[str, Column], name: str = "place") -> DataFrame:
+    """Add each row's place in its group (from 1) and, for each new name, the sum of a value over the group up to the row.
+
+    Rows are dealt into ranges of (group, order), so that a large group is many tasks' work; what a range lacks from those
+    before it is broadcast: only groups that span ranges need it, of which each range has two at most. ``order`` must leave
+    no ties.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.withColumns({f"_v_{n}": v for n, v in values.items()}).repartitionByRange(parts, F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(group, "_part").agg(F.count("*").alias("_c"), *(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values))
+    whole, before = Window.partitionBy(group), Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spanning = totals.withColumn("_ranges", F.count("*").over(whole)).filter("_ranges > 1")
+    offsets = spanning.select(group, "_part", F.sum("_c").over(before).alias("_o"), *(F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in values))
+    inside = Window.partitionBy(group, "_part").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(F.broadcast(offsets), [group, "_part"], "left")
+    made = {name: (F.row_number().over(inside) + F.coalesce("_o", F.lit(0))).cast("long")}
+    made |= {n: F.sum(f"_v_{n}").over(upto) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in values}
+    return joined.withColumns(made).drop("_part", "_o", *(f"_o_{n}" for n in values), *(f"_v_{n}" for n in values))
+
+
 def log_gamma(x: Column) -> Column:
     """ln of the gamma function for x > 0: Stirling's series at x + 8, less the factors between."""
     z = x + 8

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import sketch
+from tessera.functions.running import places
 from tessera.operators import boosting as B
+from tessera.operators import lambdas as R
 from tessera.operators import neighbours as N
 from tessera.operators import stats as S
 from tessera.plans import tables as T
@@ -105,6 +107,29 @@ def shapley_of_a_split(spark, d):
     return model.shapley(rows).select("l_orderkey", "l_linenumber", F.round(c[0] + c[1] + c[2], 6).alias("value"), F.round(c[3], 6).alias("mean"))
 
 
+def swaps(spark, d):
+    """For each order: what swapping neighbours in the order of quantities changes of the gain and of the precision, in all."""
+    lines = T.load(spark, d, "lineitem")
+    tie = F.struct("l_linenumber", "l_extendedprice", "l_discount", "l_tax")
+    rows = lines.select(F.col("l_orderkey").alias("q"), F.when(F.col("l_returnflag") == "R", 2.0).when(F.col("l_returnflag") == "A", 1.0).otherwise(0.0).alias("y"), F.col("l_quantity").cast("double").alias("m0"), tie.alias("u"))
+    order = [F.desc("m0"), F.asc("u")]
+    placed = places(R.grouped(rows), "q", order, {"hits": F.when(F.col("y") > 0, 1).otherwise(0)})
+    share = lambda more: F.when(F.col("y") > 0, (F.col("hits") + more) / F.col("place")).otherwise(0.0)
+    placed = places(placed, "q", order, {"acc": share(0), "add": share(1), "miss": share(-1)})
+    side = placed.select("q", "place", F.struct("*").alias("r"))
+    pairs = side.select("q", "place", F.col("r").alias("a")).join(side.select("q", (F.col("place") - 1).alias("place"), F.col("r").alias("b")), ["q", "place"])
+    return pairs.groupBy(F.col("q").alias("l_orderkey")).agg(F.round(F.sum(R.ndcg_change("a", "b")), 6).alias("ndcg"), F.round(F.sum(R.map_change("a", "b")), 6).alias("map"))
+
+
+#: Neighbours at the places k and k + 1: the discounts differ by 1 / log2(k + 1) - 1 / log2(k + 2); a hit moves by one place.
+SWAPS = """WITH t AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS y, row_number() OVER w AS k, row_number() OVER v AS ik FROM lineitem
+WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_extendedprice, l_discount, l_tax),
+v AS (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END DESC, l_linenumber, l_extendedprice, l_discount, l_tax)),
+g AS (SELECT l_orderkey, sum((power(2, y) - 1) / log2(ik + 1)) AS ideal, count(*) FILTER (y > 0) AS hits FROM t GROUP BY 1),
+n AS (SELECT l_orderkey, y, k, lead(y) OVER w AS z, count(*) FILTER (y > 0) OVER (PARTITION BY l_orderkey ORDER BY k) AS h FROM t WINDOW w AS (PARTITION BY l_orderkey ORDER BY k))
+SELECT n.l_orderkey, round(sum(CASE WHEN ideal > 0 THEN abs(power(2, y) - power(2, z)) * (1 / log2(k + 1) - 1 / log2(k + 2)) / ideal ELSE 0 END), 6) AS ndcg,
+round(sum(CASE WHEN (y > 0) = (z > 0) THEN 0.0 WHEN z > 0 THEN abs((h + 1) / k::DOUBLE - (h + 1) / (k + 1)::DOUBLE) / hits ELSE abs(h / (k + 1)::DOUBLE - h / k::DOUBLE) / hits END), 6) AS map
+FROM n JOIN g ON g.l_orderkey = n.l_orderkey WHERE z IS NOT NULL GROUP BY 1"""
 CUTS = f"""WITH b AS (SELECT l_quantity AS x, sum(l_tax * 100) AS w FROM lineitem GROUP BY 1 HAVING sum(l_tax * 100) > 0),
 r AS (SELECT x, sum(w) OVER (ORDER BY x) - w / 2.0 AS middle, sum(w) OVER () AS t FROM b), k AS (SELECT unnest(range(1, {BINS}))::INTEGER AS k)
 SELECT k, arg_min(x, (abs(middle - k * t / {BINS}.0), x))::DOUBLE AS value FROM r, k GROUP BY 1"""
@@ -118,6 +143,7 @@ QUERIES = {
     "stats_with_nulls": (holed, _holed_sql()),
     "sketch_weighted_cuts": (weighted_cuts, CUTS),
     "sketch_weighted_ranks": (weighted_ranks, "SELECT unnest(range(1, 100))::INTEGER AS k, true AS near"),
+    "rank_swaps": (swaps, SWAPS),
     "boost_shapley": (shapley, "SELECT l_orderkey, l_linenumber, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS pair_gap FROM lineitem"),
     "boost_shapley_split": (shapley_of_a_split, f"WITH w AS ({ONE_SPLIT}), m AS (SELECT avg(w) AS m FROM w) SELECT l_orderkey, l_linenumber, round(w - m, 6) AS value, round(m, 6) AS mean FROM w, m"),
 }
