@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import sketch
 from tessera.functions.running import places
+from tessera.functions.storage import cut
 from tessera.operators import boosting as B
 from tessera.operators import lambdas as R
 from tessera.operators import neighbours as N
+from tessera.operators import sparse as X
 from tessera.operators import stats as S
 from tessera.plans import tables as T
 from tessera.plans.learning_queries import FIRST_SPLIT, NEAR, NUMERIC
@@ -121,6 +124,52 @@ def swaps(spark, d):
     return pairs.groupBy(F.col("q").alias("l_orderkey")).agg(F.round(F.sum(R.ndcg_change("a", "b")), 6).alias("ndcg"), F.round(F.sum(R.map_change("a", "b")), 6).alias("map"))
 
 
+def _word_matrix(spark, d):
+    """Documents by words: counts, with the words numbered."""
+    words = T.load(spark, d, "documents").select(F.col("doc_id").alias("i"), F.explode(F.split("text", "[ \t\n\r]+")).alias("word")).filter("word <> ''")
+    numbers = cut(X.numbered(words, "word", "j"))
+    return words.join(numbers, "word").select("i", "j", F.lit(1.0).alias("v")), numbers.count()
+
+
+def word_vectors(spark, d):
+    """Of the first singular vectors of documents by words: how far A v is from sigma u, from sums over the long form."""
+    entries, n = _word_matrix(spark, d)
+    sigma, v, left = X.singular(X.Matrix.of(entries, n), 4)
+    right = spark.createDataFrame(pa.table({"j": np.arange(n), "x": list(v)}, schema=pa.schema([("j", pa.int64()), ("x", pa.list_(pa.float64()))])))
+    along = entries.join(right, "j").groupBy("i").agg(*(F.sum(F.col("x")[k]).alias(f"a{k}") for k in range(len(sigma)))).join(left, "i", "full")
+    gaps = along.agg(*(F.max(F.abs(F.col(f"a{k}") - float(s) * F.col("left")[k]) / float(s)).alias(f"g{k}") for k, s in enumerate(sigma)), *(F.sum(F.col("left")[k] * F.col("left")[k]).alias(f"n{k}") for k in range(len(sigma))))
+    return gaps.select(F.explode(F.array(*(F.struct(F.lit(k).alias("component"), F.lit(n).cast("long").alias("columns"), F.round(f"g{k}", 6).alias("gap"), F.round(f"n{k}", 6).alias("length")) for k in range(len(sigma))))).alias("r")).select("r.*")
+
+
+def _purchases(spark, d):
+    bought = T.bought(spark, d)
+    users, items = X.numbered(bought, "user", "i"), cut(X.numbered(bought, "item", "j"))
+    return bought.join(users, "user").join(items, "item").select("i", "j", F.col("n").cast("double").alias("v")), items
+
+
+def largest_value(spark, d):
+    """The largest singular value of customers by parts."""
+    entries, items = _purchases(spark, d)
+    sigma, _, _ = X.singular(X.Matrix.of(entries, items.count()), 1)
+    return spark.createDataFrame([(float(sigma[0]),)], "sigma double").select(F.round("sigma", 4).alias("sigma"))
+
+
+def similar(spark, d):
+    """Parts that the same customers buy: all pairs with a cosine of at least 0.4."""
+    entries, items = _purchases(spark, d)
+    found = X.similar_columns(X.Matrix.of(entries, items.count()), 0.4)
+    name = lambda c: items.select(F.col("j").alias(c), F.col("item").alias(f"part_{c}"))
+    return found.join(name("a"), "a").join(name("b"), "b").select("part_a", "part_b", F.round("similarity", 6).alias("similarity"))
+
+
+def _largest_sql(rounds: int = 30) -> str:
+    """Rounds of multiplying a vector by the matrix and its transpose; the last growth is the square of the value."""
+    made = ["b AS MATERIALIZED (SELECT o_custkey AS u, l_partkey AS i, count(*)::DOUBLE AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)", "v0 AS MATERIALIZED (SELECT i, 1.0::DOUBLE AS x, 1.0::DOUBLE AS s FROM b GROUP BY i)"]
+    for k in range(rounds):
+        made += [f"a{k} AS MATERIALIZED (SELECT u, sum(n * x) AS y FROM b JOIN v{k} USING (i) GROUP BY u)", f"w{k} AS MATERIALIZED (SELECT i, sum(n * y) AS x FROM b JOIN a{k} USING (u) GROUP BY i)", f"v{k + 1} AS MATERIALIZED (SELECT i, x / s AS x, s FROM w{k}, (SELECT sqrt(sum(x * x)) AS s FROM w{k}))"]
+    return f"WITH {', '.join(made)} SELECT round(sqrt(max(s)), 4) AS sigma FROM v{rounds}"
+
+
 #: Neighbours at the places k and k + 1: the discounts differ by 1 / log2(k + 1) - 1 / log2(k + 2); a hit moves by one place.
 SWAPS = """WITH t AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS y, row_number() OVER w AS k, row_number() OVER v AS ik FROM lineitem
 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_extendedprice, l_discount, l_tax),
@@ -144,6 +193,9 @@ QUERIES = {
     "sketch_weighted_cuts": (weighted_cuts, CUTS),
     "sketch_weighted_ranks": (weighted_ranks, "SELECT unnest(range(1, 100))::INTEGER AS k, true AS near"),
     "rank_swaps": (swaps, SWAPS),
+    "matrix_word_vectors": (word_vectors, r"SELECT unnest(range(4))::INTEGER AS component, (SELECT count(DISTINCT w) FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS w FROM documents) WHERE w <> '') AS columns, 0.0::DOUBLE AS gap, 1.0::DOUBLE AS length"),
+    "matrix_largest_value": (largest_value, _largest_sql()),
+    "matrix_similar_columns": (similar, "WITH b AS (SELECT o_custkey AS u, l_partkey AS i, count(*)::DOUBLE AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), m AS (SELECT i, sqrt(sum(n * n)) AS m FROM b GROUP BY 1), p AS (SELECT x.i AS a, y.i AS b, sum(x.n * y.n) AS d FROM b x JOIN b y ON x.u = y.u AND x.i < y.i GROUP BY ALL) SELECT p.a AS part_a, p.b AS part_b, round(d / (x.m * y.m), 6) AS similarity FROM p JOIN m x ON x.i = p.a JOIN m y ON y.i = p.b WHERE d / (x.m * y.m) >= 0.4"),
     "boost_shapley": (shapley, "SELECT l_orderkey, l_linenumber, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS pair_gap FROM lineitem"),
     "boost_shapley_split": (shapley_of_a_split, f"WITH w AS ({ONE_SPLIT}), m AS (SELECT avg(w) AS m FROM w) SELECT l_orderkey, l_linenumber, round(w - m, 6) AS value, round(m, 6) AS mean FROM w, m"),
 }
