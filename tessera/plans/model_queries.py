@@ -10,7 +10,9 @@ from tessera.functions import sketch
 from tessera.functions.running import places
 from tessera.functions.storage import cut
 from tessera.operators import boosting as B
+from tessera.operators import centres as K
 from tessera.operators import lambdas as R
+from tessera.operators import learning as M
 from tessera.operators import neighbours as N
 from tessera.operators import sparse as X
 from tessera.operators import stats as S
@@ -170,6 +172,17 @@ def _largest_sql(rounds: int = 30) -> str:
     return f"WITH {', '.join(made)} SELECT round(sqrt(max(s)), 4) AS sigma FROM v{rounds}"
 
 
+def parallel(spark, d):
+    """Whether twelve centres found in parallel, moved a few rounds, cost little more than Lloyd rounds from spread ones; points by cluster add up."""
+    p = T.points(spark, d)
+    start = K.parallel_centres(p, 12)
+    moved = M.kmeans(p, start, 5)
+    spread = M.kmeans(p, M.spread_centres(p, 12), 5)
+    held = lambda c: {r["cluster"]: list(r["vec"]) for r in c.collect()}
+    near = K.cost(p, held(moved)) <= 1.2 * K.cost(p, held(spread))
+    return K.assign(p, held(moved)).agg(F.count("*").alias("points"), F.countDistinct("cluster").alias("clusters")).withColumn("near", F.lit(bool(near)))
+
+
 #: Neighbours at the places k and k + 1: the discounts differ by 1 / log2(k + 1) - 1 / log2(k + 2); a hit moves by one place.
 SWAPS = """WITH t AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS y, row_number() OVER w AS k, row_number() OVER v AS ik FROM lineitem
 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_extendedprice, l_discount, l_tax),
@@ -193,6 +206,7 @@ QUERIES = {
     "sketch_weighted_cuts": (weighted_cuts, CUTS),
     "sketch_weighted_ranks": (weighted_ranks, "SELECT unnest(range(1, 100))::INTEGER AS k, true AS near"),
     "rank_swaps": (swaps, SWAPS),
+    "cluster_parallel": (parallel, "SELECT count(*) AS points, 12::BIGINT AS clusters, true AS near FROM embeddings"),
     "matrix_word_vectors": (word_vectors, r"SELECT unnest(range(4))::INTEGER AS component, (SELECT count(DISTINCT w) FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS w FROM documents) WHERE w <> '') AS columns, 0.0::DOUBLE AS gap, 1.0::DOUBLE AS length"),
     "matrix_largest_value": (largest_value, _largest_sql()),
     "matrix_similar_columns": (similar, "WITH b AS (SELECT o_custkey AS u, l_partkey AS i, count(*)::DOUBLE AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), m AS (SELECT i, sqrt(sum(n * n)) AS m FROM b GROUP BY 1), p AS (SELECT x.i AS a, y.i AS b, sum(x.n * y.n) AS d FROM b x JOIN b y ON x.u = y.u AND x.i < y.i GROUP BY ALL) SELECT p.a AS part_a, p.b AS part_b, round(d / (x.m * y.m), 6) AS similarity FROM p JOIN m x ON x.i = p.a JOIN m y ON y.i = p.b WHERE d / (x.m * y.m) >= 0.4"),
