@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import sketch
@@ -16,6 +17,7 @@ from tessera.operators import learning as M
 from tessera.operators import neighbours as N
 from tessera.operators import sparse as X
 from tessera.operators import stats as S
+from tessera.operators import word_vectors as V
 from tessera.plans import tables as T
 from tessera.plans.learning_queries import FIRST_SPLIT, NEAR, NUMERIC
 
@@ -183,6 +185,31 @@ def parallel(spark, d):
     return K.assign(p, held(moved)).agg(F.count("*").alias("points"), F.countDistinct("cluster").alias("clusters")).withColumn("near", F.lit(bool(near)))
 
 
+def _sentences(spark, d):
+    return T.load(spark, d, "documents").select(F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != "").alias("words"))
+
+
+def vocabulary(spark, d):
+    return V.vocabulary(_sentences(spark, d), 5)
+
+
+def word_codes(spark, d):
+    """Of the vocabulary's codes: words, whether they fill the tree, and whether rarer words never have shorter codes."""
+    n = V.vocabulary(_sentences(spark, d), 5).orderBy("place").select("n").toArrow().column("n").to_numpy()
+    _, _, lengths = V.huffman(n)
+    lines = spark.createDataFrame(pa.table({"n": n, "length": lengths}))
+    falls = lines.groupBy("n").agg(F.min("length").alias("a"), F.max("length").alias("b"))
+    shorter = falls.withColumn("next", F.lead("a").over(Window.orderBy(F.desc("n")))).agg(F.count(F.when(F.col("next") < F.col("b"), 1)).alias("shorter"))
+    return lines.agg(F.count("*").alias("words"), F.round(F.sum(F.pow(F.lit(2.0), -F.col("length"))), 9).alias("filled")).join(shorter)
+
+
+def word_means(spark, d):
+    """Mean vectors of documents: as many numbers as asked for, and none for documents without known words."""
+    rows = T.load(spark, d, "documents").select("doc_id", F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != "").alias("words"))
+    model = V.fit(rows, size=12, window=3, least=5)
+    return model.transform(rows).select("doc_id", F.size("vector").alias("size"), F.exists("vector", lambda x: x != 0).alias("known"))
+
+
 #: Neighbours at the places k and k + 1: the discounts differ by 1 / log2(k + 1) - 1 / log2(k + 2); a hit moves by one place.
 SWAPS = """WITH t AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS y, row_number() OVER w AS k, row_number() OVER v AS ik FROM lineitem
 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_extendedprice, l_discount, l_tax),
@@ -192,6 +219,7 @@ n AS (SELECT l_orderkey, y, k, lead(y) OVER w AS z, count(*) FILTER (y > 0) OVER
 SELECT n.l_orderkey, round(sum(CASE WHEN ideal > 0 THEN abs(power(2, y) - power(2, z)) * (1 / log2(k + 1) - 1 / log2(k + 2)) / ideal ELSE 0 END), 6) AS ndcg,
 round(sum(CASE WHEN (y > 0) = (z > 0) THEN 0.0 WHEN z > 0 THEN abs((h + 1) / k::DOUBLE - (h + 1) / (k + 1)::DOUBLE) / hits ELSE abs(h / (k + 1)::DOUBLE - h / k::DOUBLE) / hits END), 6) AS map
 FROM n JOIN g ON g.l_orderkey = n.l_orderkey WHERE z IS NOT NULL GROUP BY 1"""
+VOCABULARY = r"w AS (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS word FROM documents), v AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1 HAVING count(*) >= 5)"
 CUTS = f"""WITH b AS (SELECT l_quantity AS x, sum(l_tax * 100) AS w FROM lineitem GROUP BY 1 HAVING sum(l_tax * 100) > 0),
 r AS (SELECT x, sum(w) OVER (ORDER BY x) - w / 2.0 AS middle, sum(w) OVER () AS t FROM b), k AS (SELECT unnest(range(1, {BINS}))::INTEGER AS k)
 SELECT k, arg_min(x, (abs(middle - k * t / {BINS}.0), x))::DOUBLE AS value FROM r, k GROUP BY 1"""
@@ -206,6 +234,9 @@ QUERIES = {
     "sketch_weighted_cuts": (weighted_cuts, CUTS),
     "sketch_weighted_ranks": (weighted_ranks, "SELECT unnest(range(1, 100))::INTEGER AS k, true AS near"),
     "rank_swaps": (swaps, SWAPS),
+    "text_vocabulary": (vocabulary, f"WITH {VOCABULARY} SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS place FROM v"),
+    "text_word_codes": (word_codes, f"WITH {VOCABULARY} SELECT count(*) AS words, 1.0::DOUBLE AS filled, 0::BIGINT AS shorter FROM v"),
+    "text_word_means": (word_means, rf"WITH {VOCABULARY}, d AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS word FROM documents) SELECT doc_id, 12::INTEGER AS size, bool_or(word IN (SELECT word FROM v)) AS known FROM d GROUP BY 1"),
     "cluster_parallel": (parallel, "SELECT count(*) AS points, 12::BIGINT AS clusters, true AS near FROM embeddings"),
     "matrix_word_vectors": (word_vectors, r"SELECT unnest(range(4))::INTEGER AS component, (SELECT count(DISTINCT w) FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS w FROM documents) WHERE w <> '') AS columns, 0.0::DOUBLE AS gap, 1.0::DOUBLE AS length"),
     "matrix_largest_value": (largest_value, _largest_sql()),
