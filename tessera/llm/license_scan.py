@@ -1,7 +1,8 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
-A rule is a keyword, a pattern over the text's words and a priority. The rules are the written names and texts below,
-the names in each form in which a license is stated. Texts without any keyword are passed over by one cheap test; in
+A rule is a keyword, a pattern over the text's words and a priority. The rules are the ways of stating a license in short
+of ``license_rules``, one by one, and the written names below in each form of a statement, denials among them, and texts.
+A denial suppresses what stands in it and gives no label. Texts without any keyword are passed over by one cheap test; in
 the others each rule whose keyword occurs is matched everywhere. A detection that lies within one of a better rule (or
 within a longer one of the same priority) is suppressed. The cost of a text with n detections is that of sorting them.
 """
@@ -13,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.license_rules import stated
 from tessera.llm.quality_rules import let
 
 #: What is no part of a word, in lower-cased text and in any text; the base phrases and labels.
@@ -24,17 +26,17 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 #: Licenses as their words (lower case, other characters as one blank): label, name, short identifier, keyword.
 #: The keyword stands in every form of the name; forms without it have a row of their own, without an identifier.
 NAMES = (
-    ("agpl-3.0", "gnu affero general public license( version| v)? 3( 0)?|gnu agpl ?v?3", "agpl 3 0", "gnu"),
+    ("agpl-3.0", "gnu affero general public license( version)? (v ?)?3( 0)?|gnu agpl ?v?3", "agpl 3 0", "gnu"),
     ("agpl", "gnu affero general public license|gnu agpl", "agpl", "gnu"),
-    ("lgpl-2.1", "gnu lesser general public license( version| v)? 2 1|gnu lgpl ?v?2 1", "lgpl 2 1", "gnu"),
-    ("lgpl-3.0", "gnu lesser general public license( version| v)? 3( 0)?|gnu lgpl ?v?3", "lgpl 3 0", "gnu"),
+    ("lgpl-2.1", "gnu lesser general public license( version)? (v ?)?2 1|gnu lgpl ?v?2 1", "lgpl 2 1", "gnu"),
+    ("lgpl-3.0", "gnu lesser general public license( version)? (v ?)?3( 0)?|gnu lgpl ?v?3", "lgpl 3 0", "gnu"),
     ("lgpl", "gnu (lesser|library) general public license|gnu lgpl", "lgpl", "gnu"),
-    ("gpl-2.0", "gnu general public license( version| v)? 2( 0)?|gnu gpl ?v?2", "gpl 2 0", "gnu"),
-    ("gpl-3.0", "gnu general public license( version| v)? 3( 0)?|gnu gpl ?v?3", "gpl 3 0", "gnu"),
+    ("gpl-2.0", "gnu general public license( version)? (v ?)?2( 0)?|gnu gpl ?v?2", "gpl 2 0", "gnu"),
+    ("gpl-3.0", "gnu general public license( version)? (v ?)?3( 0)?|gnu gpl ?v?3", "gpl 3 0", "gnu"),
     ("gpl", "gnu general public license|gnu gpl", "gpl", "gnu"),
     ("gfdl", "gnu free documentation license", "gfdl", "gnu"),
-    ("apache-2.0", "apache license( version| v)? 2( 0)?|apache 2 0( license)?", "apache 2 0", "apache"),
-    ("apache-1.1", "apache (software )?license( version| v)? 1 1", "apache 1 1", "apache"),
+    ("apache-2.0", "apache license( version)? (v ?)?2( 0)?|apache 2 0( license)?", "apache 2 0", "apache"),
+    ("apache-1.1", "apache (software )?license( version)? (v ?)?1 1", "apache 1 1", "apache"),
     ("apache", "apache (software )?license", "apache", "apache"),
     ("mit", "mit license|mit x11 license", "mit", "mit"),
     ("mit", "expat license", "", "expat"),
@@ -44,15 +46,15 @@ NAMES = (
     ("bsd", "bsd license|bsd style license", "bsd", "bsd"),
     ("isc", "isc license", "isc", "isc"),
     ("zlib", "zlib license|zlib libpng license", "zlib", "zlib"),
-    ("mpl-1.1", "mozilla public license( version| v)? 1 1", "mpl 1 1", "mozilla"),
-    ("mpl-2.0", "mozilla public license( version| v)? 2( 0)?", "mpl 2 0", "mozilla"),
+    ("mpl-1.1", "mozilla public license( version)? (v ?)?1 1", "mpl 1 1", "mozilla"),
+    ("mpl-2.0", "mozilla public license( version)? (v ?)?2( 0)?", "mpl 2 0", "mozilla"),
     ("mpl", "mozilla public license", "mpl", "mozilla"),
-    ("epl-1.0", "eclipse public license( version| v)? 1( 0)?", "epl 1 0", "eclipse"),
-    ("epl-2.0", "eclipse public license( version| v)? 2( 0)?", "epl 2 0", "eclipse"),
+    ("epl-1.0", "eclipse public license( version)? (v ?)?1( 0)?", "epl 1 0", "eclipse"),
+    ("epl-2.0", "eclipse public license( version)? (v ?)?2( 0)?", "epl 2 0", "eclipse"),
     ("eupl", "european union public licen[cs]e", "eupl 1 2", "european"),
     ("cddl", "common development and distribution license", "cddl 1 0", "common"),
     ("cpl-1.0", "common public license", "cpl 1 0", "common"),
-    ("artistic-2.0", "artistic license( version| v)? 2( 0)?", "artistic 2 0", "artistic"),
+    ("artistic-2.0", "artistic license( version)? (v ?)?2( 0)?", "artistic 2 0", "artistic"),
     ("artistic", "artistic license", "artistic 1 0", "artistic"),
     ("bsl-1.0", "boost software license", "bsl 1 0", "boost"),
     ("unlicense", "the unlicense|unlicense org", "unlicense", "unlicense"),
@@ -85,6 +87,7 @@ NAMES = (
 )
 #: How a license is stated, best first: priority, weight, pattern around the name or the short identifier.
 FORMS = (
+    (0, 0.0, "(not|never|no longer) (being )?(re)?(licensed|released|distributed|available) under (the )?(terms of )?(the )?({name})"),
     (1, 1.0, "spdx license identifier {short}"),
     (2, 0.95, "(is |are )?(re)?licensed under (the )?(terms of )?(the )?({name})"),
     (2, 0.95, "(is |are )?released under (the )?(terms of )?(the )?({name})"),
@@ -108,6 +111,9 @@ TEXTS = (
 )
 #: A text that holds none of these in lower case has no detection and, but for "cc by", no base phrase.
 ANY = ("licen", "copyright", "spdx", "rights", "confidential", "creative", "public", "redistribution", "permission", "cc0", "wtfpl", "gpl", "apache", "bsd")
+#: What else hints at a statement: a short name behind "under", or one with a version, where the short name alone is in many words.
+UNDER = r"under[^a-z0-9]+(?:(?:the|terms|of)[^a-z0-9]+)*(?:mit|mpl|isc|epl|cddl|zlib|sspl|gfdl|same)\b"
+VERSIONED = {"mpl": r"\bmplv?[^a-z0-9]*v?[0-9]", "epl": r"\bepl[^a-z0-9]*v?[0-9]", "asl": r"\basl[^a-z0-9]+2", "bsl": r"\bbsl[^a-z0-9]+1", "ofl": r"\bofl[^a-z0-9]+1", "mit": r"\bmit[^a-z0-9]+or[^a-z0-9]+apache", "openrail": "openrail", "noninfringement": "noninfringement", "endorse": r"endorse[^a-z0-9]+or", "acknowledgement": r"following[^a-z0-9]+acknowledgement", "versions must be plainly": "altered"}
 #: Above any start of a detection in a text.
 START = (1 << 31) - 1
 CC_BY = r"cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(b|B)"
@@ -115,12 +121,12 @@ CC_BY = r"cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(b|B)"
 
 def rules() -> list[tuple[str, int, float, str, str]]:
     """All rules in order: label, priority, weight, keyword, pattern over blank-separated words."""
-    made = [(label, 2, 0.9, keyword, pattern) for label, pattern, keyword in TEXTS]
+    made = [(label, 2, 0.9, keyword, pattern) for label, pattern, keyword in TEXTS] + stated()
     for priority, weight, form in FORMS:
         for label, name, short, keyword in NAMES:
             if "spdx" in form and not short:
                 continue
-            made.append((label, priority, weight, "spdx" if "spdx" in form else keyword, form.format(name=name, short=short)))
+            made.append((label if weight else "", priority, weight, "spdx" if "spdx" in form else keyword, form.format(name=name, short=short)))
     return sorted(made, key=lambda r: r[1])
 
 
@@ -207,7 +213,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_words, n_base, first_word, last_word (null without a base place), base_labels, labels (distinct,
     sorted, comma-joined; the rules' and the base phrases'), score (0 to 1: the best surviving detection's weight,
-    at least 0.6 with a base phrase) and detections (array of label, priority, weight, s, e: places among the
+    at least 0.6 with a base phrase unless a license is denied) and detections (array of label, priority, weight, s, e: places among the
     blank-joined words). A null or empty text has no words and no labels. Repeated rows each give a row; other
     columns are not carried. One projection without a shuffle or a join.
     """
@@ -217,7 +223,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     hint = lower.contains(ANY[0])
     for word in ANY[1:]:
         hint = hint | lower.contains(word)
-    hint = hint | lower.contains("cc") & lower.rlike(CC_BY)
+    hint = hint | lower.contains("cc") & lower.rlike(CC_BY) | lower.contains("under") & lower.rlike(UNDER)
+    for word, pattern in VERSIONED.items():
+        hint = hint | lower.contains(word) & lower.rlike(pattern)
     some = docs.select("doc_id", words.cast("long").alias("n_words"), F.when(hint, text).alias("t"))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("t", UPPER, LOWER), GAP, " ")), F.lit(" "))
     nothing = F.expr("cast(array() as array<struct<label:string,at:bigint>>)")
@@ -231,6 +239,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "n_words", F.col("both.base").alias("base"), F.col("both.found").alias("detections"))
     base, found = F.col("base"), F.col("detections")
     names = F.array_distinct(F.transform(base, lambda x: x["label"]))
+    stated_labels = F.filter(F.transform(found, lambda x: x["label"]), lambda x: x != "")
+    denied = F.exists(found, lambda x: x["label"] == "")
     return both.select(
         "doc_id",
         "n_words",
@@ -238,7 +248,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.array_min(F.transform(base, lambda x: x["at"])).alias("first_word"),
         F.array_max(F.transform(base, lambda x: x["at"])).alias("last_word"),
         F.array_join(F.array_sort(names), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(names, F.transform(found, lambda x: x["label"]))), ",").alias("labels"),
-        F.greatest(F.when(F.size(base) > 0, 0.6).otherwise(0.0), F.coalesce(F.array_max(F.transform(found, lambda x: x["weight"])), F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_union(names, stated_labels)), ",").alias("labels"),
+        F.greatest(F.when((F.size(base) > 0) & ~denied, 0.6).otherwise(0.0), F.coalesce(F.array_max(F.transform(found, lambda x: x["weight"])), F.lit(0.0))).alias("score"),
         "detections",
     )
