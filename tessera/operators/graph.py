@@ -5,6 +5,7 @@ Loops cut their lineage with a written table at each round, and keep one table o
 
 from __future__ import annotations
 
+import math
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -218,6 +219,42 @@ def closeness(edges: DataFrame, sources: DataFrame, most: int | None = None) ->
     return d.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("reached"), (F.count("*") / F.sum("distance")).alias("closeness"))
 
 
+def weighted_paths(edges: DataFrame, sources: DataFrame, weight: str, width: float | None = None, directed: bool = True) -> DataFrame:
+    """source, id, distance: least sums of weights from each of ``sources`` (id), by bucketed relaxation.
+
+    Distances are taken in buckets of ``width`` (by default the mean weight): only vertices of the nearest bucket whose
+    distance has fallen send it on, until the bucket is settled, so that a far vertex is seldom reached too dearly. Weights
+    must not be negative (ValueError); edges with a null weight are left out, and of repeated edges the least counts.
+    """
+    value = F.col(f"`{weight}`").cast("double")
+    steps = edges.select("src", "dst", value.alias("w")).filter("w is not null and src <> dst")
+    if not directed:
+        steps = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    steps = cut(steps.groupBy("src", "dst").agg(F.min("w").alias("w")))
+    least, mean = steps.agg(F.min("w"), F.avg("w")).first()
+    if least is not None and least < 0:
+        raise ValueError("a weight is negative")
+    width = width or mean or 1.0
+    # "fresh" marks distances that have not been sent on
+    seen = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")).distinct())
+    while True:
+        nearest = seen.filter("fresh").agg(F.min("distance")).first()[0]
+        if nearest is None:
+            return seen.drop("fresh")
+        bound = (math.floor(nearest / width) + 1) * width
+        sends = F.col("fresh") & (F.col("distance") < max(bound, math.nextafter(nearest, math.inf)))
+        got = seen.filter(sends).join(steps, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
+        both = seen.withColumn("sent", sends).join(got, ["source", "id"], "full")
+        better = F.col("offer").isNotNull() & (F.col("distance").isNull() | (F.col("offer") < F.col("distance")))
+        seen = cut(both.select("source", "id", F.when(better, F.col("offer")).otherwise(F.col("distance")).alias("distance"), F.when(better, True).otherwise(F.col("fresh") & ~F.col("sent")).alias("fresh")))
+
+
+def weighted_closeness(edges: DataFrame, sources: DataFrame, weight: str, width: float | None = None, directed: bool = True) -> DataFrame:
+    """id, reached, closeness = reached / sum of weighted distances; null where those are all 0."""
+    d = weighted_paths(edges, sources, weight, width, directed).filter("source <> id")
+    return d.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("reached"), F.try_divide(F.count("*").cast("double"), F.sum("distance")).alias("closeness"))
+
+
 def betweenness(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """id, betweenness: shortest-path dependencies of the given sources (all vertices: exact), over undirected hops."""
     steps = cut(both_ways(edges))

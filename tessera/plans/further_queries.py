@@ -52,7 +52,7 @@ def buckets(spark, d):
 
 def by_source(spark, d):
     e = T.supply_graph(spark, d)
-    return G.personalised_pagerank(e, G.vertices(e), 4).withColumn("rank", F.round("rank", 7)).filter("rank > 0")
+    return G.personalised_pagerank(e, G.vertices(e), 4).withColumn("rank", F.round("rank", 7))
 
 
 def of_adjacency(spark, d):
@@ -74,7 +74,7 @@ def _by_source_sql(rounds: int = 4) -> str:
     made = ["share AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS s FROM edges)", "r0 AS MATERIALIZED (SELECT id AS source, id, 1.0::DOUBLE AS r FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges))"]
     for k in range(1, rounds + 1):
         made.append(f"r{k} AS MATERIALIZED (SELECT source, id, sum(r) AS r FROM (SELECT source, source AS id, 0.15::DOUBLE AS r FROM r0 UNION ALL SELECT source, dst, 0.85 * s * r FROM r{k - 1} JOIN share ON src = id) GROUP BY 1, 2)")
-    return f"WITH {T.SUPPLIES}, {', '.join(made)} SELECT source, id, round(r, 7) AS rank FROM r{rounds} WHERE round(r, 7) > 0"
+    return f"WITH {T.SUPPLIES}, {', '.join(made)} SELECT source, id, round(r, 7) AS rank FROM r{rounds}"
 
 
 def _adjacency_sql(rounds: int = 5) -> str:

@@ -13,6 +13,7 @@ from tessera.functions.storage import cut
 from tessera.operators import boosting as B
 from tessera.operators import centres as K
 from tessera.operators import lambdas as R
+from tessera.operators import graph as G
 from tessera.operators import learning as M
 from tessera.operators import neighbours as N
 from tessera.operators import sparse as X
@@ -210,6 +211,19 @@ def word_means(spark, d):
     return model.transform(rows).select("doc_id", F.size("vector").alias("size"), F.exists("vector", lambda x: x != 0).alias("known"))
 
 
+def weighted_closeness(spark, d):
+    e = T.supply_graph(spark, d)
+    return G.weighted_closeness(e, G.vertices(e), "amount").withColumn("closeness", F.round("closeness", 8))
+
+
+def _weighted_closeness_sql(rounds: int = 12) -> str:
+    """Rounds of relaxing all edges; more than paths here have edges."""
+    made = ["e AS MATERIALIZED (SELECT src, dst, amount::DOUBLE AS w FROM edges)", "d0 AS MATERIALIZED (SELECT id AS source, id, 0.0::DOUBLE AS d FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges))"]
+    for k in range(rounds):
+        made.append(f"d{k + 1} AS MATERIALIZED (SELECT source, id, min(d) AS d FROM (SELECT * FROM d{k} UNION ALL SELECT source, dst, d + w FROM d{k} JOIN e ON src = id) GROUP BY 1, 2)")
+    return f"WITH {T.SUPPLIES}, {', '.join(made)} SELECT source AS id, count(*) AS reached, round(count(*) / sum(d), 8) AS closeness FROM d{rounds} WHERE source <> id GROUP BY 1"
+
+
 #: Neighbours at the places k and k + 1: the discounts differ by 1 / log2(k + 1) - 1 / log2(k + 2); a hit moves by one place.
 SWAPS = """WITH t AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS y, row_number() OVER w AS k, row_number() OVER v AS ik FROM lineitem
 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_extendedprice, l_discount, l_tax),
@@ -234,6 +248,7 @@ QUERIES = {
     "sketch_weighted_cuts": (weighted_cuts, CUTS),
     "sketch_weighted_ranks": (weighted_ranks, "SELECT unnest(range(1, 100))::INTEGER AS k, true AS near"),
     "rank_swaps": (swaps, SWAPS),
+    "graph_weighted_closeness": (weighted_closeness, _weighted_closeness_sql()),
     "text_vocabulary": (vocabulary, f"WITH {VOCABULARY} SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS place FROM v"),
     "text_word_codes": (word_codes, f"WITH {VOCABULARY} SELECT count(*) AS words, 1.0::DOUBLE AS filled, 0::BIGINT AS shorter FROM v"),
     "text_word_means": (word_means, rf"WITH {VOCABULARY}, d AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS word FROM documents) SELECT doc_id, 12::INTEGER AS size, bool_or(word IN (SELECT word FROM v)) AS known FROM d GROUP BY 1"),
