@@ -6,6 +6,7 @@ Loops cut their lineage with a written table at each round, and keep one table o
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -70,6 +71,41 @@ def pagerank(edges: DataFrame, rounds: int = 10, reset: float = 0.15, tolerance:
     return ranks
 
 
+def pagerank_update(edges: DataFrame, ranks: DataFrame, added: DataFrame, removed: DataFrame | None = None, reset: float = 0.15, tolerance: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+    """id, rank of a graph that has changed, from the settled ranks before; and id of the vertices that were touched.
+
+    edges, added, removed: src, dst (a removed edge goes with all its repeats). ranks: id, rank as ``pagerank`` with a
+    tolerance gives them. What a vertex whose edges changed sends anew, less what it sent before, is a change of rank that
+    moves on along edges; a round joins only the vertices whose change is above ``tolerance``, whose edges it finds by
+    source. The rest of the ranks is read once, at the end. A vertex that has lost all its edges keeps the reset.
+    """
+    removed = edges.limit(0) if removed is None else removed
+    edges, added, removed = edges.select("src", "dst"), added.select("src", "dst"), cut(removed.select("src", "dst").distinct())
+    changed = cut(added.select("src").union(removed.select("src")).distinct())
+    now = edges.join(removed, ["src", "dst"], "left_anti").unionByName(added)
+    shares = lambda rows: rows.join(rows.groupBy("src").agg((1 / F.count("*")).alias("share")), "src")
+    before, after = (shares(rows.join(changed, "src", "left_semi")) for rows in (edges, now))
+    sent = after.select("src", "dst", "share").unionByName(before.select("src", "dst", (-F.col("share")).alias("share")))
+    moved = sent.join(ranks, sent["src"] == ranks["id"]).select(F.col("dst").alias("id"), ((1 - reset) * F.col("share") * F.col("rank")).alias("r"))
+    fresh = vertices(added).join(ranks, "id", "left_anti")
+    start = fresh.select("id", F.lit(float(reset)).alias("r"))
+    left = cut(moved.unionByName(start).groupBy("id").agg(F.sum("r").alias("r")))
+    every = cut(shares(now))
+    gained: list[DataFrame] = []
+    while True:
+        front = left.filter(F.abs("r") > tolerance)
+        if front.isEmpty():
+            break
+        gained.append(front)
+        passed = every.join(front, every["src"] == front["id"]).select(F.col("dst").alias("id"), ((1 - reset) * F.col("share") * F.col("r")).alias("r"))
+        left = cut(left.filter(F.abs("r") <= tolerance).unionByName(passed).groupBy("id").agg(F.sum("r").alias("r")))
+    if not gained:
+        return ranks.select("id", "rank"), ranks.select("id").limit(0)
+    whole = cut(reduce(DataFrame.unionByName, gained).groupBy("id").agg(F.sum("r").alias("r")))
+    total = ranks.select("id", "rank").unionByName(whole.select("id", F.col("r").alias("rank"))).unionByName(fresh.select("id", F.lit(0.0).alias("rank")))
+    return total.groupBy("id").agg(F.sum("rank").alias("rank")), whole.select("id")
+
+
 def personalised_pagerank(edges: DataFrame, sources: DataFrame, rounds: int = 10, reset: float = 0.15) -> DataFrame:
     """source, id, rank: a ranking for each of ``sources`` (id), whose rank starts at 1 and takes all of the reset.
 

@@ -20,6 +20,7 @@ from tessera.operators import sparse as X
 from tessera.operators import stats as S
 from tessera.operators import word_vectors as V
 from tessera.plans import tables as T
+from tessera.plans.graph_queries import QUERIES as GRAPHS
 from tessera.plans.learning_queries import FIRST_SPLIT, NEAR, NUMERIC
 
 WITHIN = 7.5
@@ -211,6 +212,16 @@ def word_means(spark, d):
     return model.transform(rows).select("doc_id", F.size("vector").alias("size"), F.exists("vector", lambda x: x != 0).alias("known"))
 
 
+def updated(spark, d):
+    """Ranks of the graph without some edges and with others, and then of the whole graph from those."""
+    e = T.supply_graph(spark, d).select("src", "dst")
+    late = (F.col("src") * 7 + F.col("dst")) % 11 == 0
+    false = e.filter("src % 5 = 1").select("src", (F.col("dst") + 1_000_000).alias("dst")).distinct()
+    old = e.filter(~late).unionByName(false)
+    ranks, _ = G.pagerank_update(old, G.pagerank(old, reset=0.6, tolerance=1e-11), e.filter(late), false, reset=0.6, tolerance=1e-11)
+    return ranks.join(G.vertices(e), "id", "left_semi").select("id", F.round("rank", 6).alias("rank"))
+
+
 def weighted_closeness(spark, d):
     e = T.supply_graph(spark, d)
     return G.weighted_closeness(e, G.vertices(e), "amount").withColumn("closeness", F.round("closeness", 8))
@@ -248,6 +259,7 @@ QUERIES = {
     "sketch_weighted_cuts": (weighted_cuts, CUTS),
     "sketch_weighted_ranks": (weighted_ranks, "SELECT unnest(range(1, 100))::INTEGER AS k, true AS near"),
     "rank_swaps": (swaps, SWAPS),
+    "graph_pagerank_update": (updated, GRAPHS["graph_pagerank_converged"][1].replace("0.15", "0.6").replace("0.85", "0.4")),
     "graph_weighted_closeness": (weighted_closeness, _weighted_closeness_sql()),
     "text_vocabulary": (vocabulary, f"WITH {VOCABULARY} SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS place FROM v"),
     "text_word_codes": (word_codes, f"WITH {VOCABULARY} SELECT count(*) AS words, 1.0::DOUBLE AS filled, 0::BIGINT AS shorter FROM v"),
