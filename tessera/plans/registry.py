@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import further_queries, graph_queries, learning_queries, model_queries, more_queries
+from tessera.plans import forest_queries, further_queries, graph_queries, learning_queries, model_queries, more_queries
 
 
 def _modules() -> list:
-    return [graph_queries, learning_queries, more_queries, further_queries, model_queries]
+    return [graph_queries, learning_queries, more_queries, further_queries, model_queries, forest_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
