@@ -72,11 +72,24 @@ METRICS: dict[str, Callable[[Column, Column, Column], Column]] = {
 MAXIMISE = ("auc", "aucpr", "ndcg", "map", "pre")
 
 
+def metric(name: str) -> Callable[[Column, Column, Column], Column]:
+    """One of METRICS; ``error@t`` predicts the first class above t, ``tweedie_nloglik@r`` has the variance power r in (1, 2)."""
+    kind, _, at = name.partition("@")
+    if not at:
+        return METRICS[name]
+    x = float(at)
+    if kind == "error":
+        return lambda p, y, w: F.sum(w * F.when(p > x, 1 - y).otherwise(y)) / F.sum(w)
+    if kind == "tweedie_nloglik" and 1 < x < 2:
+        return lambda p, y, w: F.sum(w * (F.exp((2 - x) * F.log(p)) / (2 - x) - y * F.exp((1 - x) * F.log(p)) / (1 - x))) / F.sum(w)
+    raise ValueError(f"no metric {name}")
+
+
 def evaluate(df: DataFrame, prediction: str, label: str, names: list[str], weight: str | None = None) -> DataFrame:
     """One row with a column for each metric, in one pass."""
     p, y = F.col(prediction).cast("double"), F.col(label).cast("double")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return df.agg(*(METRICS[n](p, y, w).alias(n) for n in names))
+    return df.agg(*(metric(n)(p, y, w).alias(n) for n in names))
 
 
 def auc(df: DataFrame, prediction: str, label: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Registered queries of trees and forests: name, (query, SQL or None)."""
+"""Registered queries of trees, forests, survival and curves: name, (query, SQL or None)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import curves, losses
+from tessera.operators import boosting as B
 from tessera.operators import forest as R
 from tessera.plans import tables as T
 
@@ -73,9 +75,89 @@ def classify(spark, d):
     return said.select("l_orderkey", "l_linenumber", "prediction", *(F.round(F.col("shares")[k], 6).alias(f"share_{c.lower()}") for k, c in enumerate(model.classes)))
 
 
+def _first_split(model: B.Model, spark) -> DataFrame:
+    t = model.table(spark).filter("node = 0").select("feature", "threshold", F.round("gain", 5).alias("gain"))
+    leaves = model.table(spark).filter("node > 0").groupBy().pivot("node", [1, 2]).agg(F.round(F.first("weight"), 6)).toDF("left_weight", "right_weight")
+    return t.join(leaves)
+
+
+def _waits(spark, d) -> DataFrame:
+    """Lines with a time (the quantity, a 25th of it), which is censored where there is no discount, and its bounds."""
+    censored = F.col("l_discount") <= 0.02
+    t = F.col("l_quantity") / 25
+    return T.load(spark, d, "lineitem").select("l_tax", "l_extendedprice", t.alias("low"), F.when(~censored, t).alias("high"), F.when(censored, -t).otherwise(t).alias("signed"), F.dayofmonth("l_shipdate").cast("double").alias("day"))
+
+
+def aft_split(spark, d):
+    """The first split of trees for an accelerated failure time with logistic noise."""
+    return _first_split(B.boost(_waits(spark, d), ["l_tax", "day"], "low", B.Params(objective="aft", noise="logistic", rounds=1, depth=1), upper="high"), spark)
+
+
+def cox_split(spark, d):
+    """The first split of trees for proportional hazards."""
+    return _first_split(B.boost(_waits(spark, d), ["l_tax", "day"], "signed", B.Params(objective="cox", rounds=1, depth=1)), spark)
+
+
+_WAITS = "w AS MATERIALIZED (SELECT l_tax, day(l_shipdate)::DOUBLE AS day, l_quantity / 25 AS t, l_discount <= 0.02 AS c FROM lineitem)"
+
+
+def _split_sql(made: str) -> str:
+    """The first split by gradients ``g`` and hessians ``h`` of the table ``p``."""
+    return f"""WITH {_WAITS}, {made},
+f AS (SELECT 1 AS k, 'l_tax' AS feature, l_tax AS x, g, h FROM p UNION ALL SELECT 2, 'day', day, g, h FROM p),
+s AS (SELECT k, feature, x, sum(sum(g)) OVER o AS g1, sum(sum(h)) OVER o AS h1, sum(sum(g)) OVER (PARTITION BY k) AS g0, sum(sum(h)) OVER (PARTITION BY k) AS h0, max(x) OVER (PARTITION BY k) AS most FROM f GROUP BY k, feature, x WINDOW o AS (PARTITION BY k ORDER BY x)),
+b AS (SELECT k, feature, x, g1 * g1 / (h1 + 1) + (g0 - g1) * (g0 - g1) / (h0 - h1 + 1) - g0 * g0 / (h0 + 1) AS gain, -0.3 * g1 / (h1 + 1) AS l, -0.3 * (g0 - g1) / (h0 - h1 + 1) AS r FROM s WHERE x < most)
+SELECT feature, x::DOUBLE AS threshold, round(gain, 5) AS gain, round(l, 6) AS left_weight, round(r, 6) AS right_weight FROM b ORDER BY b.gain DESC, k, x LIMIT 1"""
+
+
+AFT_SPLIT = _split_sql("p AS (SELECT l_tax, day, CASE WHEN c THEN -t / (1 + t) ELSE (1 - t) / (1 + t) END AS g, CASE WHEN c THEN 1 ELSE 2 END * t / ((1 + t) * (1 + t)) AS h FROM w)")
+COX_SPLIT = _split_sql("""n AS (SELECT t, count(*)::DOUBLE AS n, count(*) FILTER (NOT c) AS e FROM w GROUP BY 1), r AS (SELECT t, e, sum(n) OVER (ORDER BY t DESC) AS risk FROM n),
+a AS (SELECT t, sum(e / risk) OVER (ORDER BY t) AS r1, sum(e / (risk * risk)) OVER (ORDER BY t) AS r2 FROM r), p AS (SELECT l_tax, day, r1 - CASE WHEN c THEN 0 ELSE 1 END AS g, r1 - r2 AS h FROM w JOIN a USING (t))""")
+
+
+def _weighed(spark, d) -> DataFrame:
+    q = F.when(F.col("l_tax") > 0, F.col("l_quantity") / 50)
+    return T.flagged(spark, d).select("l_linenumber", "y", q.alias("q"), (F.col("l_discount") * 10 + 1).alias("w"))
+
+
+WEIGHED = "WITH r AS MATERIALIZED (SELECT l_linenumber AS g, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity / 50 AS q, l_discount * 10 + 1 AS w FROM lineitem WHERE l_tax > 0)"
+
+
+def areas(spark, d):
+    """Areas under both curves by line number and weight; untaxed lines have no score."""
+    return curves.areas(_weighed(spark, d), "q", "y", "w", "l_linenumber").select("group", F.round("auc", 8).alias("auc"), F.round("aucpr", 8).alias("aucpr"))
+
+
+AREAS = WEIGHED + """, b AS (SELECT g, q, coalesce(sum(w) FILTER (y = 1), 0) AS pos, coalesce(sum(w) FILTER (y = 0), 0) AS neg FROM r GROUP BY 1, 2),
+c AS (SELECT g, pos, neg, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp FROM b WINDOW o AS (PARTITION BY g ORDER BY q DESC))
+SELECT g AS "group", CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round(1 - sum(pos * (fp - neg / 2)) / (sum(pos) * sum(neg)), 8) END AS auc, CASE WHEN sum(pos) > 0 THEN round(sum(pos * tp / (tp + fp)) / sum(pos), 8) END AS aucpr FROM c GROUP BY 1"""
+
+
+def significance(spark, d):
+    """Significance of the best tenth and of the best cut, error at two thresholds, deviance at two variance powers."""
+    rows = _weighed(spark, d)
+    some = curves.ams(rows, "q", "y", 0.1, "w").select(F.round("ams", 6).alias("ams_tenth"))
+    best = curves.ams(rows, "q", "y", 1.0, "w").select(F.round("ams", 6).alias("ams_best"))
+    names = ["error@0.3", "error@0.8", "tweedie_nloglik@1.2", "tweedie_nloglik@1.5"]
+    rest = losses.evaluate(rows.filter("q is not null"), "q", "y", names, "w")
+    return some.join(best).join(rest.select(*(F.round(F.col(f"`{n}`"), 6).alias(a) for n, a in zip(names, ("error_30", "error_80", "tweedie_12", "tweedie_15"), strict=True))))
+
+
+SIGNIFICANCE = WEIGHED + """, b AS (SELECT q, count(*) AS n, coalesce(sum(w) FILTER (y = 1), 0) AS s, coalesce(sum(w) FILTER (y = 0), 0) AS b FROM r GROUP BY 1),
+c AS (SELECT *, sum(n) OVER o AS nu, sum(s) OVER o AS su, sum(b) OVER o AS bu, sum(n) OVER () AS t FROM b WINDOW o AS (ORDER BY q DESC)),
+e AS (SELECT max(sqrt(2 * ((su + bu + 10) * ln(1 + su / (bu + 10)) - su))) FILTER (nu < t) AS best, sum(s * x) AS s, sum(b * x) AS b FROM (SELECT *, greatest(0, least(1, (floor(0.1 * t) - nu + n) / n))::DOUBLE AS x FROM c))
+SELECT round(sqrt(2 * ((s + b + 10) * ln(1 + s / (b + 10)) - s)), 6) AS ams_tenth, round(best, 6) AS ams_best, m.* FROM e,
+(SELECT round(sum(w * CASE WHEN q > 0.3 THEN 1 - y ELSE y END) / sum(w), 6) AS error_30, round(sum(w * CASE WHEN q > 0.8 THEN 1 - y ELSE y END) / sum(w), 6) AS error_80,
+round(sum(w * (power(q, 0.8) / 0.8 + y * power(q, -0.2) / 0.2)) / sum(w), 6) AS tweedie_12, round(sum(w * (power(q, 0.5) / 0.5 + y * power(q, -0.5) / 0.5)) / sum(w), 6) AS tweedie_15 FROM r) m"""
+
+
 QUERIES = {
     "forest_subset_split": (subset_split, SUBSET_SPLIT),
     "forest_variance_split": (variance_split, VARIANCE_SPLIT),
     "forest_entropy_split": (entropy_split, ENTROPY_SPLIT),
     "forest_classify": (classify, None),
+    "metric_areas": (areas, AREAS),
+    "metric_significance": (significance, SIGNIFICANCE),
+    "boost_aft_split": (aft_split, AFT_SPLIT),
+    "boost_cox_split": (cox_split, COX_SPLIT),
 }
