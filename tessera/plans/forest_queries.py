@@ -1,4 +1,4 @@
-"""Registered queries of trees, forests, survival and curves: name, (query, SQL or None)."""
+"""Registered queries of trees, forests, survival, curves and factors: name, (query, SQL or None)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import curves, losses
 from tessera.operators import boosting as B
+from tessera.operators import factors as A
 from tessera.operators import forest as R
 from tessera.plans import tables as T
 
@@ -151,6 +152,29 @@ SELECT round(sqrt(2 * ((s + b + 10) * ln(1 + s / (b + 10)) - s)), 6) AS ams_tent
 round(sum(w * (power(q, 0.8) / 0.8 + y * power(q, -0.2) / 0.2)) / sum(w), 6) AS tweedie_12, round(sum(w * (power(q, 0.5) / 0.5 + y * power(q, -0.5) / 0.5)) / sum(w), 6) AS tweedie_15 FROM r) m"""
 
 
+def products(spark, d):
+    """For every fiftieth vector the ten of all with the largest product."""
+    p = T.points(spark, d).select("id", "vec")
+    return A.recommend(p.filter("id % 50 = 0"), p, 10).select("query", "candidate", F.round("score", 6).alias("score"), "place")
+
+
+PRODUCTS = """WITH p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.id AS query, b.id AS candidate, list_dot_product(a.v, b.v) AS score FROM p a, p b WHERE a.id % 50 = 0)
+SELECT query, candidate, round(score, 6) AS score, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS place FROM s) WHERE place <= 10"""
+
+
+def scores(spark, d):
+    """Scores of each supplier's parts by the vectors of their numbers: how many are unknown, and the sum of the others."""
+    p = T.points(spark, d).select("id", "vec")
+    pairs = T.load(spark, d, "lineitem").select(F.col("l_suppkey").alias("user"), F.col("l_partkey").alias("item"))
+    said = F.col("prediction")
+    return A.predict(pairs, p, p).groupBy("user").agg(F.sum(F.isnan(said).cast("long")).alias("unknown"), F.round(F.sum(F.when(~F.isnan(said), said)), 4).alias("total"))
+
+
+SCORES = """WITH p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT l_suppkey AS "user", count(*) FILTER (a.id IS NULL OR b.id IS NULL)::BIGINT AS unknown, round(sum(list_dot_product(a.v, b.v)), 4) AS total FROM lineitem LEFT JOIN p a ON a.id = l_suppkey LEFT JOIN p b ON b.id = l_partkey GROUP BY 1"""
+
+
 QUERIES = {
     "forest_subset_split": (subset_split, SUBSET_SPLIT),
     "forest_variance_split": (variance_split, VARIANCE_SPLIT),
@@ -158,6 +182,8 @@ QUERIES = {
     "forest_classify": (classify, None),
     "metric_areas": (areas, AREAS),
     "metric_significance": (significance, SIGNIFICANCE),
+    "recommend_products": (products, PRODUCTS),
+    "recommend_scores": (scores, SCORES),
     "boost_aft_split": (aft_split, AFT_SPLIT),
     "boost_cox_split": (cox_split, COX_SPLIT),
 }
