@@ -199,16 +199,26 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
-    """One row, modularity, of undirected edges and (id, community)."""
-    pairs = undirected(edges)
+def modularity(edges: DataFrame, communities: DataFrame, weight: str | None = None, directed: bool = False) -> DataFrame:
+    """One row, modularity, of edges and (id, community).
+
+    Loops are left out. Repeated edges (undirected: either way) count once, or with ``weight`` add up (null: 0). With
+    ``directed`` the expected weight is by what leaves one community's vertices and enters the other's.
+    """
+    if weight:
+        w = F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(0.0))
+        ends = (F.col("src"), F.col("dst")) if directed else (F.least("src", "dst"), F.greatest("src", "dst"))
+        pairs = edges.filter("src <> dst").groupBy(ends[0].alias("src"), ends[1].alias("dst")).agg(F.sum(w).alias("w"))
+    else:
+        pairs = (edges.filter("src <> dst").select("src", "dst").distinct() if directed else undirected(edges)).withColumn("w", F.lit(1.0))
     c = communities.select("id", "community")
     inside = pairs.join(c.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
-    within = inside.groupBy("a").agg(F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("within"))
-    total = degrees(pairs).join(c, "id").groupBy("community").agg(F.sum("degree").alias("degree"))
-    m = pairs.agg(F.count("*").alias("m"))
-    parts = total.join(within, total["community"] == within["a"], "left").join(m)
-    return parts.agg(F.sum(F.coalesce("within", F.lit(0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
+    within = inside.filter("a = b").groupBy("a").agg(F.sum("w").alias("within"))
+    ends = pairs.select(F.col("src").alias("id"), F.col("w").alias("o"), F.lit(0.0).alias("i")).union(pairs.select("dst", F.lit(0.0), "w"))
+    total = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).join(c, "id").groupBy("community").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    parts = total.join(within, total["community"] == within["a"], "left").join(F.broadcast(pairs.agg(F.sum("w").alias("m"))))
+    expected = F.col("o") * F.col("i") / F.pow("m", F.lit(2.0)) if directed else F.pow((F.col("o") + F.col("i")) / (2 * F.col("m")), F.lit(2.0))
+    return parts.agg(F.sum(F.coalesce("within", F.lit(0.0)) / F.col("m") - expected).alias("modularity"))
 
 
 def _oriented(edges: DataFrame) -> DataFrame:

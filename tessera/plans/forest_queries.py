@@ -1,4 +1,4 @@
-"""Registered queries of trees, forests, survival, curves and factors: name, (query, SQL or None)."""
+"""Registered queries of trees, forests, survival, curves, factors and weighted communities: name, (query, SQL or None)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from tessera.functions import curves, losses
 from tessera.operators import boosting as B
 from tessera.operators import factors as A
 from tessera.operators import forest as R
+from tessera.operators import graph as G
 from tessera.plans import tables as T
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linestatus"]
@@ -175,6 +176,19 @@ SCORES = """WITH p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS
 SELECT l_suppkey AS "user", count(*) FILTER (a.id IS NULL OR b.id IS NULL)::BIGINT AS unknown, round(sum(list_dot_product(a.v, b.v)), 4) AS total FROM lineitem LEFT JOIN p a ON a.id = l_suppkey LEFT JOIN p b ON b.id = l_partkey GROUP BY 1"""
 
 
+def weighted_modularity(spark, d):
+    """How well suppliers by their number modulo five explain the flow between them, by amount, with and without direction."""
+    e = T.supply_graph(spark, d)
+    c = G.vertices(e).withColumn("community", F.col("id") % 5)
+    flows = G.modularity(e, c, "amount", True).select(F.round("modularity", 9).alias("directed"))
+    return flows.join(G.modularity(e, c, "amount").select(F.round("modularity", 9).alias("undirected")))
+
+
+WEIGHTED_MODULARITY = f"""WITH {T.SUPPLIES}, v AS (SELECT src % 5 AS c, sum(amount) AS o, 0 AS i FROM edges GROUP BY 1 UNION ALL SELECT dst % 5, 0, sum(amount) FROM edges GROUP BY 1),
+k AS (SELECT c, sum(o) AS o, sum(i) AS i FROM v GROUP BY 1), n AS (SELECT src % 5 AS c, sum(amount) AS n FROM edges WHERE src % 5 = dst % 5 GROUP BY 1), m AS (SELECT sum(amount) AS m FROM edges)
+SELECT round(sum(coalesce(n, 0) / m - o * i / (m * m)), 9) AS directed, round(sum(coalesce(n, 0) / m - power((o + i) / (2 * m), 2)), 9) AS undirected FROM k LEFT JOIN n USING (c), m"""
+
+
 QUERIES = {
     "forest_subset_split": (subset_split, SUBSET_SPLIT),
     "forest_variance_split": (variance_split, VARIANCE_SPLIT),
@@ -184,6 +198,7 @@ QUERIES = {
     "metric_significance": (significance, SIGNIFICANCE),
     "recommend_products": (products, PRODUCTS),
     "recommend_scores": (scores, SCORES),
+    "graph_modularity_weighted": (weighted_modularity, WEIGHTED_MODULARITY),
     "boost_aft_split": (aft_split, AFT_SPLIT),
     "boost_cox_split": (cox_split, COX_SPLIT),
 }
