@@ -28,3 +28,34 @@ def test_squares_count_every_closed_walk_without_listing_them(spark, monkeypatch
 
     monkeypatch.setattr(graph, "match_subgraph", None)
     assert graph_queries.squares(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_distances_from_all_vertices_move_a_row_for_64_sources(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(a, rng.randrange(150)) for a in range(150) for _ in range(4)] + [(k, k + 1) for k in range(200, 270)]
+    e = edge_table(spark, rows)
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+    want = {}
+    for s in {v for row in rows for v in row}:
+        front, hop = {s}, 0
+        seen = {s}
+        while front:
+            want |= {(s, v): hop for v in front}
+            front = {w for v in front for w in near.get(v, ())} - seen
+            seen |= front
+            hop += 1
+    sizes, real = [], graph.cut
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    got = [((r["source"], r["id"]), r["distance"]) for r in graph.shortest_paths(e, graph.vertices(e)).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert max(sizes) < len(want) / 4
+    few = graph.shortest_paths(e, graph.vertices(e).filter("id in (3, 200)"), 2).collect()
+    assert {(r["source"], r["id"]): r["distance"] for r in few} == {k: d for k, d in want.items() if k[0] in (3, 200) and d <= 2}
