@@ -59,3 +59,11 @@ def test_distances_from_all_vertices_move_a_row_for_64_sources(spark, monkeypatc
     assert max(sizes) < len(want) / 4
     few = graph.shortest_paths(e, graph.vertices(e).filter("id in (3, 200)"), 2).collect()
     assert {(r["source"], r["id"]): r["distance"] for r in few} == {k: d for k, d in want.items() if k[0] in (3, 200) and d <= 2}
+
+
+def test_closeness_of_all_vertices_beyond_64_sources(spark):
+    n = 150
+    e = edge_table(spark, [(k, (k + 1) % n) for k in range(n)])
+    got = {r["id"]: (r["reached"], round(r["closeness"], 9)) for r in graph.closeness(e, graph.vertices(e)).collect()}
+    total = 2 * sum(range(1, n // 2)) + n // 2
+    assert got == {k: (n - 1, round((n - 1) / total, 9)) for k in range(n)}
