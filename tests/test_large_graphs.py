@@ -67,3 +67,33 @@ def test_closeness_of_all_vertices_beyond_64_sources(spark):
     got = {r["id"]: (r["reached"], round(r["closeness"], 9)) for r in graph.closeness(e, graph.vertices(e)).collect()}
     total = 2 * sum(range(1, n // 2)) + n // 2
     assert got == {k: (n - 1, round((n - 1) / total, 9)) for k in range(n)}
+
+
+def most_rows(monkeypatch):
+    """Rows of each table that an operator writes."""
+    sizes, real = [0], graph.cut
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    return sizes
+
+
+def test_betweenness_of_a_ring_moves_many_sources_a_row(spark, monkeypatch):
+    n, sizes = 24, most_rows(monkeypatch)
+    e = edge_table(spark, [(k, (k + 1) % n) for k in range(n)])
+    got = {r["id"]: round(r["betweenness"], 9) for r in graph.betweenness(e, graph.vertices(e)).collect()}
+    assert got == dict.fromkeys(range(n), 2.0 * sum(range(n // 2 - 1)) + n // 2 - 1)
+    assert max(sizes) <= n * n / 4
+
+
+def test_ranks_by_source_move_many_sources_a_row(spark, monkeypatch):
+    n, rounds, sizes = 24, 20, most_rows(monkeypatch)
+    e = edge_table(spark, [(k, (k + 1) % n) for k in range(n)])
+    got = {(r["source"], (r["id"] - r["source"]) % n): round(r["rank"], 7) for r in graph.personalised_pagerank(e, graph.vertices(e), rounds).collect()}
+    want = {k: round((0.15 if k < rounds else 1.0) * 0.85**k, 7) for k in range(rounds + 1)}
+    assert got == {(s, k): v for s in range(n) for k, v in want.items()}
+    assert max(sizes) <= n * (rounds + 1) / 4
