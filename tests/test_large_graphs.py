@@ -97,3 +97,23 @@ def test_ranks_by_source_move_many_sources_a_row(spark, monkeypatch):
     want = {k: round((0.15 if k < rounds else 1.0) * 0.85**k, 7) for k in range(rounds + 1)}
     assert got == {(s, k): v for s in range(n) for k, v in want.items()}
     assert max(sizes) <= n * (rounds + 1) / 4
+
+
+def test_cycles_meet_in_the_middle(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = sorted({(rng.randrange(9), rng.randrange(9)): rng.choice([10.0, 11.0, 12.0, 13.0]) for _ in range(60)}.items())
+    amount = {(a, b): w for (a, b), w in rows}
+    close = lambda x, y: 0.8 * x <= y <= 1.2 * x
+    want = set()
+    for n in (2, 3, 4, 5):
+        for p in permutations(range(9), n):
+            steps = [amount.get((p[k], p[(k + 1) % n])) for k in range(n)]
+            if p[0] == min(p) and None not in steps and all(close(steps[k], steps[(k + 1) % n]) for k in range(n)):
+                want.add((n, ",".join(map(str, p))))
+    table = spark.createDataFrame([(a, b, w) for (a, b), w in rows], "src long, dst long, amount double")
+    for e in (table, table.unionByName(table)):
+        got = graph.cycles(e, 2, 5)
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(want) and set(found) == want
+    monkeypatch.setattr(graph.DataFrame, "distinct", None)
+    assert graph.cycles(table, 3, 4).count() > 0
