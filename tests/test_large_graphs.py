@@ -117,3 +117,23 @@ def test_cycles_meet_in_the_middle(spark, monkeypatch):
         assert len(found) == len(want) and set(found) == want
     monkeypatch.setattr(graph.DataFrame, "distinct", None)
     assert graph.cycles(table, 3, 4).count() > 0
+
+
+def test_dbscan_meets_points_of_one_place_once(spark, monkeypatch):
+    from tessera.operators import learning
+
+    sizes, real = [], learning.cut
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(learning, "cut", counted)
+    spots = [[0.0, 0.0], [0.2, 0.0], [0.55, 0.0], [3.0, 3.0], [9.0, 9.0]]
+    rows = [(1000 - k, spots[k % 4]) for k in range(400)] + [(2000, spots[4]), (2001, [9.1, 9.0])]
+    got = {r["id"]: (r["label"], r["prediction"]) for r in learning.dbscan(spark.createDataFrame(rows, "id long, vec array<double>"), 0.3, 5).collect()}
+    least = [min(i for i, v in rows if v == s) for s in spots]
+    label = {0: min(least[0], least[1]), 1: min(least[0], least[1]), 2: least[2], 3: least[3]}
+    assert got == {i: (label[spots.index(v)], 0) for i, v in rows[:400]} | {2000: (None, -1), 2001: (None, -1)}
+    assert max(sizes) < 20
