@@ -19,9 +19,11 @@ import codecs
 import contextlib
 import hashlib
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +49,8 @@ BREAK = re.compile(r"\r?\n")
 STANDARD = str.maketrans("-_", "+/")
 #: First bytes of zstandard, gzip and zlib data.
 PACKED = (b"\x28\xb5\x2f\xfd", b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
-#: Bytes that are unpacked at a time; characters without a break up to which a window waits for one; overlap beyond.
-CHUNK, LONGEST, OVERLAP = 1 << 20, 8 << 20, 1 << 16
+#: Bytes that are unpacked at a time; bytes of a layer that are held in memory, where more go to a file.
+CHUNK, HELD = 1 << 20, 8 << 20
 #: Where a window may end: no match and no encoded stretch goes across a blank between two letters or digits, or
 #: across a line's end before a line that is not all base64.
 CALM = re.compile(r"(?<=[0-9A-Za-z])\x20(?=[0-9A-Za-z])|\n(?=[A-Za-z0-9+/=_\r-]*+[^A-Za-z0-9+/=_\r\n-])")
@@ -247,30 +249,28 @@ class _Chunks:
 
 
 def _windows(chunks: Iterator[bytes]) -> Iterator[str]:
-    """A stream's text in windows that break no match or encoded stretch of up to LONGEST characters."""
-    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    """A stream's text in windows that break no match and no encoded stretch, of whatever length."""
+    decoder, held, seen = codecs.getincrementaldecoder("utf-8")("replace"), "", 0
     for chunk in chunks:
         held += decoder.decode(chunk)
-        cut, reach = 0, 1 << 12
-        while not cut and reach < 2 * len(held):
-            cut = max((m.end() for m in CALM.finditer(held, max(0, len(held) - reach))), default=0)
+        cut, begin, reach = 0, len(held), 1 << 12
+        while not cut and begin > seen:
+            begin = max(seen, len(held) - reach)
+            cut = max((m.end() for m in CALM.finditer(held, begin)), default=0)
             reach *= 16
-        if not cut and len(held) > LONGEST:
-            yield held
-            held = held[-OVERLAP:]
-        elif cut:
+        if cut:
             yield held[:cut]
             held = held[cut:]
+        # of what is not calm only the last line's end and the last character may become so
+        seen = max(0, min(held.rfind("\n") if "\n" in held else len(held), len(held) - 1))
     yield held + decoder.decode(b"", True)
 
 
-def _held(chunks: Iterator[bytes], most: int) -> bytes:
-    """The bytes up to about ``most``."""
-    parts, size = [], 0
-    while size < most and (piece := next(chunks, b"")):
-        parts.append(piece)
-        size += len(piece)
-    return b"".join(parts)
+def _pieces(file: IO[bytes]) -> Iterator[bytes]:
+    """A file from its beginning, in pieces."""
+    file.seek(0)
+    while piece := file.read(CHUNK):
+        yield piece
 
 
 class Packed:
@@ -323,32 +323,31 @@ class Packed:
         return frozenset(found)
 
     def _texts(self, data: bytes, entered: set[bytes]) -> Iterator[str]:
-        """Windows of what data hold; data packed in data are unpacked in turn, and such as do not end well are text too."""
-        outer = True
-        while True:
-            stream = Unpacked(iter([data]))
-            pieces = iter(stream)
-            head = _held(pieces, LONGEST)
-            more = next(pieces, b"")
-            if more:  # too large to hold
-                rest = chain([head, more], pieces)
-                while head.startswith(PACKED):
-                    rest = iter(Unpacked(rest))
-                    head = _held(rest, 4)
-                    rest = chain([head], rest)
-                yield from _windows(rest)
-                return
-            if not stream.clean and not outer:
-                yield _as_text(data)[0]
-            outer = False
-            if not head.startswith(PACKED):
-                yield from _windows(iter([head]))
-                return
-            mark = hashlib.sha256(head).digest()
-            if mark in entered:
-                return
-            entered.add(mark)
-            data = head
+        """Windows of what data hold; data packed in data are unpacked in turn, and such as do not end well are text too.
+
+        A layer is unpacked into a file, which is in memory while it is small, so that the way is one for all sizes.
+        """
+        with contextlib.ExitStack() as files:
+            below, layer = iter([data]), None
+            while True:
+                stream, mark = Unpacked(below), hashlib.sha256()
+                held = files.enter_context(tempfile.SpooledTemporaryFile(HELD))
+                for piece in stream:
+                    mark.update(piece)
+                    held.write(piece)
+                if layer is not None:
+                    if not stream.clean:
+                        layer.seek(0)
+                        yield _as_text(layer.read())[0]
+                    layer.close()
+                held.seek(0)
+                if not held.read(4).startswith(PACKED):
+                    yield from _windows(_pieces(held))
+                    return
+                if mark.digest() in entered:
+                    return
+                entered.add(mark.digest())
+                below, layer = _pieces(held), held
 
 
 def secrets_of(text: str) -> tuple[list[Span], list[Span]]:

@@ -97,3 +97,15 @@ def test_equal_blobs_at_many_places():
     blob = b64(gzip.compress(SECRET * 50))
     found = spans(" ".join([blob] * 300), 5.0)
     assert len(found) == 300
+
+
+def test_what_large_packed_data_hold_does_not_depend_on_their_size():
+    size = 9 << 20
+    # a stretch without a break is one window, so that no match is begun in its middle
+    pieces = (b"-" * (1 << 20) for _ in range(9))
+    assert [len(w) for w in secret_scan._windows(pieces)] == [size]
+    assert [len(w) for w in secret_scan._windows(iter([b"-" * size, b"a b", b"-" * 5, b"x\n", b"!" * 5]))] == [size + 2, 8, 5]
+    # a layer that only begins like packed data is text, large or small
+    for fill in (100, size):
+        broken = gzip.compress(b"nothing")[:-4] + b" " * 3 + SECRET + b" " * fill
+        assert {k for k, _, _ in spans(b64(gzip.compress(broken)), 20)} == {"assign"}
