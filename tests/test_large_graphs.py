@@ -3,7 +3,10 @@
 import random
 from itertools import permutations
 
+import pytest
+
 from tessera.operators import graph
+from tessera.operators import graph as G
 
 
 def edge_table(spark, rows):
@@ -142,3 +145,38 @@ def test_dbscan_meets_points_of_one_place_once(spark, monkeypatch):
     label = {0: min(least[0], least[1]), 1: min(least[0], least[1]), 2: least[2], 3: least[3]}
     assert got == {i: (label[spots.index(v)], 0) for i, v in rows[:400]} | {2000: (None, -1), 2001: (None, -1)}
     assert max(sizes) < 20
+
+
+@pytest.mark.parametrize("loop", [G.connected_components, G.core_numbers, lambda e: G.label_propagation(e, 2)])
+def test_a_loop_over_vertices_sends_no_table_to_the_driver(spark, monkeypatch, loop):
+    plans = []
+
+    def watched(df, cut=G.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(G, "cut", watched)
+    assert loop(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (7, 8)], "src long, dst long")).count() == 6
+    assert sum("SortMergeJoin" in p for p in plans) > 1
+    assert not any("Broadcast" in p for p in plans)
+
+
+def test_a_task_of_a_loop_gets_no_more_rows_as_a_graph_grows(spark, monkeypatch):
+    from tessera.functions import storage
+
+    monkeypatch.setattr(storage, "EACH", 8)
+    few, many = (spark.createDataFrame([(k, k + 1) for k in range(n)], "src long, dst long") for n in (10, 100))
+    assert [G._kept_steps(e)[1] for e in (few, many)] == [4, 25]
+
+
+def test_neighbouring_lines_meet_without_a_join_of_the_lines(spark, tmp_path):
+    from tessera.plans import tables as T
+
+    rows = [(1, 1, 10, 5, 1.0), (1, 2, 11, 6, 2.0), (1, 2, 12, 6, 3.0), (1, 4, 13, 7, 4.0), (2, 3, 14, 5, 5.0), (2, 4, 10, 8, 6.0), (2, 5, None, 9, 7.0), (None, 1, 10, 5, 1.0), (None, 2, 11, 6, 1.0), (3, None, 10, 5, 1.0), (3, None, 11, 6, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs, flows = T.together(spark, str(tmp_path)), T.supply_graph(spark, str(tmp_path))
+    assert sorted(map(tuple, pairs.collect())) == [(10, 11), (10, 12), (10, 14)]
+    assert sorted(map(tuple, flows.collect())) == [(5, 6, 2.0), (5, 8, 5.0), (8, 9, 6.0)]
+    for df in (pairs, flows):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("FileScan") < 3
