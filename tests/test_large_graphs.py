@@ -4,6 +4,7 @@ import random
 from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.operators import graph as G
@@ -180,3 +181,16 @@ def test_neighbouring_lines_meet_without_a_join_of_the_lines(spark, tmp_path):
     for df in (pairs, flows):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("FileScan") < 3
+
+
+def test_edges_are_worked_out_once(spark, tmp_path):
+    from tessera.plans import tables as T
+
+    spark.createDataFrame([(1, 7), (2, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 3, 1.0), (1, 3, 1.0), (2, 3, 1.0)], "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = T.purchase_graph(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert sorted(map(tuple, found.collect())) == [(7, 14, 2), (7, 16, 1), (14, 7, 2), (16, 7, 1)]
+    edges = found.filter("src < dst")
+    parts = G.modularity(edges, G.cut(G.vertices(edges).withColumn("community", F.col("id") % 2)), "weight")
+    assert "orders.parquet" not in parts._jdf.queryExecution().executedPlan().toString()
