@@ -65,6 +65,32 @@ def test_distances_from_all_vertices_move_a_row_for_64_sources(spark, monkeypatc
     assert {(r["source"], r["id"]): r["distance"] for r in few} == {k: d for k, d in want.items() if k[0] in (3, 200) and d <= 2}
 
 
+def test_closeness_moves_a_row_for_1024_sources_and_none_for_a_pair(spark, monkeypatch):
+    n = 1500
+    e = edge_table(spark, [(k, (k + by) % n) for k in range(n) for by in (1, 5, 25, 125, 600)])
+    hops, front = {0: 0}, [0]
+    for v in front:
+        for by in (1, 5, 25, 125, 600, -1, -5, -25, -125, -600):
+            if (v + by) % n not in hops:
+                hops[(v + by) % n] = hops[v] + 1
+                front.append((v + by) % n)
+    sizes, real = [], graph.cut
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    monkeypatch.setattr(graph, "shortest_paths", None)
+    want = (n - 1, round((n - 1) / sum(hops.values()), 9))
+    got = {r["id"]: (r["reached"], round(r["closeness"], 9)) for r in graph.closeness(e, graph.vertices(e)).collect()}
+    assert got == dict.fromkeys(range(n), want)
+    assert max(sizes[1:]) <= 2 * n  # the first table is of edges
+    few = graph.closeness(e, graph.vertices(e).filter("id % 700 = 3")).collect()
+    assert {r["id"]: (r["reached"], round(r["closeness"], 9)) for r in few} == dict.fromkeys((3, 703, 1403), want)
+
+
 def test_closeness_of_all_vertices_beyond_64_sources(spark):
     n = 150
     e = edge_table(spark, [(k, (k + by) % n) for k in range(n) for by in (1, 12)])
