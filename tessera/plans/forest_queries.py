@@ -166,7 +166,8 @@ SELECT query, candidate, round(score, 6) AS score, place::INTEGER AS place FROM
 
 def scores(spark, d):
     """Scores of each supplier's parts by the vectors of their numbers: how many are unknown, and the sum of the others."""
-    p = T.points(spark, d).select("id", "vec")
+    # as they are stored: products are of doubles all the same
+    p = T.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     pairs = T.load(spark, d, "lineitem").select(F.col("l_suppkey").alias("user"), F.col("l_partkey").alias("item"))
     said = F.col("prediction")
     return A.predict(pairs, p, p).groupBy("user").agg(F.sum(F.isnan(said).cast("long")).alias("unknown"), F.round(F.sum(F.when(~F.isnan(said), said)), 4).alias("total"))
