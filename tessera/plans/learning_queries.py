@@ -11,6 +11,7 @@ from tessera.operators import boosting as B
 from tessera.operators import learning as M
 from tessera.operators import neighbours as N
 from tessera.operators import stats as S
+from tessera.operators.factors import top_products
 from tessera.plans import tables as T
 from tessera.plans.graph_queries import _component_sql
 
@@ -198,7 +199,9 @@ def als(spark, d):
 
     rows = T.bought(spark, d).select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), F.col("quantity").cast("float").alias("rating"))
     model = ALS(userCol="user", itemCol="item", ratingCol="rating", rank=8, maxIter=4, seed=7).fit(rows)
-    return model.recommendForAllUsers(3).select("user", F.posexplode("recommendations").alias("place", "r")).select("user", "place", "r.item", "r.rating")
+    users, items = (side.select("id", F.col("features").alias("vec")) for side in (model.userFactors, model.itemFactors))
+    found = top_products(users, items, 3)
+    return found.select(F.col("query").cast("int").alias("user"), (F.col("place") - 1).alias("place"), F.col("candidate").cast("int").alias("item"), F.col("score").cast("float").alias("rating"))
 
 
 def sequences(spark, d):
