@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import losses as L
 from tessera.functions import survival as V
+from tessera.functions.storage import cut
 from tessera.operators import boosting as B
 from tessera.operators import communities as C
 from tessera.operators import graph as G
@@ -43,7 +44,7 @@ def clustering_totals(spark, d):
 
 
 def warm_start(spark, d):
-    e = T.purchase_graph(spark, d)
+    e = T.purchase_graph(spark, d, cut(T.bought(spark, d).select("user", "item", "n")))
     old = G.pagerank(e.filter("weight = 1"), 5)
     return G.pagerank(e, 5, start=old).select("id", F.round("rank", 6).alias("rank"))
 

@@ -42,3 +42,36 @@ def test_only_what_follows_is_touched(spark, edges):
     assert all(before[v] == after[v] for v in before if v not in there)
     same, none = graph.pagerank_update(table(edges), old, table([]), reset=0.6)
     assert ranks_of(same) == before and none.count() == 0
+
+
+def test_purchases_are_worked_out_once_for_a_warm_start(spark, monkeypatch):
+    from tessera.operators import graph
+    from tessera.plans import more_queries
+
+    read, real = [], graph.pagerank
+
+    def watched(edges, *rest, **more):
+        read.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return real(edges, *rest, **more)
+
+    monkeypatch.setattr(graph, "pagerank", watched)
+    assert more_queries.warm_start(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(read) == 2 and not any("l_partkey" in p or "Join" in p for p in read)
+
+
+def test_a_round_of_ranks_sorts_no_edges(spark, monkeypatch):
+    from tessera.operators import graph
+
+    plans = []
+
+    def watched(df, cut=graph.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut", watched)
+    assert graph.pagerank(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long"), 2).count() == 4
+    lines, above = plans[-1].split("\n"), []
+    for k, line in enumerate(lines):
+        if "InMemoryTableScan [src" in line:  # whether a sort or the join of the round is next above it
+            above.append(next(x for x in lines[k - 1 :: -1] if "Sort [" in x or "SortMergeJoin" in x or "Aggregate" in x))
+    assert any("SortMergeJoin" in x for x in above) and not any("Sort [" in x for x in above)
